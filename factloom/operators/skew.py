@@ -1,0 +1,48 @@
+"""Ways to keep one hot key from becoming one slow task.
+
+A key is hot when it holds more than ``1 / MAX_HOT_KEYS`` of all rows. There can be at most
+``MAX_HOT_KEYS`` such keys whatever the data looks like, which bounds every list of hot keys
+that is collected or broadcast below.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT_KEYS = 1000
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """Keys of a (keys, n) count table that hold more than 1/MAX_HOT_KEYS of all rows."""
+    total = counts.agg(F.sum(n)).scalar()
+    return counts.where(F.col(n) * MAX_HOT_KEYS > total).select(*keys)
+
+
+def spread_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join ``big`` with ``lookup`` (one row per key), splitting the hot keys of ``big``.
+
+    Rows of hot keys get a random-free salt from a row hash and the matching lookup rows are
+    repeated once per salt; all other rows keep salt 0. Every match is kept.
+    """
+    keys = list(keys)
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, keys).withColumn("_hot", F.lit(True)))
+    row_hash = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    left = big.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), row_hash).otherwise(F.lit(0))
+    ).drop("_hot")
+    right = lookup.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def two_step_agg(df: DataFrame, keys: Sequence[str], partial: dict[str, Column], final: dict[str, Column], spread: Sequence[str]) -> DataFrame:
+    """Aggregate by (keys, hash of ``spread``) first, for aggregates without map-side combine."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS))
+    part = df.groupBy(*keys, salt.alias("_salt")).agg(*[c.alias(k) for k, c in partial.items()])
+    return part.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
