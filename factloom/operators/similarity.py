@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import cut_lineage
+
 TOLERANCE = 1e-12
 BLOCK_ROWS = 2048
 
@@ -49,7 +51,7 @@ def similar_pairs(
         )
         .withColumn("norm", norm)
         .where("norm > 0")
-        .withColumn("v", F.transform("v", lambda x: x / F.col("norm")))
+        .withColumn("v", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))))
         .drop("norm")
     )
 
@@ -115,7 +117,11 @@ def similar_profiles(vectors: DataFrame, id_col: str, vector: str, cutoff: float
     Rows with one vector are all similar to each other; keeping them as one profile with a
     member count keeps the result whole without writing the square of a hot profile.
     """
-    distinct = vectors.groupBy(vector).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("members"))
+    # Written once, because the join below reads it from several sides and computing a profile
+    # means reading the texts.
+    distinct = cut_lineage(
+        vectors.groupBy(vector).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("members"))
+    )
     return similar_pairs(distinct, "rep", vector, cutoff, weight="members").select(
         F.col("id_a").alias("profile_a"), F.col("id_b").alias("profile_b"),
         F.col("weight_a").alias("members_a"), F.col("weight_b").alias("members_b"),

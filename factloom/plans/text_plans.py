@@ -303,10 +303,10 @@ def _(t):
 @query("k05_similar_embeddings", """
 WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.v, b.v) AS s FROM n a JOIN n b ON a.vec_id < b.vec_id)
-SELECT id_a, id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.8 ORDER BY s DESC, id_a, id_b LIMIT 50""")
+SELECT id_a, id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.4 ORDER BY s DESC, id_a, id_b LIMIT 50""")
 def _(t):
     vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    pairs = similarity.similar_pairs(vectors, "vec_id", "vector", fixed.SIMILARITY_CUTOFF)
+    pairs = similarity.similar_pairs(vectors, "vec_id", "vector", 0.4)
     return (
         pairs.orderBy(F.desc("similarity"), "id_a", "id_b")
         .limit(fixed.SIMILAR_PAIR_LIMIT)
