@@ -5,6 +5,9 @@ All of them are row-local, so none needs a shuffle however large a corpus is.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,10 +104,10 @@ def structural_diversity(text: Column, block_start: str = r"\[task:", ignored: t
     """Share of distinct block bodies; ``block_start`` opens a block, ``ignored`` prefixes are dropped."""
 
     def body(block: Column) -> Column:
-        lines = stripped_lines(block)
-        for prefix in ignored:
-            lines = F.filter(lines, lambda x, p=prefix: ~x.startswith(p))
-        return F.array_join(lines, "\n")
+        def kept(line: Column) -> Column:
+            return ~functools.reduce(operator.or_, [line.startswith(p) for p in ignored], F.lit(False))
+
+        return F.array_join(F.filter(stripped_lines(block), kept), "\n")
 
     bodies = F.filter(F.transform(F.split(text, f"(?={block_start})"), body), lambda b: b != "")
     return F.when(F.size(bodies) == 0, F.lit(1.0)).otherwise(
