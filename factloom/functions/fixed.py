@@ -81,4 +81,4 @@ EXTENSION_FORMATS = {
     ".cpp": "code:cpp", ".cc": "code:cpp", ".cxx": "code:cpp", ".hpp": "code:cpp", ".hh": "code:cpp",
     ".c": "code:c", ".h": "code:c", ".pdf": "pdf",
 }
-IGNORED_DIRS = [".git", "__pycache__", ".venv", "venv", "node_modules", ".aero", "build_artifacts"]
+IGNORED_DIRS = [".git", "__pycache__", ".venv", "venv", "node_modules", "build_artifacts"]

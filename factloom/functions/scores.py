@@ -115,9 +115,10 @@ def hot_or_cold(density: Column, cold_by_name: Column, threshold: float = HOT_TH
 def first_numeric(fields: Column, keys: Sequence[str]) -> Column:
     """First of several alias keys of a string map that holds a number; booleans count as 1 and 0."""
 
-    def number(key: str) -> Column:
-        text = F.try_element_at(fields, F.lit(key))
-        value = F.when(F.lower(text) == "true", F.lit(1.0)).when(F.lower(text) == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
-        return F.when(~F.isnan(value), value)
+    def number(key: Column) -> Column:
+        text = F.try_element_at(fields, key)
+        flag = F.when(F.lower(text) == "true", F.lit(1.0)).when(F.lower(text) == "false", F.lit(0.0))
+        return F.coalesce(flag, text.try_cast("double"))
 
-    return F.coalesce(*[number(k) for k in keys])
+    found = F.transform(F.array(*[F.lit(k) for k in keys]), number)
+    return F.get(F.filter(found, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(0))

@@ -51,12 +51,12 @@ def _(t):
 
 
 @query("w07_rolling_stats", """
-SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS largest, min(value) OVER w AS smallest FROM events
+SELECT event_id, round(avg(value) OVER w, 9) AS mean, max(value) OVER w AS largest, min(value) OVER w AS smallest FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def _(t):
     aggs = {"mean": F.avg("value"), "largest": F.max("value"), "smallest": F.min("value")}
     rolled = ordered.rolling(t.events.select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], aggs)
-    return rolled.select("event_id", F.round("mean", 6).alias("mean"), "largest", "smallest")
+    return rolled.select("event_id", F.round("mean", 9).alias("mean"), "largest", "smallest")
 
 
 @query("w08_steps_since_improvement", """
