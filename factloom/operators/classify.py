@@ -92,6 +92,16 @@ def name_tokens(name: Column) -> Column:
     return F.when(F.size(meaningful) > 0, meaningful).otherwise(tokens)
 
 
+def located_sources(targets: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Files of a target's project whose path contains one of the target's name tokens."""
+    wanted = targets.withColumn("_tokens", name_tokens(F.col("name")))
+    return (
+        wanted.join(files, list(keys))
+        .where(F.exists("_tokens", lambda t: F.contains(F.lower("path"), t)))
+        .drop("_tokens")
+    )
+
+
 def is_cold_by_name(path: Column) -> Column:
     return path.rlike(COLD_NAMES)
 

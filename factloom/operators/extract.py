@@ -319,3 +319,8 @@ def chosen_spans(hits: DataFrame) -> DataFrame:
         ).otherwise(F.array_append(taken, s)),
     )
     return hits.withColumns({"chosen": chosen, "n_hits": F.size("hits").cast("long")}).drop("hits")
+
+
+def hot_cold_counts(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows without a risk are hot, the others cold."""
+    return hits.groupBy(*keys).agg(F.count_if(F.size("hits") == 0).alias("hot"), F.count_if(F.size("hits") > 0).alias("cold"))

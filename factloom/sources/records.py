@@ -52,11 +52,11 @@ def json_scalars(docs: DataFrame) -> DataFrame:
 
     Documents with one of the structured keys are left to :func:`structured_facts`.
     """
-    parsed = docs.select("path", "domain", F.try_parse_json("text").alias("doc"))
+    parsed = docs.select("path", "domain", "text", F.try_parse_json("text").alias("doc"))
     structured = ", ".join(f"'{k}'" for k in STRUCTURED_KEYS)
     fields = docs.sparkSession.sql(
         "SELECT path, domain, pos, key, value FROM {parsed}, LATERAL variant_explode(doc) "
-        f"WHERE key IS NOT NULL AND NOT arrays_overlap(json_object_keys(to_json(doc)), array({structured}))",
+        f"WHERE key IS NOT NULL AND NOT arrays_overlap(json_object_keys(text), array({structured}))",
         parsed=parsed,
     )
     kind = F.schema_of_variant("value")
