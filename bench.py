@@ -35,7 +35,7 @@ def main() -> None:
         start = time.perf_counter()
         REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
-        if chosen:
+        if chosen or os.environ.get("BENCH_VERBOSE"):
             print(name, times[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

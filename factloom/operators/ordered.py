@@ -9,7 +9,7 @@ plain window over the key.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,16 +150,21 @@ def steps_since_improvement(
 
     keyed = peaks.select(F.to_json(F.struct(KEY)).alias("_k"), "_rn", F.col(score).alias("_score"))
 
-    def improvements(pdf: pd.DataFrame) -> pd.DataFrame:
-        best, hits = initial_best, []
-        ranked = pdf.sort_values("_rn")
-        for rn, value in zip(ranked["_rn"], ranked["_score"], strict=True):
-            if value > best + min_delta:
-                best = value
-                hits.append(rn)
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(hits), "_rn": hits})
-
-    moved = keyed.groupBy("_k").applyInPandas(improvements, "_k string, _rn long").withColumn("_moved", F.lit(True))
+    def improvements(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, current = initial_best, None
+        for page in pages:
+            hits = []
+            for key, rn, value in zip(page["_k"], page["_rn"], page["_score"], strict=True):
+                if key != current:
+                    best, current = initial_best, key
+                if value > best + min_delta:
+                    best = value
+                    hits.append((key, rn))
+            yield pd.DataFrame(hits, columns=["_k", "_rn"])
+
+    # Sorted runs per key inside a partition: no per-key call and only one page in memory.
+    runs = keyed.repartition("_k").sortWithinPartitions("_k", "_rn")
+    moved = runs.mapInPandas(improvements, "_k string, _rn long").withColumn("_moved", F.lit(True))
     marked = cut.withColumn("_k", F.to_json(F.struct(KEY))).join(moved, ["_k", "_rn"], "left")
     reset = F.col("_moved").isNotNull() | (F.coalesce(F.col(novel), F.lit(False)) if novel else F.lit(False))
     marked = add_running(marked, order, F.when(reset, F.col("_rn")), F.max, F.greatest, "_last_reset")

@@ -6,7 +6,7 @@ Objectives are columns. ``maximise`` flips the direction; inside, everything is
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,6 @@ from pyspark.sql import Window
 from factloom.operators import ordered
 from factloom.session import cut_lineage
 
-SKYLINE_SALTS = (16, 1)
 SMALL_GROUP = 20_000
 
 
@@ -28,7 +27,7 @@ def _minimised(df: DataFrame, objectives: Sequence[str], maximise: bool) -> tupl
 
 
 def _skyline_mask(points: np.ndarray) -> np.ndarray:
-    """Non-dominated rows of distinct minimised points.
+    """Non-dominated rows of minimised points; of equal points one is kept.
 
     A dominating point has the smaller coordinate sum, so the head of the sorted rest is always
     on the front; it then removes everything it dominates in one vector operation.
@@ -50,27 +49,24 @@ def _two_objective_front(df: DataFrame, keys: list[str], x: str, y: str) -> Data
 
 
 def _many_objective_front(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Skylines of batches before any shuffle, then of salted parts, then per group.
+    """One skyline per group; a group above ``SMALL_GROUP`` rows is cut into salted parts first.
 
-    Each step only keeps local skylines, so what meets in the last one is front-sized.
+    Parts only keep their local skylines, so what meets in the last step is front-sized.
     """
     points = df.select(*keys, *names)
+    by = keys or [F.lit(0).alias("_all")]
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        distinct = pdf.drop_duplicates()
-        return distinct[_skyline_mask(distinct[names].to_numpy())]
-
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [part for _, part in batch.groupby(keys, sort=False, dropna=False)] if keys else [batch]
-            if len(batch):
-                yield pd.concat([local(part) for part in parts])
-
-    points = points.mapInPandas(combine, points.schema)
-    for salts in SKYLINE_SALTS:
-        salt = F.pmod(F.xxhash64(*names), F.lit(salts)).alias("_salt")
-        points = points.groupBy(*keys, salt).applyInPandas(lambda pdf: local(pdf[[*keys, *names]]), points.schema)
-    return points
+        return pdf.loc[_skyline_mask(pdf[names].to_numpy()), [*keys, *names]]
+
+    if largest > SMALL_GROUP:
+        parts = F.ceil(F.col("_n") / SMALL_GROUP)
+        sized = points.join(sizes, keys) if keys else points.withColumn("_n", F.lit(largest))
+        salt = F.pmod(F.xxhash64(*names), parts).alias("_salt")
+        points = sized.groupBy(*keys, salt).applyInPandas(local, points.schema)
+    return points.groupBy(*by).applyInPandas(local, points.schema)
 
 
 def front(df: DataFrame, objectives: Sequence[str], keys: Sequence[str] = (), maximise: bool = False) -> DataFrame:

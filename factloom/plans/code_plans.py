@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import classify, codefacts, extract, resolve
 from factloom.plans.registry import query
+from factloom.session import cut_lineage
 
 EXTRA = "\n        while x > 9:\n            x = xs.pop()"
 
@@ -24,8 +25,10 @@ def _files(t):
     return t.part.select(F.concat(F.lit("pkg/m"), key, F.lit(".py")).alias("path"), body.alias("text"))
 
 
-def _facts(t):
-    return codefacts.CodeFacts(codefacts.read_code(_files(t)))
+def _facts(t, reads=1):
+    """Code facts; a plan that reads them more than once writes them first."""
+    code = codefacts.read_code(_files(t))
+    return codefacts.CodeFacts(code if reads == 1 else cut_lineage(code))
 
 
 PATH = "'pkg/m' || p_partkey || '.py'"
@@ -67,7 +70,7 @@ SELECT {PATH} AS path, 'defined' AS role, 'Item LABEL LIMIT area' || CASE WHEN p
 UNION ALL SELECT {PATH}, 'imported', 'annotations helper np os spare' FROM part
 UNION ALL SELECT {PATH}, 'annotation', 'Item' FROM part""")
 def _(t):
-    facts = _facts(t)
+    facts = _facts(t, reads=3)
     out = None
     for role in ("defined", "imported", "annotation"):
         rows = facts.names(role).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
@@ -120,14 +123,14 @@ SELECT {PATH} AS path, unnest(['undefined_name', 'numpy_alias_missing']) AS name
 UNION ALL SELECT {PATH}, 'undefined_name' FROM part UNION ALL SELECT {PATH}, 'x' FROM part WHERE p_type <> 'SMALL' UNION ALL SELECT {PATH}, 'xs' FROM part
 UNION ALL SELECT {PATH}, 'globals' FROM part WHERE p_type = 'SMALL'""")
 def _(t):
-    facts = _facts(t)
+    facts = _facts(t, reads=3)
     builtins = t.spark.createDataFrame([("print",), ("len",)], "name string")
     return resolve.unresolved_names(facts.names("used"), facts.names("defined"), facts.names("imported"), builtins)
 
 
 @query("j05_dead_code_imports", f"SELECT {PATH} AS path, unnest(['os', 'spare']) AS name FROM part WHERE p_type <> 'SMALL'")
 def _(t):
-    facts = _facts(t)
+    facts = _facts(t, reads=3)
     imports = facts.imports().where("top").select("path", F.col("bound").alias("name"), "structural")
     return resolve.dead_imports(imports, facts.names("mentioned").unionByName(facts.names("in_string")), facts.dynamic_files())
 
@@ -136,7 +139,7 @@ def _(t):
 SELECT {PATH} AS path, 'walk_' || {LEAF} AS function, 'np.sum' AS call, 'numpy' AS module FROM part
 UNION ALL SELECT {PATH}, 'walk_' || {LEAF}, 'helper', 'pkg' FROM part""")
 def _(t):
-    facts = _facts(t)
+    facts = _facts(t, reads=3)
     aliases = facts.aliases()
     external = aliases.where(resolve.is_external(F.col("module"))).select("path", "module")
     return resolve.external_calls(facts.calls(), aliases, external)

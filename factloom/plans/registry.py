@@ -7,6 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.session import spread_small
+
+# Tables whose queries do heavy work per row.
+TEXT_TABLES = {"documents", "pages", "conversations", "part"}
+
 
 class Tables:
     """Lazy access to the parquet tables of one scale factor."""
@@ -18,7 +23,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_small(table) if name in TEXT_TABLES else table
 
 
 @dataclass(frozen=True)
