@@ -20,8 +20,8 @@ from factloom.session import cut_lineage
 SMALL_GROUP = 20_000
 
 
-def _minimised(df: DataFrame, objectives: Sequence[str], maximise: bool) -> tuple[DataFrame, list[str]]:
-    names = [f"_o{i}" for i in range(len(objectives))]
+def _minimised(df: DataFrame, objectives: Sequence[str], maximise: bool, prefix: str = "_o") -> tuple[DataFrame, list[str]]:
+    names = [f"{prefix}{i}" for i in range(len(objectives))]
     sign = -1.0 if maximise else 1.0
     return df.withColumns({n: F.col(o).cast("double") * sign for n, o in zip(names, objectives, strict=True)}), names
 
@@ -80,7 +80,7 @@ def dominated(df: DataFrame, objectives: Sequence[str], keys: Sequence[str] = ()
     A vector is dominated exactly when it is not on the front of its group, so rows meet the
     front through an equality join instead of a test of every pair.
     """
-    rows, names = _minimised(df, objectives, maximise)
+    rows, names = _minimised(df, objectives, maximise, "_d")
     keys = list(keys)
     if len(names) == 2:
         best = _two_objective_front(rows, keys, *names)
