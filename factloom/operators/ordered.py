@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType
 
+from factloom.session import cut_lineage
+
 BUCKETS = 64
 BUCKET = "_bucket"
 KEY = "_key"
@@ -120,13 +122,15 @@ def kinetics(
     A row stalls when it has two predecessors and both differences are below ``epsilon``; the
     run counts the stalled rows in a row, ending at the row itself.
     """
-    cut = add_row_number(bucketed(df, keys, order[0]), order, "_rn")
+    # Every step reads its input twice (rows and carry), so each result is written once; chained
+    # plans would double the work per step.
+    cut = cut_lineage(add_row_number(bucketed(df, keys, order[0]), order, "_rn"))
     cut = add_neighbour(cut, order, score, "_prev").withColumn("velocity", F.coalesce(F.col(score) - F.col("_prev"), F.lit(0.0)))
-    cut = add_neighbour(cut, order, "velocity", "_prev_velocity").withColumn(
+    cut = add_neighbour(cut_lineage(cut), order, "velocity", "_prev_velocity").withColumn(
         "acceleration", F.when(F.col("_rn") >= 3, F.col("velocity") - F.col("_prev_velocity")).otherwise(F.lit(0.0))
     )
     stalled = (F.col("_rn") >= 3) & (F.abs("velocity") < epsilon) & (F.abs("acceleration") < epsilon)
-    cut = add_running(cut, order, F.when(~stalled, F.col("_rn")), F.max, F.greatest, "_break")
+    cut = add_running(cut_lineage(cut), order, F.when(~stalled, F.col("_rn")), F.max, F.greatest, "_break")
     return plain(
         cut.withColumn("stall_run", F.col("_rn") - F.coalesce("_break", F.lit(0)))
         .withColumn("stagnation", F.col("stall_run") >= patience)
@@ -144,8 +148,8 @@ def steps_since_improvement(
     qualify, since the best never lies more than ``min_delta`` below the running maximum; the
     fold therefore sees those few rows and not a key's whole history.
     """
-    cut = add_row_number(bucketed(df, keys, order[0]), order, "_rn")
-    cut = add_running(cut, order, F.col(score), F.max, F.greatest, "_max_before", inclusive=False)
+    cut = cut_lineage(add_row_number(bucketed(df, keys, order[0]), order, "_rn"))
+    cut = cut_lineage(add_running(cut, order, F.col(score), F.max, F.greatest, "_max_before", inclusive=False))
     peaks = cut.where((F.col(score) > F.coalesce("_max_before", F.lit(float("-inf")))) & (F.col(score) > initial_best + min_delta))
 
     keyed = peaks.select(F.to_json(F.struct(KEY)).alias("_k"), "_rn", F.col(score).alias("_score"))
@@ -167,7 +171,7 @@ def steps_since_improvement(
     moved = runs.mapInPandas(improvements, "_k string, _rn long").withColumn("_moved", F.lit(True))
     marked = cut.withColumn("_k", F.to_json(F.struct(KEY))).join(moved, ["_k", "_rn"], "left")
     reset = F.col("_moved").isNotNull() | (F.coalesce(F.col(novel), F.lit(False)) if novel else F.lit(False))
-    marked = add_running(marked, order, F.when(reset, F.col("_rn")), F.max, F.greatest, "_last_reset")
+    marked = add_running(cut_lineage(marked), order, F.when(reset, F.col("_rn")), F.max, F.greatest, "_last_reset")
     steps = F.col("_rn") - F.coalesce("_last_reset", F.lit(0))
     return plain(
         marked.withColumn("steps", steps).withColumn("stagnant", steps >= patience).drop("_k", "_rn", "_moved", "_max_before", "_last_reset")

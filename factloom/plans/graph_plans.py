@@ -257,9 +257,14 @@ def _(t):
     return tables["report"]
 
 
-@query("x01_changed_documents", """
-WITH e AS (SELECT doc_id FROM documents WHERE lang <> 'es')
-SELECT doc_id AS key, lang IN ('fr', 'es') AS recomputed FROM documents""")
+def _meaning_sql(text):
+    bare = f"regexp_replace(regexp_replace({text}, '(?m)#.*$', '', 'g'), '(?m)//.*$', '', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({bare}, '(?s)/\*.*?\*/', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("x01_changed_documents", f"""
+WITH e AS (SELECT doc_id, lang, {_meaning_sql('text')} AS old, {_meaning_sql("text || CASE WHEN lang = 'fr' THEN ' x' ELSE chr(10) || '# note' END")} AS new FROM documents)
+SELECT doc_id AS key, lang = 'es' OR old <> new AS recomputed FROM e""")
 def _(t):
     from factloom.operators import delta
 

@@ -238,9 +238,16 @@ def run_metrics(text: Column) -> dict[str, Column]:
 _CASES = "struct<passed:boolean,cases:array<struct<name:string,passed:boolean,error:double>>>"
 
 
+def _report(text: Column) -> Column:
+    """Validation report of a text; a JSON object always runs from its first to its last brace."""
+    start = F.instr(text, "{")
+    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    return F.when((start > 0) & (end > start), F.from_json(F.substring(text, start, end - start + 1), _CASES))
+
+
 def validation_cases(outputs: DataFrame, tolerance: float, key: str = "run_id") -> DataFrame:
     """Cases of validation runs in (key, text) from a JSON report, else from PASS/FAIL or error lines."""
-    parsed = outputs.withColumn("report", F.from_json(F.to_json(embedded_json(F.col("text"))), _CASES)).withColumn(
+    parsed = outputs.withColumn("report", _report(F.col("text"))).withColumn(
         "is_json", F.col("report.cases").isNotNull()
     )
     listed = parsed.where("is_json").select(key, F.posexplode("report.cases").alias("position", "c")).select(
@@ -269,7 +276,7 @@ def validation_report(outputs: DataFrame, tolerance: float, key: str = "run_id")
     cases = validation_cases(outputs.select(key, "text"), tolerance, key).groupBy(key).agg(
         F.count_if("passed").alias("num_passed"), F.count_if(~F.col("passed")).alias("num_failed")
     )
-    report = F.from_json(F.to_json(embedded_json(F.col("text"))), _CASES)
+    report = _report(F.col("text"))
     runs = outputs.select(key, "returncode", report.alias("report"))
     has_cases = F.col("num_passed").isNotNull()
     overall = (
