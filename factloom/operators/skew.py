@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1000
@@ -25,7 +25,7 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
 def spread_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join ``big`` with ``lookup`` (one row per key), splitting the hot keys of ``big``.
 
-    Rows of hot keys get a random-free salt from a row hash and the matching lookup rows are
+    Rows of hot keys get a salt from a hash of the row, the same on every retry, and the matching lookup rows are
     repeated once per salt; all other rows keep salt 0. Every match is kept.
     """
     keys = list(keys)
@@ -39,10 +39,3 @@ def spread_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def two_step_agg(df: DataFrame, keys: Sequence[str], partial: dict[str, Column], final: dict[str, Column], spread: Sequence[str]) -> DataFrame:
-    """Aggregate by (keys, hash of ``spread``) first, for aggregates without map-side combine."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS))
-    part = df.groupBy(*keys, salt.alias("_salt")).agg(*[c.alias(k) for k, c in partial.items()])
-    return part.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])

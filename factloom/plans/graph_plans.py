@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, rollups, stages
 from factloom.functions import text as T
+from factloom.operators import graph, rollups, stages
 from factloom.plans.registry import query
 from factloom.streaming import cycles
 
@@ -52,7 +52,7 @@ def _(t):
     return graph.topological_order(graph.levels(_nodes(t, deps), deps)).withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
-EDGE_SQL = """e AS (SELECT DISTINCT c_nationkey % 25 AS src, s_nationkey AS dst FROM (SELECT DISTINCT c_nationkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 495000)
+EDGE_SQL = """e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM (SELECT DISTINCT c_nationkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 495000)
   JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40)"""
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import ledger, ordered
-from factloom.operators import ranking as _ranking  # noqa: F401
 from factloom.plans.registry import query
 
 
