@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
+from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +58,63 @@ WITH docs AS (
 SELECT *, NOT base_failed AND 100 * n_removed_words <= {DEPLETED_PERCENT} * n_words AS kept FROM judged
 """
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    secrets = F.col("secrets")
+
+    def count(kind: str):
+        return F.size(F.filter(secrets, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in BASE_KINDS], F.sha2(listed(secrets, BASE_KINDS), 256).alias("base_sha256"),
+        listed(secrets).alias("spans"),
+    )
+
+
+_SQL_KEY = (
+    "((?:" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token"))
+    + "|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?)"
+)
+#: kind, pattern, group that is measured, least length
+_SQL_RULES = (
+    ("assign", _SQL_KEY + "([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    ("google", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 27),
+)
+OP4_SQL = (
+    "WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), spans AS ("
+    + " UNION ALL ".join(
+        f"""
+  SELECT doc_id, '{kind}' AS kind, {k} AS k, length(m[i]) AS n,
+         list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT
+         + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}', 0) AS m,
+           regexp_extract_all(text, '{pattern}', {group}) AS g FROM docs))
+  WHERE length(g[i]) >= {least}"""
+        for k, (kind, pattern, group, least) in enumerate(_SQL_RULES)
+    )
+    + """), listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || start + n, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || start || ':' || start + n, ',' ORDER BY start, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN listed l USING (doc_id)
+"""
+)
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op4_secret_scan": op4_secret_scan,
 }
 SQL = {
     "op1_line_frequency": OP1_SQL,
+    "op4_secret_scan": OP4_SQL,
 }
