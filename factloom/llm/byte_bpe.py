@@ -14,6 +14,7 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters of the split pattern's ``\s``, spelled out: libraries differ on the control characters 0x1C-0x1F.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str
                 rest = [batch.column(i)[part.start : part.stop] for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*rest, bpe.encode(texts[part])], names=[*columns, ids])
 
-    schema = docs.select(*columns).schema.add(ids, "array<int>")
+    schema = T.StructType(docs.select(*columns).schema.fields).add(ids, T.ArrayType(T.IntegerType()))
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
@@ -303,6 +304,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
                 )
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(bpe.decode(own), pa.binary())], names=[*columns, out])
 
-    schema = encoded.select(*columns).schema.add(out, "binary")
+    schema = T.StructType(encoded.select(*columns).schema.fields).add(out, T.BinaryType())
     filled = F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids")
     return encoded.select(*columns, filled).mapInArrow(run, schema)
