@@ -24,11 +24,11 @@ WIDE_BLANK = re.compile(r" \s|\s ")
 STEPS = 12
 LONG = 64
 #: New words of a batch are merged in groups of about so many bytes.
-GROUP_BYTES = 400_000
+GROUP_BYTES = 250_000
 #: Words whose ids a task remembers before it starts its memory anew.
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 300_000
 #: Texts of a batch are handled in runs of about so many characters or ids.
-RUN = 3_000_000
+RUN = 1_000_000
 
 #: The token-position rows of every word join the merge table; its leftmost pair of minimum rank is
 #: contracted, until no pair is left.
@@ -105,7 +105,7 @@ class Tokenizer:
         np.minimum.at(lowest, b, rank)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '600MB'")
+        self.db.execute("SET memory_limit = '250MB'")
         merges = pa.table({"a": a, "b": b, "rank": rank, "safe": lowest[rank] > rank})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         pieces = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]})  # noqa: F841
@@ -264,25 +264,32 @@ def _runs(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text", decoded: str | None = None
+) -> DataFrame:
     """Every row with its whole text as token ids in the array column ``ids``, which replaces a namesake.
 
     Each match of ``pattern`` is encoded by itself, without special tokens. A null text counts as
     empty and has no ids. Texts are read in runs of bounded size and the different words of a run are
-    encoded once. ``path`` must be readable on every executor.
+    encoded once. ``path`` must be readable on every executor. ``decoded`` names a binary column for
+    what :func:`decode` makes of the ids, in the same pass.
     """
-    columns = [c for c in docs.columns if c != ids]
+    out = [ids, decoded] if decoded else [ids]
+    columns = [c for c in docs.columns if c not in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(len(columns)).to_pylist()]
-            for part in _runs([len(t) for t in texts]):
-                rest = [batch.column(i)[part.start : part.stop] for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*rest, bpe.encode(texts[part])], names=[*columns, ids])
+            texts = batch.column(len(columns))
+            for part in _runs(pa.compute.binary_length(texts).to_pylist()):
+                encoded = bpe.encode(texts[part].to_pylist())
+                made = [encoded, pa.array(bpe.decode(encoded), pa.binary())] if decoded else [encoded]
+                rest = [batch.column(i)[part] for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*rest, *made], names=[*columns, *out])
 
     schema = T.StructType(docs.select(*columns).schema.fields).add(ids, T.ArrayType(T.IntegerType()))
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = schema.add(decoded, T.BinaryType()) if decoded else schema
+    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -293,15 +300,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
         bpe = tokenizer(path, pattern)
         for batch in batches:
             lists = batch.column(len(columns)).cast(pa.list_(pa.int32()))
-            for part in _runs(np.diff(lists.offsets.to_numpy()).tolist()):
-                rest = [batch.column(i)[part.start : part.stop] for i in range(len(columns))]
-                own = pa.ListArray.from_arrays(
-                    pa.array(lists.offsets.to_numpy()[part.start : part.stop + 1], pa.int32()), lists.values
-                )
-                first = own.offsets[0].as_py()
-                own = pa.ListArray.from_arrays(
-                    pa.array(own.offsets.to_numpy() - first, pa.int32()), lists.values[first : own.offsets[-1].as_py()]
-                )
+            for part in _runs(pa.compute.list_value_length(lists).to_pylist()):
+                own = pa.array(lists[part].to_pylist(), pa.list_(pa.int32()))
+                rest = [batch.column(i)[part] for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(bpe.decode(own), pa.binary())], names=[*columns, out])
 
     schema = T.StructType(encoded.select(*columns).schema.fields).add(out, T.BinaryType())

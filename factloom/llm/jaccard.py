@@ -68,7 +68,8 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     count = len(words) - n + 1
     out = np.full(count, np.uint64(n))
     for k in range(n):
-        out = out * _PRIME + mixed(words[k : k + count] + np.uint64(k + 1) * _GOLD)
+        shift = np.uint64((k + 1) * int(_GOLD) % (1 << 64))
+        out = out * _PRIME + mixed(words[k : k + count] + shift)
     return mixed(out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe
+from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 
@@ -114,17 +115,22 @@ FROM docs d LEFT JOIN listed l USING (doc_id)
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    counted = encoded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(documents, path, pattern, decoded="bytes")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
-    decoded = byte_bpe.decode(counted, path, pattern)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_secret_scan": op4_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
 }
