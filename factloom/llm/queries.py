@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe
+from factloom.llm.factoring import duplicate_spans
 from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
@@ -128,11 +129,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_factoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = duplicate_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_secret_scan": op4_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_factoring": op10_factoring,
 }
 SQL = {
     "op1_line_frequency": OP1_SQL,
