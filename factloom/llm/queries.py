@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe
+from factloom.llm.common import held_out
 from factloom.llm.factoring import duplicate_spans
 from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
+from factloom.llm.toxicity import toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,10 +136,20 @@ def op10_factoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    scores = toxicity(documents, train_toxicity(documents, labels, ~out))
+    return scores.select(
+        "doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_secret_scan": op4_secret_scan,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_factoring": op10_factoring,
 }
