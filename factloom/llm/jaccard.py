@@ -17,8 +17,10 @@ PERCENT = 80
 #: Texts are hashed in runs of about so many bytes, which bounds the memory of a task.
 RUN_BYTES = 3_000_000
 #: A block of the product has at most about so many documents and n-grams a side.
-BLOCK_DOCS = 256
+BLOCK_DOCS = 1024
 BLOCK_GRAMS = 2_000_000
+#: Times that documents without enough shared grams are dropped.
+PASSES = 2
 #: Columns of the incidence matrix that are multiplied at once.
 STRIP = 2048
 
@@ -156,11 +158,17 @@ def candidate_blocks(profiles: DataFrame, percent: int) -> DataFrame:
     rows = stored(grams.join(shared, "gram"), "shared-rows")
     floor = shared_floor(F.ceil(F.col("n_shingles") * percent / 100))
     alive = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(firsts, "doc_id").where(F.col("n") >= floor)
+    # Copies made grams look shared; among different sets fewer are, and each pass drops documents that gave grams to others.
+    for _ in range(PASSES):
+        alive = stored(alive.select("doc_id"), "near-sets")
+        rows = stored(rows.select("gram", "doc_id").join(alive, "doc_id").distinct(), "near-rows")
+        led = rows.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        led = stored(led.select("gram", "leader"), "leaders")
+        rows = stored(rows.join(led, "gram"), "led-rows")
+        alive = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(firsts, "doc_id").where(F.col("n") >= floor)
+        rows = rows.select("gram", "doc_id", "leader")
     alive = stored(alive.select("doc_id"), "near-sets")
-    rows = stored(rows.join(alive, "doc_id").distinct(), "near-rows")
-    led = rows.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    led = stored(led.select("gram", "leader"), "leaders")
-    return rows.join(led, "gram").select("leader", "doc_id").distinct()
+    return rows.join(alive, "doc_id").select("leader", "doc_id").distinct()
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
