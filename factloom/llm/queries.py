@@ -11,6 +11,7 @@ from factloom.llm.common import held_out
 from factloom.llm.factoring import duplicate_spans
 from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
+from factloom.llm.rule_ensemble import quality, train_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 from factloom.llm.toxicity import toxicity, train_toxicity
 
@@ -64,6 +65,14 @@ WITH docs AS (
 SELECT *, NOT base_failed AND 100 * n_removed_words <= {DEPLETED_PERCENT} * n_words AS kept FROM judged
 """
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    return quality(documents, train_rules(documents, labels, ~out)).select(
+        "doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     secrets = F.col("secrets")
@@ -147,6 +156,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,

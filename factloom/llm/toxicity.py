@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import stored, text_of
+from factloom.llm.common import labelled_sample, stored, text_of
 
 #: Labelled documents that teach a model, at most: those first in the order of a hash of their ids.
 SAMPLE = 4000
@@ -193,17 +193,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, size: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``size`` labelled documents, first in the order of a hash of their ids."""
-    rows = labels.where(eligible & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")
-    )
-    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size), "labelled")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id")  # at most ``size`` ids
-
-
 def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column, size: int = SAMPLE) -> ToxicityModel | None:
     """Learn from labelled documents; None when both labels do not occur among them.
 
