@@ -14,6 +14,7 @@ from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE,
 from factloom.llm.rule_ensemble import quality, train_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 from factloom.llm.toxicity import toxicity, train_toxicity
+from factloom.llm.url_model import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +155,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -161,6 +166,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_url_model": op7_url_model,
     "op10_factoring": op10_factoring,
 }
 SQL = {
