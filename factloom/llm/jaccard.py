@@ -298,3 +298,11 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates, once; rows without doc_id stay."""
+    groups = jaccard_groups(docs, percent)
+    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    alone = docs.where("doc_id IS NULL")
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(alone)

@@ -11,10 +11,12 @@ from factloom.llm.common import held_out
 from factloom.llm.factoring import duplicate_spans
 from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
+from factloom.llm.mixing import mix
 from factloom.llm.rule_ensemble import quality, train_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 from factloom.llm.toxicity import toxicity, train_toxicity
 from factloom.llm.url_model import judge_urls
+from factloom.llm.vectors import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,6 +161,14 @@ def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -167,6 +177,8 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_model": op7_url_model,
+    "op8_pfair_mix": op8_pfair_mix,
+    "op9_multi_index": op9_multi_index,
     "op10_factoring": op10_factoring,
 }
 SQL = {

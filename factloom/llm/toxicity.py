@@ -9,10 +9,8 @@ import re
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.llm.common import labelled_sample, stored, text_of
 
@@ -247,7 +245,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column, size: i
     cost = np.where(y > 0, 0.5 / len(positives), 0.5 / len(negatives))
     w = _hinge(x, y, cost)
     model = ToxicityModel(landmarks, len(insults), nystroem @ w[:-1], float(w[-1]), np.zeros(3))
-    tops = margins_of(sample.select("doc_id", "label", "text"), model).select("label", "top1", "top2").toPandas()
+    tops = sample.select("label", margins_of(F.col("text"), model).alias("m")).select("label", "m.*").toPandas()
     top = tops[["top1", "top2"]].to_numpy()
     scale = logistic(np.clip(top, 0, 1.5), tops["label"].to_numpy().astype(float))
     return ToxicityModel(landmarks, len(insults), model.weights, model.bias, scale)
@@ -271,59 +269,74 @@ def _chosen(found: pd.DataFrame, least: int) -> list[str]:
     return chosen
 
 
-def margins_of(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows without their text, with the margins of the two most toxic words of the text.
+def _tops(model: ToxicityModel, batches: Iterator[pd.Series]) -> Iterator[np.ndarray]:
+    """Margins of the two most toxic words of each text of a batch; every different word is compared once."""
+    known: set[str] = set()
+    toxic: dict[str, float] = {}
+    for batch in batches:
+        texts, tops, at = batch.tolist(), [np.empty((0, 2))], 0
+        while at < len(texts):
+            held: list[set[str]] = []
+            size = 0
+            while at + len(held) < len(texts) and (not held or size < RUN_CHARS):
+                size += len(texts[at + len(held)])
+                held.append(words_of(texts[at + len(held)]))
+            if len(known) > KNOWN_WORDS:
+                known, toxic = set(), {}
+            new = list(set().union(*held) - known)
+            known.update(new)
+            parts = [(w, part) for w in new for part in cut(w)]
+            margins = model.margins([part for _, part in parts]) if parts else np.empty(0)
+            for i in np.flatnonzero(margins > model.bias):
+                w = parts[i][0]
+                toxic[w] = max(float(margins[i]), toxic.get(w, model.bias))
+            top = np.full((len(held), 2), model.bias)
+            for k, words in enumerate(held):
+                if best := sorted({toxic[w] for w in words & toxic.keys()})[-2:]:
+                    top[k, : len(best)] = best[::-1]
+            tops.append(top)
+            at += len(held)
+        yield np.concatenate(tops)
+
+
+def margins_of(text: Column, model: ToxicityModel) -> Column:
+    """(top1, top2): margins of the two most toxic words of a text.
 
     The margin of a sentence is that of its most toxic word, and that of a text is that of its most
-    toxic sentence. Every different word of a run of texts is compared with the landmarks once.
+    toxic sentence.
     """
-    columns = [c for c in docs.columns if c not in ("text", "top1", "top2")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[str] = set()
-        toxic: dict[str, float] = {}
-        for batch in batches:
-            texts = batch.column(len(columns))
-            at = 0
-            while at < len(texts):
-                held: list[set[str]] = []
-                size = 0
-                while at + len(held) < len(texts) and (not held or size < RUN_CHARS):
-                    text = texts[at + len(held)].as_py()
-                    size += len(text)
-                    held.append(words_of(text))
-                if len(known) > KNOWN_WORDS:
-                    known, toxic = set(), {}
-                new = list(set().union(*held) - known)
-                known.update(new)
-                parts = [(w, part) for w in new for part in cut(w)]
-                margins = model.margins([part for _, part in parts]) if parts else np.empty(0)
-                for i in np.flatnonzero(margins > model.bias):
-                    w = parts[i][0]
-                    toxic[w] = max(float(margins[i]), toxic.get(w, model.bias))
-                top = np.full((len(held), 2), model.bias)
-                for k, words in enumerate(held):
-                    if len(best := sorted({toxic[w] for w in words & toxic.keys()})[-2:]):
-                        top[k, : len(best)] = best[::-1]
-                rest = [batch.column(i)[at : at + len(held)] for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(top[:, 0]), pa.array(top[:, 1])], names=[*columns, "top1", "top2"])
-                at += len(held)
-
-    schema = T.StructType(docs.select(*columns).schema.fields).add("top1", "double").add("top2", "double")
-    return docs.select(*columns, text_of().alias("text")).mapInArrow(run, schema)
 
+    @F.pandas_udf("top1 double, top2 double")
+    def margins(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for top in _tops(model, batches):
+            yield pd.DataFrame(top, columns=["top1", "top2"])
+
+    return margins(text_of(text))
 
-def toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """(doc_id, score) per input row: the probability of the label, between 0 and 1.
 
-    Whole texts are read. A null or empty text, and any text under a missing model, has the score of
-    a text without toxic words. Repeated rows get equal scores; other columns are ignored.
+def toxicity_score(text: Column, model: ToxicityModel | None) -> Column:
+    """The probability of the label, between 0 and 1, from the whole text; null counts as empty.
+
+    An empty text, and any text under a missing model, has the score of a text without toxic words.
     """
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+        return F.lit(0.0)
 
     @F.pandas_udf("double")
-    def scored(top1: pd.Series, top2: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack([top1, top2])))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for top in _tops(model, batches):
+            yield pd.Series(model.score(top))
+
+    return score(text_of(text))
+
+
+def toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
+    """(doc_id, score) per input row; repeated rows get equal scores, other columns are ignored."""
+    return docs.select("doc_id", toxicity_score(F.col("text"), model).alias("score"))
+
 
-    return margins_of(docs.select("doc_id", "text"), model).select("doc_id", scored("top1", "top2").alias("score"))
+def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores below ``threshold``."""
+    score = "_toxicity"
+    scored = docs.withColumn(score, toxicity_score(F.col("text"), model))
+    return scored.where(F.col(score) < threshold).select(*docs.columns)
