@@ -24,11 +24,13 @@ NEGATIVES = 6000
 #: A labelled toxic document counts for new insults until so many that it holds are found.
 COVER = 3
 LONGEST = 40
+#: Tokens whose subsequences are laid out at once.
+CHUNK = 2000
 #: Least kernel with an insult of a word that is looked at.
 SIMILAR = 0.35
-RUN_CHARS = 3_000_000
+RUN_CHARS = 1_000_000
 #: Words that a task remembers before it starts its memory anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 _OFFSETS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
@@ -58,7 +60,7 @@ def cut(word: str) -> list[str]:
 def _codes(tokens: list[str]) -> np.ndarray:
     """Characters folded to 1..63 as a matrix, 0 where a token has ended. Longer tokens are cut into overlapping parts before."""
     width = max(map(len, tokens), default=1)
-    data = np.zeros((len(tokens), width + SPAN), np.int64)
+    data = np.zeros((len(tokens), width + SPAN), np.int32)
     joined = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32).astype(np.int64)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     rows = np.repeat(np.arange(len(tokens)), sizes)
@@ -121,8 +123,8 @@ class Landmarks:
         """
         out = np.zeros((len(tokens), self.count))
         order = np.argsort(np.fromiter(map(len, tokens), np.int64, len(tokens)), kind="stable")
-        for low in range(0, len(tokens), 8000):
-            chunk = order[low : low + 8000]
+        for low in range(0, len(tokens), CHUNK):
+            chunk = order[low : low + CHUNK]
             triples, weights = _triples(_codes([tokens[i] for i in chunk]))
             place = np.where(triples >= 0, self.place[triples], -1)
             rows, columns = np.nonzero(place >= 0)
@@ -274,13 +276,14 @@ def _tops(model: ToxicityModel, batches: Iterator[pd.Series]) -> Iterator[np.nda
     known: set[str] = set()
     toxic: dict[str, float] = {}
     for batch in batches:
-        texts, tops, at = batch.tolist(), [np.empty((0, 2))], 0
-        while at < len(texts):
+        tops, at = [np.empty((0, 2))], 0
+        while at < len(batch):
             held: list[set[str]] = []
             size = 0
-            while at + len(held) < len(texts) and (not held or size < RUN_CHARS):
-                size += len(texts[at + len(held)])
-                held.append(words_of(texts[at + len(held)]))
+            while at + len(held) < len(batch) and (not held or size < RUN_CHARS):
+                text = batch.iat[at + len(held)]
+                size += len(text)
+                held.append(words_of(text))
             if len(known) > KNOWN_WORDS:
                 known, toxic = set(), {}
             new = list(set().union(*held) - known)
