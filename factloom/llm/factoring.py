@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import stored, text_of
-from factloom.llm.jaccard import byte_runs, list_array, mixed, window_hashes, word_hashes
+from factloom.llm.jaccard import RUN_BYTES, byte_runs, list_array, mixed, window_hashes, word_hashes
 
 #: Words of the shortest factor that counts as a duplicate.
 LEAST_WORDS = 20
@@ -35,7 +35,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             at = 0
-            for texts in byte_runs(batch.column(1).to_pylist()):
+            for texts in byte_runs(batch.column(1)):
                 ids = batch.column(0)[at : at + len(texts)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(map(pack, texts), pa.binary())], names=["doc_id", "packed"])
                 at += len(texts)
@@ -51,7 +51,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     run, size, start = [], 0, 0
     for i, value in enumerate(batch.column(1)):
         text = unpack.decompress(value.as_py())
-        if run and size + len(text) > 3_000_000:
+        if run and size + len(text) > RUN_BYTES:
             yield start, run
             run, size, start = [], 0, i
         run.append(text)
@@ -70,7 +70,7 @@ def anchor_profiles(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in byte_runs(batch.column(1).to_pylist()):
+            for texts in byte_runs(batch.column(1)):
                 words, bounds = word_hashes(texts, lower=False)
                 keys: tuple[list[int], list[int]] = ([], [])
                 anchors, starts = [], []

@@ -15,7 +15,7 @@ from factloom.llm.components import components, local_components, tree_edges
 N_GRAM = 5
 PERCENT = 80
 #: Texts are hashed in runs of about so many bytes, which bounds the memory of a task.
-RUN_BYTES = 3_000_000
+RUN_BYTES = 1_000_000
 #: A block of the product has at most about so many documents and n-grams a side.
 BLOCK_DOCS = 1024
 BLOCK_GRAMS = 2_000_000
@@ -86,15 +86,17 @@ def gram_sets(texts: list[bytes], n: int = N_GRAM) -> list[np.ndarray]:
     return sets
 
 
-def byte_runs(texts: list[str | None]) -> Iterator[list[bytes]]:
+def byte_runs(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a column as bytes, in runs of bounded size; null is empty."""
     run, size = [], 0
-    for t in texts:
-        encoded = (t or "").encode("utf-8", "surrogatepass")
-        if run and size + len(encoded) > RUN_BYTES:
-            yield run
-            run, size = [], 0
-        run.append(encoded)
-        size += len(encoded)
+    for low in range(0, len(texts), 256):
+        for t in texts[low : low + 256].to_pylist():
+            encoded = (t or "").encode("utf-8", "surrogatepass")
+            if run and size + len(encoded) > RUN_BYTES:
+                yield run
+                run, size = [], 0
+            run.append(encoded)
+            size += len(encoded)
     if run:
         yield run
 
@@ -125,7 +127,7 @@ def gram_profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in byte_runs(batch.column(1).to_pylist()):
+            for texts in byte_runs(batch.column(1)):
                 sets = gram_sets(texts)
                 sizes = [len(s) for s in sets]
                 keys = [
@@ -214,7 +216,7 @@ def jaccard_edges(docs: DataFrame, profiles: DataFrame, percent: int = PERCENT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in byte_runs(batch.column(1).to_pylist()):
+            for texts in byte_runs(batch.column(1)):
                 sets = gram_sets(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[at : at + len(texts)], pa.array([len(s) for s in sets], pa.int64()), list_array(sets)],
