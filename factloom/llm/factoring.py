@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import stored, text_of
-from factloom.llm.jaccard import RUN_BYTES, byte_runs, list_array, mixed, window_hashes, word_hashes
+from factloom.llm.jaccard import byte_runs, list_array, mixed, packed_texts, unpacked_runs, window_hashes, word_hashes
 
 #: Words of the shortest factor that counts as a duplicate.
 LEAST_WORDS = 20
@@ -28,38 +27,6 @@ def anchors_of_windows(grams: np.ndarray, span: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts as compressed bytes, which halves what a shuffle of whole texts moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            at = 0
-            for texts in byte_runs(batch.column(1)):
-                ids = batch.column(0)[at : at + len(texts)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(map(pack, texts), pa.binary())], names=["doc_id", "packed"])
-                at += len(texts)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "doc_id long, packed binary"
-    )
-
-
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of a batch whose second column is packed, with the row each run starts at."""
-    unpack = zstandard.ZstdDecompressor()
-    run, size, start = [], 0, 0
-    for i, value in enumerate(batch.column(1)):
-        text = unpack.decompress(value.as_py())
-        if run and size + len(text) > RUN_BYTES:
-            yield start, run
-            run, size, start = [], 0, i
-        run.append(text)
-        size += len(text)
-    if run:
-        yield start, run
-
-
 def anchor_profiles(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_words, key1, key2, anchors, starts) per row.
 
@@ -110,7 +77,7 @@ def reference_windows(packed: DataFrame, live: DataFrame, least: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, places = batch.column(0).to_numpy(), batch.column(2)
-            for at, texts in _unpacked(batch):
+            for at, texts in unpacked_runs(batch):
                 words, bounds = word_hashes(texts, lower=False)
                 hashes, starts, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -167,7 +134,7 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     shared = stored(shared, "shared-anchors")
     alive = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("start").alias("live"))
     alive = stored(alive.join(classes.select(F.col("first").alias("doc_id")), "doc_id"), "live-anchors")
-    packed = _packed(docs.where("doc_id IS NOT NULL"))
+    packed = packed_texts(docs.where("doc_id IS NOT NULL"))
     windows = reference_windows(packed, alive, least)
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("x"))
     firsts = firsts.groupBy("x.doc_id").agg(F.collect_list("x.start").alias("firsts"))
@@ -181,7 +148,7 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             live, firsts, marked = (batch.column(i) for i in (2, 3, 4))
-            for at, texts in _unpacked(batch):
+            for at, texts in unpacked_runs(batch):
                 words, bounds = word_hashes(texts, lower=False)
                 counts, removed, spans, kept = [], [], [], []
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -208,6 +175,6 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "spans", "kept_text"],
                 )
 
-    joined = _packed(docs).join(marks, "doc_id", "left").select("doc_id", "packed", "live", "firsts", "marked")
+    joined = packed_texts(docs).join(marks, "doc_id", "left").select("doc_id", "packed", "live", "firsts", "marked")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
     return joined.mapInArrow(run, schema)

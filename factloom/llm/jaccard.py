@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stored, text_of
+from factloom.llm.common import discard, stored, text_of
 from factloom.llm.components import components, local_components, tree_edges
 
 N_GRAM = 5
@@ -101,6 +102,38 @@ def byte_runs(texts: pa.Array) -> Iterator[list[bytes]]:
         yield run
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): texts as compressed bytes, which halves what a shuffle of whole texts moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = 0
+            for texts in byte_runs(batch.column(1)):
+                ids = batch.column(0)[at : at + len(texts)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(pack, texts), pa.binary())], names=["doc_id", "packed"])
+                at += len(texts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
+        run, "doc_id long, packed binary"
+    )
+
+
+def unpacked_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of a batch whose second column is packed, with the row each run starts at."""
+    unpack = zstandard.ZstdDecompressor()
+    run, size, start = [], 0, 0
+    for i, value in enumerate(batch.column(1)):
+        text = unpack.decompress(value.as_py())
+        if run and size + len(text) > RUN_BYTES:
+            yield start, run
+            run, size, start = [], 0, i
+        run.append(text)
+        size += len(text)
+    if run:
+        yield start, run
+
+
 def shared_floor(n: Column | int):
     """Least number of prefix grams that two linked documents share, for the smaller one's size."""
     return max(1, n // 40) if isinstance(n, int) else F.greatest(F.lit(1), F.floor(n / 40))
@@ -166,7 +199,8 @@ def candidate_blocks(profiles: DataFrame, percent: int) -> DataFrame:
         rows = stored(rows.select("gram", "doc_id").join(alive, "doc_id").distinct(), "near-rows")
         led = rows.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
         led = stored(led.select("gram", "leader"), "leaders")
-        rows = stored(rows.join(led, "gram"), "led-rows")
+        near, rows = rows, stored(rows.join(led, "gram"), "led-rows")
+        discard(near)
         alive = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(firsts, "doc_id").where(F.col("n") >= floor)
         rows = rows.select("gram", "doc_id", "leader")
     alive = stored(alive.select("doc_id"), "near-sets")
@@ -203,31 +237,17 @@ def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return linked
 
 
-def jaccard_edges(docs: DataFrame, profiles: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_edges(docs: DataFrame, members: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): enough links between different gram sets to connect all that are connected.
 
-    Blocks are cut by size class (linked sizes are in one class or in neighbouring ones) and then
-    into parts of bounded size; each pair of parts is one product. Only a tree over each group that
-    the product connects leaves it, so no group's pairs are ever rows.
+    ``members`` has the blocks of :func:`candidate_blocks` and ``sizes`` (doc_id, n_shingles) of their
+    documents. Blocks are cut by size class (linked sizes are in one class or in neighbouring ones)
+    and then into parts of bounded size; each pair of parts is one product. Texts travel to their
+    blocks compressed, which is less than their grams. Only a tree over each group that the product
+    connects leaves a block, so no group's pairs are ever rows.
     """
-    members = stored(candidate_blocks(profiles, percent), "members")
-    wanted = members.select("doc_id").distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in byte_runs(batch.column(1)):
-                sets = gram_sets(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + len(texts)], pa.array([len(s) for s in sets], pa.int64()), list_array(sets)],
-                    names=["doc_id", "n", "grams"],
-                )
-                at += len(texts)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sets = stored(texts.join(wanted, "doc_id").mapInArrow(run, "doc_id long, n long, grams array<long>"), "sets")
     ratio = float(np.log(100 / percent)) if percent < 100 else 1e-9
-    sized = members.join(sets.select("doc_id", "n"), "doc_id").withColumn(
+    sized = members.join(sizes.withColumnRenamed("n_shingles", "n"), "doc_id").withColumn(
         "class", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")
     )
     whole = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
@@ -247,27 +267,30 @@ def jaccard_edges(docs: DataFrame, profiles: DataFrame, percent: int = PERCENT)
     grid = stored(parts.join(above, ["leader", "class"], "left").join(below, ["leader", "class"], "left"), "grid")
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
 
-    def pairs(count: Column, cell) -> Column:
-        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), cell)).otherwise(F.array().cast("array<struct<class:int,other:int,i:int,j:int>>"))
-
     def cell(low: Column, high: Column, i: Column, j: Column) -> Column:
         return F.struct(low.alias("class"), high.alias("other"), i.alias("i"), j.alias("j"))
 
+    def pairs(count: Column, of) -> Column:
+        none = F.array().cast("array<struct<class:int,other:int,i:int,j:int>>")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), of)).otherwise(none)
+
     own = F.col("class")
     same = pairs(F.col("parts"), lambda k: cell(own, own, F.least(k, F.col("part")), F.greatest(k, F.col("part"))))
     up = pairs(F.coalesce("above", F.lit(0)), lambda k: cell(own, own + 1, F.col("part"), k))
     down = pairs(F.coalesce("below", F.lit(0)), lambda k: cell(own - 1, own, k, F.col("part")))
     cells = sized.join(grid, ["leader", "class"]).withColumn("part", part).select(
-        "leader", "doc_id", F.explode(F.concat(same, up, down)).alias("cell")
+        "doc_id", "leader", F.explode(F.concat(same, up, down)).alias("cell")
     )
-    blocks = cells.select("leader", "cell.*", "doc_id").join(sets.select("doc_id", "grams"), "doc_id")
+    cells = stored(cells.select("doc_id", "leader", "cell.*"), "cells")
+    blocks = cells.join(packed_texts(docs.where("doc_id IS NOT NULL")), "doc_id")
 
     def multiply(block: pa.Table) -> pa.Table:
         ids = block.column("doc_id").to_numpy()
-        lists = block.column("grams").combine_chunks()
-        flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-        linked = block_links([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], percent)
-        label = local_components(linked)
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets: list[np.ndarray] = []
+        for low in range(0, len(ids), 100):
+            sets += gram_sets([unpack(t.as_py()) for t in block.column("packed")[low : low + 100]])
+        label = local_components(linked := block_links(sets, percent))
         trees = [tree_edges(np.unique(ids[label == k])) for k in np.unique(label[linked.any(axis=1)])]
         a, b = (np.concatenate([t[side] for t in trees]) if trees else np.empty(0, np.int64) for side in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -286,8 +309,11 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     other columns are ignored.
     """
     profiles = stored(gram_profiles(docs, percent), "grams")
-    found = components(jaccard_edges(docs, profiles, percent))
-    rows = profiles.select("doc_id", "n_shingles", "key1", "key2")
+    rows = stored(profiles.select("doc_id", "n_shingles", "key1", "key2"), "gram-keys")
+    members = stored(candidate_blocks(profiles, percent), "members")
+    discard(profiles)
+    sizes = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    found = components(jaccard_edges(docs, members, sizes, percent))
     classes = rows.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("first"))
     named = stored(
         classes.join(found.withColumnRenamed("node", "first"), "first", "left").select(
