@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,39 +33,53 @@ DYNAMIC_NAMES = ["globals", "locals", "vars", "eval", "exec", "__import__", "get
 TYPE_HINTS = {"bool": "boolean", "int": "integer", "float": "real", "str": "string"}
 CODE_CONFIDENCE = {"state_variable": 0.9, "boundary": 0.9, "equation": 0.8}
 
-_NODE = "struct<id:int,parent:int,last:int,depth:int,kind:string,name:string,line:int,col:int,end_line:int,end_col:int,text:string>"
+_NODE = "struct<id:int,parent:int,last:int,depth:int,kind:string,name:string,line:int,col:int,end_line:int,end_col:int,text:string,role:string,code:string>"
 _NAME = "struct<role:string,name:string>"
 _IMPORT = "struct<module:string,bound:string,original:string,level:int,from_import:boolean,top:boolean,line:int>"
 _CALL = "struct<function:int,name:string,root:string,leaf:string,line:int>"
-_FACT = "struct<kind:string,symbol:string,description:string,type_hint:string,number:double,expression:string,lhs:string,rhs:string,variables:array<string>,line:int>"
 SCHEMA = (
     f"path string, error string, line_count int, dynamic boolean, nodes array<{_NODE}>, names array<{_NAME}>, "
-    f"imports array<{_IMPORT}>, calls array<{_CALL}>, facts array<{_FACT}>"
+    f"imports array<{_IMPORT}>, calls array<{_CALL}>"
 )
 FILES_PER_BATCH = 256
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
+#: Expressions whose source is kept, by the kind of their parent and their place in it.
+_SHOWN = {("Assert", "test"), ("Return", "value")}
+
+
+def _children(node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
+    for field, value in ast.iter_fields(node):
+        for child in value if isinstance(value, list) else [value]:
+            if isinstance(child, ast.AST):
+                yield field, child
+
+
 def _flatten(tree: ast.AST) -> list[tuple[ast.AST, dict]]:
-    """Preorder nodes with parent, depth and the id of the last descendant."""
+    """Preorder nodes with parent, depth and the id of the last descendant; an id is the place in the list."""
     out: list[tuple[ast.AST, dict]] = []
-    stack: list[tuple[ast.AST | None, int | None, int]] = [(tree, None, 0)]
+    stack: list[tuple[ast.AST | None, int | None, int, str | None]] = [(tree, None, 0, None)]
     open_ids: list[int] = []
     while stack:
-        node, parent, depth = stack.pop()
+        node, parent, depth, role = stack.pop()
         if node is None:  # a subtree is complete
             out[open_ids.pop()][1]["last"] = len(out) - 1
             continue
-        leaf = node.id if isinstance(node, ast.Name) else repr(node.value) if isinstance(node, ast.Constant) else None
+        constant = isinstance(node, ast.Constant)
+        shown = parent is not None and (out[parent][1]["kind"], role) in _SHOWN
         row = {
             "id": len(out), "parent": parent, "last": len(out), "depth": depth, "kind": type(node).__name__,
-            "name": getattr(node, "name", None), "line": getattr(node, "lineno", None), "col": getattr(node, "col_offset", None),
-            "end_line": getattr(node, "end_lineno", None), "end_col": getattr(node, "end_col_offset", None), "text": leaf,
+            "name": type(node.value).__name__ if constant else getattr(node, "name", None),
+            "line": getattr(node, "lineno", None), "col": getattr(node, "col_offset", None),
+            "end_line": getattr(node, "end_lineno", None), "end_col": getattr(node, "end_col_offset", None),
+            "text": node.id if isinstance(node, ast.Name) else repr(node.value) if constant else None,
+            "role": role, "code": ast.unparse(node) if shown else None,
         }
         open_ids.append(row["id"])
         out.append((node, row))
-        stack.append((None, None, 0))
-        stack.extend((child, row["id"], depth + 1) for child in reversed(list(ast.iter_child_nodes(node))))
+        stack.append((None, None, 0, None))
+        stack.extend((child, row["id"], depth + 1, field) for field, child in reversed(list(_children(node))))
     return out
 
 
@@ -117,33 +131,6 @@ def _names(node: ast.AST, top: bool) -> Iterator[tuple[str, str]]:
         yield from (("in_string", w) for w in re.findall(r"[A-Za-z_]\w*", node.value))
 
 
-def _facts(node: ast.AST, top: bool) -> Iterator[dict]:
-    target = None
-    if top and isinstance(node, ast.Assign) and len(node.targets) == 1:
-        target = node.targets[0]
-    elif top and isinstance(node, ast.AnnAssign):
-        target = node.target
-    value = getattr(node, "value", None)
-    if isinstance(target, ast.Name) and isinstance(value, ast.Constant) and value.value is not None:
-        kind = type(value.value).__name__
-        number = float(value.value) if kind in ("int", "float") else None
-        yield {"kind": "state_variable", "symbol": target.id, "description": f"module-level constant '{target.id}'",
-               "type_hint": TYPE_HINTS.get(kind, "unknown"), "number": number, "line": node.lineno}
-    elif isinstance(node, ast.Assert) and isinstance(node.test, ast.Compare):
-        shown = ast.unparse(node.test)
-        names = [n.id for n in ast.walk(node.test) if isinstance(n, ast.Name)]
-        yield {"kind": "boundary", "symbol": names[0] if names else f"assert_{node.lineno}", "description": f"assert {shown}",
-               "expression": shown, "variables": names, "line": node.lineno}
-    elif isinstance(node, _FUNCTIONS):
-        body = [s for s in node.body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant))]
-        only = body[0] if len(body) == 1 else None
-        if isinstance(only, ast.Return) and only.value is not None and not isinstance(only.value, (ast.Constant, ast.Name)):
-            rhs = ast.unparse(only.value)
-            names = list(dict.fromkeys(n.id for n in ast.walk(only.value) if isinstance(n, ast.Name)))
-            yield {"kind": "equation", "symbol": node.name, "expression": f"{node.name} = {rhs}", "lhs": node.name, "rhs": rhs,
-                   "variables": names, "line": node.lineno}
-
-
 def _imports(node: ast.AST, top: bool) -> Iterator[dict]:
     if isinstance(node, (ast.Import, ast.ImportFrom)):
         is_from = isinstance(node, ast.ImportFrom)
@@ -160,7 +147,7 @@ def _read_file(path: str, text: str) -> dict:
     except (SyntaxError, ValueError, RecursionError) as exc:
         return {"path": path, "error": f"{type(exc).__name__}: {exc}"}
     flat = _flatten(tree)
-    names, imports, calls, facts, dynamic = set(), [], [], [], False
+    names, imports, calls, dynamic = set(), [], [], False
     enclosing: list[tuple[int, int]] = []
     for node, row in flat:
         top = row["depth"] == 1
@@ -170,7 +157,6 @@ def _read_file(path: str, text: str) -> dict:
             enclosing.append((row["id"], row["last"]))
         names.update(_names(node, top))
         imports.extend(_imports(node, top))
-        facts.extend(_facts(node, top))
         if isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
             dotted = _dotted(node.func)
             for function, _last in enclosing:  # a nested call counts for every enclosing function
@@ -179,22 +165,114 @@ def _read_file(path: str, text: str) -> dict:
         dynamic |= isinstance(node, ast.Attribute) and (node.attr == "import_module" or _dotted(node) == ["sys", "modules"])
     return {
         "path": path, "line_count": len(text.splitlines()), "dynamic": dynamic, "nodes": [r for _, r in flat],
-        "names": [{"role": r, "name": n} for r, n in sorted(names)], "imports": imports, "calls": calls, "facts": facts,
+        "names": [{"role": r, "name": n} for r, n in sorted(names)], "imports": imports, "calls": calls,
     }
 
 
-def read_code(files: DataFrame) -> DataFrame:
-    """One row per (path, text) file with its facts as arrays; files that do not parse carry the error."""
-    arrow_schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+def read_code(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per (path, text) file with its nodes, names, imports and calls as arrays.
+
+    Files that do not parse carry the error. ``keep`` names columns of ``files`` that go along.
+    """
+    kept = files.select(*keep).schema
+    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *kept.fields])
+    arrow_schema = to_arrow_schema(schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, FILES_PER_BATCH):
-                part = batch.slice(start, FILES_PER_BATCH).to_pydict()
-                rows = [_read_file(p, t) for p, t in zip(part["path"], part["text"], strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+                rows = batch.slice(start, FILES_PER_BATCH).to_pylist()
+                read = [_read_file(r["path"], r["text"]) | {k: r[k] for k in keep} for r in rows]
+                yield pa.RecordBatch.from_pylist(read, schema=arrow_schema)
+
+    return files.select("path", "text", *keep).mapInArrow(parse, schema)
+
+
+def _node(place: Column) -> Column:
+    return F.get("nodes", place)
+
+
+def _names_in(node: Column) -> Column:
+    """Names under a node, outer ones first."""
+    inside = F.slice("nodes", node["id"] + 1, node["last"] - node["id"] + 1)
+    found = F.filter(inside, lambda n: n["kind"] == "Name")
+    placed = F.array_sort(F.transform(found, lambda n: F.struct(n["depth"].alias("depth"), n["id"].alias("id"), n["text"].alias("text"))))
+    return F.transform(placed, lambda n: n["text"])
+
+
+def _fact(node: Column, kind: str, symbol: Column, **more: Column) -> Column:
+    text = F.lit(None).cast("string")
+    parts = {
+        "description": text, "type_hint": text, "number": F.lit(None).cast("double"), "expression": text, "lhs": text,
+        "rhs": text, "variables": F.lit(None).cast("array<string>"),
+    } | more
+    return F.struct(
+        node["id"].alias("id"), F.lit(kind).alias("kind"), symbol.alias("symbol"), node["line"].alias("line"),
+        *[column.alias(name) for name, column in parts.items()],
+    )
+
+
+def _constants() -> Column:
+    """Assignments at module level of one constant to one name."""
+
+    def value_of(s: Column) -> Column:
+        second = _node(_node(s["id"] + 1)["last"] + 1)
+        return F.when(s["kind"] == "AnnAssign", _node(second["last"] + 1)).otherwise(second)
+
+    def fits(s: Column) -> Column:
+        target, value = _node(s["id"] + 1), value_of(s)
+        own = (value["parent"] == s["id"]) & (value["role"] == "value") & (value["kind"] == "Constant")
+        return (s["depth"] == 1) & s["kind"].isin("Assign", "AnnAssign") & (target["kind"] == "Name") & own & (value["name"] != "NoneType")
+
+    def fact(s: Column) -> Column:
+        name, value = _node(s["id"] + 1)["text"], value_of(s)
+        hints = F.create_map(*[F.lit(x) for pair in TYPE_HINTS.items() for x in pair])
+        return _fact(
+            s, "state_variable", name, description=F.concat(F.lit("module-level constant '"), name, F.lit("'")),
+            type_hint=F.coalesce(F.try_element_at(hints, value["name"]), F.lit("unknown")),
+            number=F.when(value["name"].isin("int", "float"), value["text"].try_cast("double")),
+        )
+
+    return F.transform(F.filter("nodes", lambda s: F.coalesce(fits(s), F.lit(False))), fact)
+
+
+def _boundaries() -> Column:
+    """Asserted comparisons."""
+
+    def fact(s: Column) -> Column:
+        test = _node(s["id"] + 1)
+        names = _names_in(test)
+        symbol = F.coalesce(F.get(names, F.lit(0)), F.concat(F.lit("assert_"), s["line"].cast("string")))
+        return _fact(s, "boundary", symbol, description=F.concat(F.lit("assert "), test["code"]), expression=test["code"], variables=names)
+
+    asserted = F.filter("nodes", lambda s: (s["kind"] == "Assert") & F.coalesce(_node(s["id"] + 1)["kind"] == "Compare", F.lit(False)))
+    return F.transform(asserted, fact)
+
+
+def _equations() -> Column:
+    """Functions that, besides bare constants, only return an expression."""
+
+    def steps(f: Column) -> Column:
+        inside = F.slice("nodes", f["id"] + 1, f["last"] - f["id"] + 1)
+        bare = lambda n: (n["kind"] == "Expr") & F.coalesce(_node(n["id"] + 1)["kind"] == "Constant", F.lit(False))
+        return F.filter(inside, lambda n: (n["parent"] == f["id"]) & (n["role"] == "body") & ~bare(n))
+
+    def returned(f: Column) -> Column:
+        return _node(F.get(steps(f), F.lit(0))["id"] + 1)
+
+    def fits(f: Column) -> Column:
+        only, value = F.get(steps(f), F.lit(0)), returned(f)
+        own = (only["kind"] == "Return") & (value["parent"] == only["id"])
+        return f["kind"].isin("FunctionDef", "AsyncFunctionDef") & (F.size(steps(f)) == 1) & own & ~value["kind"].isin("Constant", "Name")
+
+    def fact(f: Column) -> Column:
+        value = returned(f)
+        return _fact(
+            f, "equation", f["name"], expression=F.concat(f["name"], F.lit(" = "), value["code"]), lhs=f["name"], rhs=value["code"],
+            variables=F.array_distinct(_names_in(value)),
+        )
 
-    return files.select("path", "text").mapInArrow(parse, SCHEMA)
+    return F.transform(F.filter("nodes", lambda f: F.coalesce(fits(f), F.lit(False))), fact)
 
 
 class CodeFacts:
@@ -241,7 +319,8 @@ class CodeFacts:
 
     def facts(self, domain: Column) -> DataFrame:
         """Constants, asserted comparisons and one-line functions in the common fact columns."""
-        rows = self.code.withColumn("domain", domain).select("path", "domain", F.posexplode("facts").alias("position", "f"))
+        found = F.array_sort(F.concat(_constants(), _boundaries(), _equations()))  # by node
+        rows = self.code.withColumn("domain", domain).select("path", "domain", F.posexplode(found).alias("position", "f"))
         confidence = F.create_map(*[F.lit(x) for pair in CODE_CONFIDENCE.items() for x in pair])
         return rows.select(
             fact_row(

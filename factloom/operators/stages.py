@@ -15,9 +15,7 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 def python_extractor(docs: DataFrame) -> DataFrame:
-    domains = docs.select("path", "domain")
-    code = codefacts.read_code(docs).join(domains, "path")
-    return codefacts.CodeFacts(code).facts(F.col("domain"))
+    return codefacts.CodeFacts(codefacts.read_code(docs, ["domain"])).facts(F.col("domain"))
 
 
 def json_extractor(docs: DataFrame) -> DataFrame:
