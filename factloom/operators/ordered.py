@@ -1,7 +1,7 @@
 """Ordered analytics per key that survive a key holding a third of all rows.
 
-A window over such a key would run in one task. Here the order column is cut into buckets at its
-own quantiles, windows run per (key, bucket), and what a bucket needs from the buckets before it
+A window over such a key would run in one task. Here the order columns are cut into buckets at
+quantiles of a sample, windows run per (key, bucket), and what a bucket needs from the buckets before it
 is carried over through a table with one row per (key, bucket). The results equal those of the
 plain window over the key.
 """
@@ -15,40 +15,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import StringType, TimestampNTZType, TimestampType
 
 from factloom.session import cut_lineage
 
 BUCKETS = 64
+#: Order values of the sample per bucket.
+PER_BUCKET = 50
 BUCKET = "_bucket"
 KEY = "_key"
 
 
-def _rank_of(df: DataFrame, column: str) -> Column:
-    """A double that never decreases when ``column`` grows."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, StringType):
-        prefix = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(prefix, 16, 10).cast("double")
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Add the key as one struct and the bucket of the order columns.
 
-
-def bucketed(df: DataFrame, keys: Sequence[str], order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add the key as one struct and the bucket of the leading order column.
-
-    Bucket numbers follow the order. A struct of nulls equals itself, so rows with a null key
-    stay together without null-safe joins.
+    Bounds are whole order values of a sample by hash, so any type can lead, and rows that tie on
+    the leading column are still dealt apart. Bucket numbers follow the order. A struct of nulls
+    equals itself, so rows with a null key stay together without null-safe joins.
     """
-    rank = _rank_of(df, order)
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(rank, shares, 1000)).scalar()
-    position = F.size(F.filter("_bounds", lambda b: b < F.col("_rank")))
+    value = F.struct(*order)
+    size = buckets * PER_BUCKET
+    sample = df.select(value.alias("_o")).orderBy(F.xxhash64("_o")).limit(size)
+    every = F.greatest(F.floor(F.size("_all") / buckets), F.lit(1))
+    bounds = sample.agg(F.sort_array(F.collect_list("_o")).alias("_all")).select(
+        F.filter("_all", lambda _, i: (i % every == 0) & (i > 0)).alias("_bounds")
+    ).scalar()
+    position = F.size(F.filter("_bounds", lambda b: b <= F.col("_o")))
     return (
-        df.withColumns({"_rank": rank, "_bounds": bounds, KEY: F.struct(*keys) if keys else F.lit(0)})
-        .withColumn(BUCKET, F.when(F.col("_rank").isNull(), F.lit(-1)).otherwise(position))
-        .drop("_rank", "_bounds")
+        df.withColumns({"_o": value, "_bounds": bounds, KEY: F.struct(*keys) if keys else F.lit(0)})
+        .withColumn(BUCKET, position)
+        .drop("_o", "_bounds")
     )
 
 
@@ -97,21 +92,21 @@ def add_running(
 
 def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
     """1, 2, 3, ... per key in ``order``; the leading order column decides the buckets."""
-    return plain(add_row_number(bucketed(df, keys, order[0]), order, name))
+    return plain(add_row_number(bucketed(df, keys, order), order, name))
 
 
 def neighbour(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, following: bool = False
 ) -> DataFrame:
     """The value of the previous (or following) row per key, null at the end."""
-    return plain(add_neighbour(bucketed(df, keys, order[0]), order, value, name, following))
+    return plain(add_neighbour(bucketed(df, keys, order), order, value, name, following))
 
 
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, agg: Callable[[Column], Column],
     merge: Callable[[Column, Column], Column], name: str, inclusive: bool = True,
 ) -> DataFrame:
-    return plain(add_running(bucketed(df, keys, order[0]), order, value, agg, merge, name, inclusive))
+    return plain(add_running(bucketed(df, keys, order), order, value, agg, merge, name, inclusive))
 
 
 def kinetics(
@@ -124,7 +119,7 @@ def kinetics(
     """
     # Every step reads its input twice (rows and carry), so each result is written once; chained
     # plans would double the work per step.
-    cut = cut_lineage(add_row_number(bucketed(df, keys, order[0]), order, "_rn"))
+    cut = cut_lineage(add_row_number(bucketed(df, keys, order), order, "_rn"))
     cut = add_neighbour(cut, order, score, "_prev").withColumn("velocity", F.coalesce(F.col(score) - F.col("_prev"), F.lit(0.0)))
     cut = add_neighbour(cut_lineage(cut), order, "velocity", "_prev_velocity").withColumn(
         "acceleration", F.when(F.col("_rn") >= 3, F.col("velocity") - F.col("_prev_velocity")).otherwise(F.lit(0.0))
@@ -148,7 +143,7 @@ def steps_since_improvement(
     qualify, since the best never lies more than ``min_delta`` below the running maximum; the
     fold therefore sees those few rows and not a key's whole history.
     """
-    cut = cut_lineage(add_row_number(bucketed(df, keys, order[0]), order, "_rn"))
+    cut = cut_lineage(add_row_number(bucketed(df, keys, order), order, "_rn"))
     cut = cut_lineage(add_running(cut, order, F.col(score), F.max, F.greatest, "_max_before", inclusive=False))
     peaks = cut.where((F.col(score) > F.coalesce("_max_before", F.lit(float("-inf")))) & (F.col(score) > initial_best + min_delta))
 
@@ -208,23 +203,29 @@ def moving_average(
 ) -> DataFrame:
     """Exponential moving average ``a*x + (1-a)*previous`` per key, starting from ``seed``.
 
-    A row's weight falls by ``1-a`` per step, so after ``reach`` steps it is below double
-    precision. Chunks that overlap by ``reach`` rows therefore give the same doubles as the full
-    recurrence, and inside a chunk the recurrence is a scaled running sum.
+    A step is the map e -> (1-a)*e + a*x, and maps compose. Rows are cut into chunks; a chunk's own
+    average is a scaled running sum, and what it began with is put together from the ends of the
+    chunks before it, as far back as any double can still count after so many steps.
     """
     if not 0.0 < alpha < 1.0:
         raise ValueError("alpha must lie in (0, 1)")
     decay = 1.0 - alpha
-    reach = math.ceil(60 * math.log(2) / -math.log(decay))
-    size = max(reach, math.floor(220 / -math.log10(decay)) - reach)
-    chunks = overlapping_chunks(row_number(df, keys, order), "rn", size, reach)
-    start = F.when(F.col("_chunk") == 0, F.lit(1)).otherwise(F.col("_chunk") * size - reach + 1)
-    step = F.col("rn") - start
-    w = Window.partitionBy(*keys, "_chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    weighted = F.sum(alpha * F.col(value) * F.pow(F.lit(decay), -step)).over(w)
-    seeded = F.when(F.col("_chunk") == 0, seed * F.pow(F.lit(decay), F.col("rn"))).otherwise(F.lit(0.0))
-    return (
-        chunks.withColumn(name, weighted * F.pow(F.lit(decay), step) + seeded)
-        .where("_own")
-        .drop("_chunk", "_own", "rn")
+    size = max(1, math.floor(60 / -math.log10(decay)))
+    back = math.ceil(640 / (-math.log10(decay) * size)) + 1  # beyond, the largest double is below the smallest
+    rows = row_number(df, keys, order, "_rn").withColumns(
+        {KEY: F.struct(*keys) if keys else F.lit(0), "_chunk": F.floor((F.col("_rn") - 1) / size)}
+    )
+    step = (F.col("_rn") - 1) % size + 1
+    w = Window.partitionBy(KEY, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.sum(alpha * F.col(value) * F.pow(F.lit(decay), -step)).over(w) * F.pow(F.lit(decay), step)
+    rows = rows.withColumns({"_own": F.coalesce(scaled, F.lit(0.0)), "_step": step})
+    ends = rows.groupBy(KEY, "_chunk").agg(F.max_by("_own", "_rn").alias("_end"))
+    later = ends.select(KEY, "_end", F.explode(F.sequence(F.lit(1), F.lit(back))).alias("_d"), "_chunk").select(
+        KEY, (F.col("_chunk") + F.col("_d")).alias("_chunk"), F.struct(F.col("_d"), F.col("_end")).alias("_part")
     )
+    nearest = later.groupBy(KEY, "_chunk").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))  # ``back`` at most
+    began = F.aggregate("_parts", F.lit(0.0), lambda e, x: e + x["_end"] * F.pow(F.lit(decay), (x["_d"] - 1) * size))
+    joined = rows.join(nearest.select(KEY, "_chunk", began.alias("_began")), [KEY, "_chunk"], "left")
+    carried = F.coalesce("_began", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_step"))
+    result = joined.withColumn(name, F.col("_own") + carried + seed * F.pow(F.lit(decay), F.col("_rn")))
+    return result.drop(KEY, "_rn", "_chunk", "_own", "_step", "_began")

@@ -17,6 +17,9 @@ from pyspark.sql import Window
 from factloom.operators import ordered
 from factloom.session import cut_lineage
 
+#: Points of one group whose local skyline is one task's work.
+PART_ROWS = 20_000
+#: Distinct vectors of a group that are layered in one task; above, each front is a distributed job.
 SMALL_GROUP = 20_000
 
 
@@ -26,6 +29,12 @@ def _minimised(df: DataFrame, objectives: Sequence[str], maximise: bool, prefix:
     return df.withColumns({n: F.col(o).cast("double") * sign for n, o in zip(names, objectives, strict=True)}), names
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls being equal to nulls; no keys match every row with the one row of ``right``."""
+    key = F.struct(*keys) if keys else F.lit(0)
+    return left.withColumn("_match", key).join(right.withColumn("_match", key).drop(*keys), "_match", how).drop("_match")
+
+
 def _skyline_mask(points: np.ndarray) -> np.ndarray:
     """Non-dominated rows of minimised points; of equal points one is kept.
 
@@ -49,23 +58,21 @@ def _two_objective_front(df: DataFrame, keys: list[str], x: str, y: str) -> Data
 
 
 def _many_objective_front(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One skyline per group; a group above ``SMALL_GROUP`` rows is cut into salted parts first.
+    """One skyline per group, from the skylines of parts of at most about PART_ROWS rows.
 
-    Parts only keep their local skylines, so what meets in the last step is front-sized.
+    What meets in the last step is front-sized.
     """
     points = df.select(*keys, *names)
     by = keys or [F.lit(0).alias("_all")]
     sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    sizes = sizes.drop("_all")
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.loc[_skyline_mask(pdf[names].to_numpy()), [*keys, *names]]
 
-    if largest > SMALL_GROUP:
-        parts = F.ceil(F.col("_n") / SMALL_GROUP)
-        sized = points.join(sizes, keys) if keys else points.withColumn("_n", F.lit(largest))
-        salt = F.pmod(F.xxhash64(*names), parts).alias("_salt")
-        points = sized.groupBy(*keys, salt).applyInPandas(local, points.schema)
+    sized = matched(points, sizes, keys)
+    salt = F.pmod(F.xxhash64(*names), F.ceil(F.col("_n") / PART_ROWS)).alias("_salt")
+    points = sized.groupBy(*keys, salt).applyInPandas(local, points.schema)
     return points.groupBy(*by).applyInPandas(local, points.schema)
 
 
@@ -87,7 +94,7 @@ def dominated(df: DataFrame, objectives: Sequence[str], keys: Sequence[str] = ()
     else:
         best = _many_objective_front(rows, keys, names)
     marks = best.withColumn("_front", F.lit(True))
-    return rows.join(marks, [*keys, *names], "left").withColumn("dominated", F.col("_front").isNull()).drop("_front", *names)
+    return matched(rows, marks, [*keys, *names], "left").withColumn("dominated", F.col("_front").isNull()).drop("_front", *names)
 
 
 def _layer_numbers(points: np.ndarray) -> np.ndarray:
@@ -128,8 +135,8 @@ def front_layers(
     by = keys or [F.lit(1).alias("_all")]
     sizes = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     if keys:
-        small = vectors.join(sizes.where(F.col("_n") <= small_group).select(*keys), keys, "left_semi")
-        large = vectors.join(sizes.where(F.col("_n") > small_group).select(*keys), keys, "left_semi")
+        small = matched(vectors, sizes.where(F.col("_n") <= small_group).select(*keys), keys, "left_semi")
+        large = matched(vectors, sizes.where(F.col("_n") > small_group).select(*keys), keys, "left_semi")
         has_large = not sizes.where(F.col("_n") > small_group).isEmpty()
     else:
         has_large = not sizes.where(F.col("_n") > small_group).isEmpty()
@@ -148,7 +155,7 @@ def front_layers(
         flagged = cut_lineage(dominated(rest, names, keys))
         layered = layered.unionByName(flagged.where("NOT dominated").drop("dominated").withColumn("front", F.lit(number).cast("long")))
         rest, number = flagged.where("dominated").drop("dominated"), number + 1
-    return rows.join(layered, columns, "left").drop(*names)
+    return matched(rows, layered, columns, "left").drop(*names)
 
 
 def crowding_distance(df: DataFrame, objectives: Sequence[str], keys: Sequence[str], id_col: str) -> DataFrame:
@@ -162,7 +169,7 @@ def crowding_distance(df: DataFrame, objectives: Sequence[str], keys: Sequence[s
     # Written once: quantiles, spans and neighbours all read it.
     long = cut_lineage(df.select(*keys, id_col, F.inline(pairs)))
     spans = long.groupBy(*keys, "obj").agg((F.max("v") - F.min("v")).alias("span"), F.count(F.lit(1)).alias("n"))
-    cut = ordered.add_neighbour(ordered.bucketed(long, [*keys, "obj"], "v"), ["v", id_col], "v", "prev")
+    cut = ordered.add_neighbour(ordered.bucketed(long, [*keys, "obj"], ["v", id_col]), ["v", id_col], "v", "prev")
     near = ordered.plain(ordered.add_neighbour(cut, ["v", id_col], "v", "next", following=True))
     infinite = F.lit(float("inf"))
     gap = (
@@ -171,11 +178,11 @@ def crowding_distance(df: DataFrame, objectives: Sequence[str], keys: Sequence[s
         .otherwise(F.try_divide(F.col("next") - F.col("prev"), F.col("span")))
     )
     total = (
-        near.join(spans, [*keys, "obj"])
+        matched(near, spans, [*keys, "obj"])
         .groupBy(*keys, id_col)
         .agg(F.sum(gap).alias("crowding"))
     )
-    return df.join(total, [*keys, id_col])
+    return matched(df, total, [*keys, id_col])
 
 
 def select_best(
@@ -191,7 +198,7 @@ def select_best(
     filled = sizes.withColumn("_upto", F.sum("_n").over(upto)).select(
         *keys, "front", "_upto", (F.lit(count) - (F.col("_upto") - F.col("_n"))).alias("_room")
     ).where("_room > 0")
-    joined = layered.join(filled, [*keys, "front"])
+    joined = matched(layered, filled, [*keys, "front"])
     whole = joined.where(F.col("_upto") <= count).drop("_upto", "_room")
     edge = joined.where(F.col("_upto") > count)
     crowded = crowding_distance(edge, objectives, [*keys, "front"], id_col)
@@ -220,7 +227,7 @@ def hypervolume(
         raise ValueError("hypervolume takes one to three objectives")
     x, y, z = objectives
     edge = cut_lineage(front(above, objectives, keys, maximise=True).select(*keys, x, y, z).distinct())
-    cut = ordered.bucketed(edge, keys, z, blocks).withColumnRenamed(ordered.BUCKET, "_block").drop(ordered.KEY)
+    cut = ordered.bucketed(edge, keys, [z], blocks).withColumnRenamed(ordered.BUCKET, "_block").drop(ordered.KEY)
     # A slab sees every point at or above it; of the points above its block only those matter
     # that no other point above dominates in the two remaining objectives.
     floor_z = cut.groupBy(*keys, "_block").agg(F.max(z).alias("_top"))
@@ -233,7 +240,8 @@ def hypervolume(
         "_block",
         F.explode(F.when(F.col("_from") > 0, F.sequence(F.lit(0), F.col("_from") - 1)).otherwise(F.array().cast("array<int>"))),
     ).withColumn("_own", F.lit(False)).drop("_from")
-    slabs = cut.withColumn("_own", F.lit(True)).unionByName(lower).join(floors, [*keys, "_block"])
+    slabs = cut.withColumn("_own", F.lit(True)).unionByName(lower)
+    slabs = matched(slabs, floors, [*keys, "_block"])
     ref_x, ref_y = float(reference[0]), float(reference[1])
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +276,7 @@ def compromise(front_rows: DataFrame, objectives: Sequence[str], id_col: str, ke
     bounds = front_rows.groupBy(*keys).agg(
         *[F.struct(F.min(o).alias("lo"), F.max(o).alias("hi")).alias(f"_b{i}") for i, o in enumerate(objectives)]
     )
-    joined = front_rows.join(bounds, keys) if keys else front_rows.withColumn("_g", F.lit(0)).join(bounds.withColumn("_g", F.lit(0)), "_g")
+    joined = matched(front_rows, bounds, keys)
     total = F.lit(0.0)
     for i, o in enumerate(objectives):
         span = F.col(f"_b{i}.hi") - F.col(f"_b{i}.lo")

@@ -48,12 +48,12 @@ def cache_stats(lookups: DataFrame, hit: Column, keys: Sequence[str] = ()) -> Da
 def first_lookup_misses(lookups: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Mark the first lookup of every key as a miss and the rest as hits.
 
-    The first lookups are an aggregate, joined back with hot keys spread, instead of a window.
+    The first lookups are an aggregate, joined back, instead of a window. Null keys are keys.
     """
-    from factloom.operators.skew import spread_join
+    from factloom.operators.ranking import matched
 
     first = lookups.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
-    return spread_join(lookups, first, key).withColumn("hit", F.struct(*order) != F.col("_first")).drop("_first")
+    return matched(lookups, first, key).withColumn("hit", F.struct(*order) != F.col("_first")).drop("_first")
 
 
 def distinct_in_order(rows: DataFrame, value: str, order: str) -> DataFrame:
