@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.skew import spread_join
+from factloom.session import cut_lineage
 
 
 def duplicate_members(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs more than once, with the number of copies.
 
-    Members stay rows instead of lists, so a key that holds a third of the corpus is spread
-    over many tasks.
+    Members stay rows instead of lists. The counts are written once, so both sides of the join are
+    plain shuffles and adaptive execution splits a key that holds a third of the corpus.
     """
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return spread_join(rows, groups, keys)
+    groups = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    return rows.join(groups, keys)
 
 
 def shared_bodies(functions: DataFrame) -> DataFrame:

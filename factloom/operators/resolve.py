@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.skew import spread_join
 
 
 def unresolved_names(
@@ -36,7 +35,7 @@ def symbol_index(definitions: DataFrame, order: str = "path") -> DataFrame:
 
 def resolve_missing(missing: DataFrame, index: DataFrame) -> DataFrame:
     """Import edges for missing names, never to the file itself."""
-    return spread_join(missing, index, ["name"]).where("path <> target")
+    return missing.join(index, ["name"]).where("path <> target")
 
 
 def dead_imports(imports: DataFrame, uses: DataFrame, dynamic_files: DataFrame) -> DataFrame:
@@ -99,7 +98,7 @@ def reference_edges(items: DataFrame, variables: DataFrame) -> DataFrame:
     """Edges from facts to the state variables of their own domain that they mention."""
     mentions = items.select("id", "domain", F.explode(F.array_distinct("variables")).alias("symbol"))
     targets = variables.groupBy("domain", "symbol").agg(F.max("id").alias("target"))
-    return spread_join(mentions, targets, ["domain", "symbol"]).where("id <> target").select("id", "target", "symbol")
+    return mentions.join(targets, ["domain", "symbol"]).where("id <> target").select("id", "target", "symbol")
 
 
 def shared_symbol_edges(variables: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def declared_links(links: DataFrame, sources: DataFrame, targets: DataFrame) ->
     """Declared (src, dst) links with ``accepted``: both ends must exist in their node table."""
     src = sources.select(F.col("node").alias("src"), F.lit(True).alias("has_src"))
     dst = targets.select(F.col("node").alias("dst"), F.lit(True).alias("has_dst"))
-    joined = spread_join(spread_join(links, src, ["src"], "left"), dst, ["dst"], "left")
+    joined = links.join(src, ["src"], "left").join(dst, ["dst"], "left")
     return joined.withColumn("accepted", F.col("has_src").isNotNull() & F.col("has_dst").isNotNull()).drop("has_src", "has_dst")
 
 
@@ -200,7 +199,7 @@ def kernel_edges(calls: DataFrame, kernels: DataFrame) -> DataFrame:
 def def_use_edges(definitions: DataFrame, uses: DataFrame, order: str) -> DataFrame:
     """Edges from the last definition of a name to its uses."""
     last = definitions.groupBy("name").agg(F.max_by("node", order).alias("src"))
-    return spread_join(uses.select("name", F.col("node").alias("dst")), last, ["name"]).where("src <> dst")
+    return uses.select("name", F.col("node").alias("dst")).join(last, ["name"]).where("src <> dst")
 
 
 def external_calls(calls: DataFrame, aliases: DataFrame, external: DataFrame) -> DataFrame:
