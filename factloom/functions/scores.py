@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 INVERSE_WALL_CAP = 1e9
 OBJECTIVES = 3
 GAMMA, PENALTY = 0.97, 0.02
-INITIAL_RATE, MIN_RATE, WARMUP, PERIOD, MULTIPLIER = 0.01, 1e-5, 50, 100, 2.0
+INITIAL_RATE, MIN_RATE, WARMUP, PERIOD = 0.01, 1e-5, 50, 100
 DECAY_RATE, DROP_FACTOR, DROP_EVERY = 0.995, 0.5, 100
 HOT_THRESHOLD = 5.0
 
@@ -52,22 +52,14 @@ def _warmup(cycle: Column) -> Column:
     return MIN_RATE + (INITIAL_RATE - MIN_RATE) * (cycle / WARMUP)
 
 
-def restart_periods(max_cycle: int, period: int = PERIOD, multiplier: float = MULTIPLIER) -> list[tuple[int, int]]:
-    """(first cycle, length) of every restart period up to ``max_cycle``."""
-    out, start = [], 0
-    while start <= max_cycle:
-        out.append((start, period))
-        start, period = start + period, int(period * multiplier)
-    return out
-
-
-def cosine_rate(cycle: Column, max_cycle: int = 2**40) -> Column:
+def cosine_rate(cycle: Column) -> Column:
     """Warm-up, then cosine decay with restarts whose periods grow."""
     effective = cycle - WARMUP
-    periods = restart_periods(max_cycle)
-    table = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(n).alias("n")) for s, n in periods])
-    current = F.element_at(F.filter(table, lambda p: p["start"] <= effective), -1)
-    fraction = (effective - current["start"]) / current["n"]
+    # Periods double, so period k starts at PERIOD * (2**k - 1); the logarithm may miss k by rounding.
+    guess = F.floor(F.log2(effective.cast("double") / PERIOD + 1) + 1e-9)
+    start = lambda k: PERIOD * (F.pow(F.lit(2.0), k) - 1)
+    k = F.when(start(guess) > effective, guess - 1).otherwise(guess)
+    fraction = (effective - start(k)) / (PERIOD * F.pow(F.lit(2.0), k))
     rate = MIN_RATE + (INITIAL_RATE - MIN_RATE) * 0.5 * (1.0 + F.cos(F.lit(3.141592653589793) * fraction))
     return F.when(cycle < WARMUP, _warmup(cycle)).otherwise(F.greatest(F.lit(MIN_RATE), rate))
 

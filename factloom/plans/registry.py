@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.session import spread_small
-
+#: Session setting for tests and benchmarks: deal text tables that sit in one row group to so many tasks.
+SPREAD = "factloom.spread.text.tables"
 # Tables whose queries do heavy work per row.
 TEXT_TABLES = {"documents", "pages", "conversations", "part"}
 
@@ -24,7 +24,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread_small(table) if name in TEXT_TABLES else table
+        parts = self.spark.conf.get(SPREAD, None)
+        return table.repartition(int(parts)) if parts and name in TEXT_TABLES else table
 
 
 @dataclass(frozen=True)

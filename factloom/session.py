@@ -18,6 +18,8 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("factloom.spread.text.tables", cores)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -42,18 +44,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="factloom-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
-
-
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for a small table that sits in one or two row groups.
-
-    A scan has at most one task per row group, so heavy row-local work on a small file would run
-    on one core. Tables above the size limit have enough row groups and are not shuffled.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -155,8 +155,10 @@ _GCC = f"array<struct<kind:string,message:string,option:string,locations:array<s
 
 def gcc_diagnostics(outputs: DataFrame, keys: Sequence[str] = (), errors_only: bool = True) -> DataFrame:
     """Diagnostics of JSON arrays, one per translation unit, possibly several in one text."""
-    joined = F.regexp_replace(T.strip(F.col("text")), r"\]\s*\[", ",")
-    items = outputs.select(*keys, F.explode(F.from_json(joined, _GCC)).alias("d"))
+    # The compiler starts each array on a line of its own; inside a message a line break is escaped.
+    arrays = F.split(T.strip(F.col("text")), r"(?<=\])[^\S\n]*\n\s*(?=\[)")
+    parsed = outputs.select(*keys, F.explode(arrays).alias("_array"))
+    items = parsed.select(*keys, F.explode(F.from_json("_array", _GCC)).alias("d"))
     kind = F.coalesce("d.kind", F.lit("error"))
     place = F.get("d.locations", F.lit(0))
     rows = items.withColumns({"severity": kind, "p": place})

@@ -182,10 +182,12 @@ def feed_batch(rows: DataFrame) -> DataFrame:
 
 
 def changed_only_stream(
-    files: DataFrame, cache_root: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], key: str = "key"
+    files: DataFrame, cache_root: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], key: str = "key",
+    version: str | None = None,
 ):
     """Process only what changed: each micro-batch of (key, fingerprint, ...) rows meets the cache.
 
+    Of a key's rows in one batch the highest counts, by the column ``version`` and then by all others.
     Results are versions under ``cache_root``, one per batch, so a restarted batch rewrites its
     own version and readers never see a half-written one.
     """
@@ -193,7 +195,8 @@ def changed_only_stream(
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cached = read_versions(spark, cache_root, batch_id)
-        latest = batch.dropDuplicates([key])
+        order = F.struct(*([version] if version else []), *[c for c in batch.columns if c != version])
+        latest = batch.groupBy(key).agg(F.max(F.struct(order.alias("o"))).alias("m")).select("m.o.*").select(*batch.columns)
         fresh = latest if cached is None else latest.join(delta.stale_keys(cached, latest), key, "left_semi")
         compute(fresh).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{cache_root}/batch={batch_id}")
 

@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.operators import extract, ranking, similarity
-from factloom.operators.skew import spread_join
 from factloom.streaming import cycles
 
 
@@ -24,13 +23,6 @@ def test_similar_pairs_equal_all_pairs(spark):
     assert got == want
 
 
-def test_spread_join_keeps_every_match(spark):
-    big = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500).alias("k"))
-    lookup = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert spread_join(big, lookup, ["k"]).count() == big.join(lookup, "k").count()
-    assert spread_join(big, lookup, ["k"], "left").where("v IS NULL").count() == big.where("k >= 400").count()
-
-
 def test_three_objectives(spark):
     rnd = random.Random(5)
     rows = [(i, i % 2, *(float(rnd.randint(0, 6)) for _ in range(3))) for i in range(200)]
