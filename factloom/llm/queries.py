@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe
-from factloom.llm.common import held_out
+from factloom.llm.common import LOWER, UPPER, held_out
 from factloom.llm.factoring import duplicate_spans
 from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
@@ -15,7 +15,7 @@ from factloom.llm.mixing import mix
 from factloom.llm.rule_ensemble import quality, train_rules
 from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 from factloom.llm.toxicity import toxicity, train_toxicity
-from factloom.llm.url_model import judge_urls
+from factloom.llm.url_model import GRID, ORDER, RULES, judge_urls
 from factloom.llm.vectors import near_vectors
 
 
@@ -169,6 +169,48 @@ def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+_SQL_URL = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+
+
+def _url_levels() -> str:
+    """Counts, contexts and both models' probabilities for every order."""
+    parts = []
+    for k in range(1, ORDER + 1):
+        lower = f"JOIN p{k - 1} p ON right(t.g, {k - 1}) = p.g" if k > 1 else "CROSS JOIN (SELECT 1 / 65536 AS pa, 1 / 65536 AS pr) p"
+        parts.append(f"""t{k} AS (SELECT right(g, {k}) AS g, sum(a) AS a, sum(r) AS r FROM counted GROUP BY 1),
+c{k} AS (SELECT left(g, {k - 1}) AS c, sum(a) AS an, sum(r) AS rn, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM t{k} GROUP BY 1),
+p{k} AS (SELECT t.g, CASE WHEN an > 0 THEN (a + ta * pa) / greatest(an + ta, 1) ELSE pa END AS pa,
+  CASE WHEN rn > 0 THEN (r + tr * pr) / greatest(rn + tr, 1) ELSE pr END AS pr
+  FROM t{k} t JOIN c{k} c ON left(t.g, {k - 1}) = c.c {lower})""")
+    return ",\n".join(parts)
+
+
+OP7_SQL = f"""
+WITH rules(rh, rp, rv) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)}),
+split AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {_SQL_URL}, 1), '{UPPER}', '{LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), {_SQL_URL}, 2) AS path FROM pages),
+longest AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS verdict
+  FROM split JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+ruled AS (SELECT s.*, rule, verdict FROM split s LEFT JOIN longest USING (page_id)),
+texts AS (SELECT host || path AS text, verdict, count(*) AS n FROM ruled GROUP BY 1, 2),
+windows AS (SELECT text, verdict, n, substring(repeat(chr(2), {ORDER - 1}) || text || chr(3), i, {ORDER}) AS g
+  FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM texts)),
+counted AS (SELECT g, coalesce(sum(n) FILTER (verdict = 'allow'), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (verdict = 'block'), 0)::DOUBLE AS r
+  FROM windows GROUP BY g),
+{_url_levels()},
+ratios AS (SELECT g, round(ln(pr / pa) * 1000000)::BIGINT AS ratio FROM p{ORDER}),
+scored AS (SELECT text, verdict, n, greatest(-{GRID}, least({GRID}, floor(sum(ratio) / (count(*) * 10000)))) AS step
+  FROM windows JOIN ratios USING (g) GROUP BY text, verdict, n),
+steps AS (SELECT step, coalesce(sum(n) FILTER (verdict = 'allow'), 0) AS a, coalesce(sum(n) FILTER (verdict = 'block'), 0) AS r
+  FROM scored WHERE verdict IS NOT NULL GROUP BY step),
+above AS (SELECT step, row_number() OVER (ORDER BY step) AS place, sum(r) OVER (ORDER BY step DESC) * (SELECT sum(a) FROM steps)
+  - sum(a) OVER (ORDER BY step DESC) * (SELECT sum(r) FROM steps) AS gain FROM steps),
+bound AS (SELECT coalesce((SELECT step - 1 FROM above WHERE place > 1 AND gain > 0 AND (SELECT sum(a) FROM steps) > 0
+  AND (SELECT sum(r) FROM steps) > 0 ORDER BY gain DESC, step DESC LIMIT 1), {GRID}) AS top)
+SELECT page_id, host, path, rule, coalesce(r.verdict, CASE WHEN step > (SELECT top FROM bound) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN (SELECT text, step FROM scored WHERE verdict IS NULL) j ON r.verdict IS NULL AND host || path = j.text
+"""
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -184,4 +226,5 @@ QUERIES = {
 SQL = {
     "op1_line_frequency": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
+    "op7_url_model": OP7_SQL,
 }
