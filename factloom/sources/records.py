@@ -125,6 +125,11 @@ def structured_facts(docs: DataFrame) -> DataFrame:
     return state.unionByName(bound).unionByName(equation)
 
 
+def parsed_once(value: Column) -> Column:
+    """The value as the row of a generator: conditions on its fields can't be pushed below it and parse again."""
+    return F.explode(F.array(value))
+
+
 _RUSTC = (
     "struct<`$message_type`:string,message:string,level:string,code:struct<code:string>,"
     "spans:array<struct<file_name:string,line_start:int,column_start:int,byte_start:int,byte_end:int,is_primary:boolean>>>"
@@ -133,7 +138,7 @@ _RUSTC = (
 
 def rustc_diagnostics(lines: DataFrame, keys: Sequence[str] = (), errors_only: bool = True) -> DataFrame:
     """Diagnostics of JSON lines: the primary span, else the first; lines without a span are dropped."""
-    parsed = lines.where(F.ltrim("line").startswith("{")).select(*keys, F.from_json("line", _RUSTC).alias("d"))
+    parsed = lines.where(F.ltrim("line").startswith("{")).select(*keys, parsed_once(F.from_json("line", _RUSTC)).alias("d"))
     level = F.coalesce("d.level", F.lit("error"))
     span = F.coalesce(F.get(F.filter("d.spans", lambda s: s["is_primary"]), F.lit(0)), F.get("d.spans", F.lit(0)))
     kept = parsed.where(
@@ -249,7 +254,7 @@ def _report(text: Column) -> Column:
 
 def validation_cases(outputs: DataFrame, tolerance: float, key: str = "run_id") -> DataFrame:
     """Cases of validation runs in (key, text) from a JSON report, else from PASS/FAIL or error lines."""
-    parsed = outputs.withColumn("report", _report(F.col("text"))).withColumn(
+    parsed = outputs.select("*", parsed_once(_report(F.col("text"))).alias("report")).withColumn(
         "is_json", F.col("report.cases").isNotNull()
     )
     listed = parsed.where("is_json").select(key, F.posexplode("report.cases").alias("position", "c")).select(
@@ -278,8 +283,7 @@ def validation_report(outputs: DataFrame, tolerance: float, key: str = "run_id")
     cases = validation_cases(outputs.select(key, "text"), tolerance, key).groupBy(key).agg(
         F.count_if("passed").alias("num_passed"), F.count_if(~F.col("passed")).alias("num_failed")
     )
-    report = _report(F.col("text"))
-    runs = outputs.select(key, "returncode", report.alias("report"))
+    runs = outputs.select(key, "returncode", parsed_once(_report(F.col("text"))).alias("report"))
     has_cases = F.col("num_passed").isNotNull()
     overall = (
         F.when(F.col("report.cases").isNotNull(), has_cases & F.coalesce("report.passed", F.col("num_failed") == 0))
