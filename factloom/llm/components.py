@@ -19,7 +19,10 @@ def local_components(linked: np.ndarray) -> np.ndarray:
     """Label per row of a symmetric boolean matrix: the first row that it is connected to."""
     label = np.arange(len(linked))
     while True:
-        best = np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label))
+        best = np.concatenate([
+            np.where(linked[low : low + 256], label[None, :], len(label)).min(axis=1, initial=len(label))
+            for low in range(0, len(label), 256)
+        ])
         new = np.minimum(label, best)
         new = new[new]
         if (new == label).all():

@@ -18,10 +18,12 @@ PERCENT = 80
 #: Texts are hashed in runs of about so many bytes, which bounds the memory of a task.
 RUN_BYTES = 1_000_000
 #: A block of the product has at most about so many documents and n-grams a side.
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 4096
 BLOCK_GRAMS = 2_000_000
 #: Times that documents without enough shared grams are dropped.
 PASSES = 2
+#: Documents of a column that is added pair by pair.
+FEW = 32
 #: Columns of the incidence matrix that are multiplied at once.
 STRIP = 2048
 
@@ -208,31 +210,45 @@ def candidate_blocks(profiles: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Common grams of every two documents of a block: incidence matrix times its transpose, in strips."""
+    """Common grams of every two documents of a block: incidence matrix times its transpose.
+
+    Columns of few documents add their pairs one by one; fuller ones are multiplied in dense strips.
+    """
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    grams, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    several = held > 1
-    number = np.cumsum(several) - 1
-    keep = several[column]
-    owner, column = owner[keep], number[column[keep]]
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    n_columns = int(several.sum())
+    sparse = (held[column] > 1) & (held[column] <= FEW)
+    light, at = owner[sparse], column[sparse]
+    for d in range(1, FEW):
+        k = np.flatnonzero(at[:-d] == at[d:])
+        if not len(k):
+            break
+        np.add.at(total, (light[k], light[k + d]), np.float32(1))
+    total += total.T  # each pair was added once
+    heavy = held > FEW
+    number = np.cumsum(heavy) - 1
+    keep = heavy[column]
+    owner, column = owner[keep], number[column[keep]]
+    n_columns = int(heavy.sum())
     for low in range(0, n_columns, STRIP):
         a, b = np.searchsorted(column, [low, low + STRIP])
         strip = np.zeros((len(sets), min(STRIP, n_columns - low)), np.float32)
         strip[owner[a:b], column[a:b] - low] = 1
         total += strip @ strip.T
-    return total.astype(np.int64)
+    return total
 
 
 def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which two documents of a block are linked."""
+    """Which two documents of a block are linked; compared a few rows at a time."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
     common = _overlaps(sets)
-    linked = (100 * small >= percent * large) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+    linked = np.zeros(common.shape, bool)
+    for low in range(0, len(sets), 256):
+        own, shared = sizes[low : low + 256, None], common[low : low + 256].astype(np.int64)
+        fits = 100 * np.minimum(own, sizes[None, :]) >= percent * np.maximum(own, sizes[None, :])
+        linked[low : low + 256] = fits & (100 * shared >= percent * (own + sizes[None, :] - shared))
     np.fill_diagonal(linked, False)
     return linked
 
