@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import stored
+
 #: Documents of one source that are scheduled together.
 BLOCK_DOCS = 100
-#: Weights are whole parts of so many; a schedule repeats after so many slots.
+#: The periodic form (:func:`phases`) takes weights in whole parts of so many; :func:`mix` does not use it.
 PERIOD = 1000
 #: Sources with a weight of their own when weights come from the table; all others share one.
 SOURCES = 64
 #: Documents that are numbered together.
 BUCKET = 1000
 REST = None
+#: Scheduled blocks that leave the scheduler together.
+BATCH = 50_000
 
 
 def whole_weights(weights: Mapping[str | None, float]) -> dict[str | None, int]:
@@ -76,6 +84,101 @@ def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]
     return out
 
 
+def whole_ratios(weights: Sequence[float]) -> list[int]:
+    """Positive weights times one common power of two that makes all of them whole, so nothing is rounded."""
+    pairs = [float(w).as_integer_ratio() for w in weights]
+    common = max((d for _, d in pairs), default=1)
+    return [n * (common // d) for n, d in pairs]
+
+
+def schedule(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source's place, block, release, deadline, slot) of every block, in the order of the slots.
+
+    The targets are those of a fluid in which every source that is not used up flows with its
+    weight: at time v it has given min(w * v, its blocks), and all together T(v), which is the slot.
+    Block k is released at slot floor(T(k / w)) and is due before ceil(T((k + 1) / w)); each slot
+    goes to the released block with the earliest deadline. The fluid is a fractional schedule within
+    the same windows, so no deadline is missed and no slot stays free, and a source is never a whole
+    block ahead of its target or behind it. All of it is in whole numbers, so no weight is rounded.
+    Sources of weight 0 share the slots after all others.
+    """
+    if any(not 0 <= w < float("inf") for w in weights):
+        raise ValueError("weights must be finite and not negative")
+    base = 0
+    for some in (True, False):
+        places = [i for i, (n, w) in enumerate(zip(blocks, weights, strict=True)) if n and (w > 0) == some]
+        own = [blocks[i] for i in places]
+        for i, block, release, deadline, slot in _scheduled(own, whole_ratios([weights[i] if some else 1.0 for i in places])):
+            yield places[i], block, base + release, base + deadline, base + slot
+        base += sum(own)
+
+
+def _scheduled(blocks: list[int], parts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    # Times as whole numbers so fine that different ones stay different.
+    fine = 2 * max(parts, default=1).bit_length() + 2
+    order = sorted(range(len(blocks)), key=lambda i: (blocks[i] << fine) // parts[i])
+    ends = [(blocks[i] << fine) // parts[i] for i in order]
+    given = [0, *accumulate(blocks[i] for i in order)]
+    flow = list(accumulate((parts[i] for i in order), lambda left, w: left - w, initial=sum(parts)))
+
+    def window_end(i: int, k: int) -> tuple[int, int]:
+        """T(k / w), rounded down and up."""
+        gone = bisect_right(ends, (k << fine) // parts[i])
+        whole, rest = divmod(k * flow[gone], parts[i])
+        return given[gone] + whole, given[gone] + whole + (rest > 0)
+
+    ready, later = [], []
+    for i in range(len(blocks)):
+        release, due = window_end(i, 1)
+        ready.append((due, i, 0, 0, release))
+    heapq.heapify(ready)
+    for slot in range(given[-1]):
+        while later and later[0][0] <= slot:
+            release, i, k = heapq.heappop(later)
+            following, due = window_end(i, k + 1)
+            heapq.heappush(ready, (due, i, k, release, following))
+        due, i, k, release, following = heapq.heappop(ready)
+        yield i, k, release, due, slot
+        if k + 1 < blocks[i]:
+            heapq.heappush(later, (following, i, k + 1))
+
+
+def block_slots(sizes: DataFrame, weights: Mapping[str | None, float] | None, alpha: float, block_docs: int) -> DataFrame:
+    """(source, rest, block, release, deadline, slot) per block of ``sizes`` (source, rest, n).
+
+    One task goes through the blocks, since each slot depends on the one before; it holds a few
+    numbers per source and no document.
+    """
+    least = min(weights.values(), default=1.0) if weights is not None else 0.0
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, counts = [], []
+        for batch in batches:
+            sources += [None if rest else s for s, rest in zip(batch.column("source").to_pylist(), batch.column("rest").to_pylist(), strict=True)]
+            counts += batch.column("n").to_pylist()
+        targets = [float(n) ** alpha for n in counts] if weights is None else [weights.get(s, least) for s in sources]
+        rows: list[tuple[int, int, int, int, int]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            i, *numbers = zip(*rows, strict=True)
+            own = [sources[k] for k in i]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([s or "" for s in own], pa.string()), pa.array([s is None for s in own]), *[pa.array(x, pa.int64()) for x in numbers]],
+                ["source", "rest", "block", "release", "deadline", "slot"],
+            )
+
+        for row in schedule([-(-n // block_docs) for n in counts], targets):
+            rows.append(row)
+            if len(rows) == BATCH:
+                yield batch_of()
+                rows = []
+        if rows:
+            yield batch_of()
+
+    ordered = sizes.repartition(1).sortWithinPartitions("rest", "source")
+    return ordered.mapInArrow(assign, "source string, rest boolean, block long, release long, deadline long, slot long")
+
+
 def group_of(source: Column, named: list[str]) -> Column:
     """The source where it has a weight of its own, else null for all others."""
     return F.when(source.isin(*named), source) if named else F.lit(REST).cast("string")
@@ -93,7 +196,6 @@ def mix(
     among themselves is open. A text is not read. An empty table gives no rows; columns of the
     table with these names are replaced.
     """
-    spark = docs.sparkSession
     made = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"]
     docs = docs.select(*[c for c in docs.columns if c not in made])
     if weights is None:
@@ -102,33 +204,18 @@ def mix(
         named = [r.source for r in largest]
     else:
         named = [s for s in weights if s is not None]
-    group = group_of(F.col("source"), named)
-    counts = {r.g: r.n for r in docs.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if weights is None:
-        weights = {s: n**alpha for s, n in counts.items()}
-    weights = {s: weights.get(s, min(weights.values())) for s in counts}
-    plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, weights)
-    # The plan has at most SOURCES + 1 (or as many as weights) phases of PERIOD slots: a bounded table.
-    spans = spark.createDataFrame(
-        [(i, s or "", s is None, a, b, len(p.slots[s]), p.base) for i, p in enumerate(plan) for s, (a, b) in p.blocks.items()],
-        "phase int, source string, rest boolean, first long, past long, parts int, base long",
-    )
-    slots = spark.createDataFrame(
-        [(i, s or "", s is None, k, t) for i, p in enumerate(plan) for s, own in p.slots.items() for k, t in enumerate(own)],
-        "phase int, source string, rest boolean, k int, slot int",
-    )
-    buckets = spark.createDataFrame(
-        [(s or "", s is None, -(-n // BUCKET)) for s, n in counts.items()], "source string, rest boolean, buckets int"
-    )
     own = [F.coalesce("mix_source", F.lit("")).alias("_source"), F.col("mix_source").isNull().alias("_rest")]
-    rows = docs.withColumn("mix_source", group).select("*", *own, F.xxhash64("doc_id").alias("_hash"))
+    rows = docs.withColumn("mix_source", group_of(F.col("source"), named)).select("*", *own, F.xxhash64("doc_id").alias("_hash"))
+    sizes = rows.groupBy(F.col("_source").alias("source"), F.col("_rest").alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(sizes, "mix-sizes")
+    slots = stored(block_slots(sizes, weights, alpha, block_docs), "mix-slots")
 
-    def keyed(table: DataFrame, *names: str) -> DataFrame:
+    def keyed(table: DataFrame) -> DataFrame:
         """The table under names that no column of the documents has."""
-        return F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in names]))
+        return table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
 
-    rows = rows.join(keyed(buckets, "source", "rest", "buckets"), ["_source", "_rest"])
-    rows = rows.withColumn("_bucket", F.pmod("_hash", "_buckets"))
+    rows = rows.join(keyed(sizes), ["_source", "_rest"])
+    rows = rows.withColumn("_bucket", F.pmod("_hash", F.ceil(F.col("_n") / BUCKET))).drop("_n")
     held = rows.groupBy("_source", "_rest", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = held.select(
         "_source", "_rest", "_bucket", (F.sum("_n").over(Window.partitionBy("_source", "_rest").orderBy("_bucket")) - F.col("_n")).alias("_before")
@@ -136,22 +223,16 @@ def mix(
     inside = Window.partitionBy("_source", "_rest", "_bucket").orderBy("_hash", "doc_id")
     numbered = rows.withColumn("_row", F.row_number().over(inside)).join(before, ["_source", "_rest", "_bucket"])
     numbered = numbered.withColumn("_number", F.col("_before") + F.col("_row") - 1)
-    numbered = numbered.withColumn("mix_block", F.floor(F.col("_number") / block_docs))
-    timed = numbered.join(keyed(spans, "phase", "source", "rest", "first", "past", "parts", "base"), ["_source", "_rest"]).where(
-        (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_past"))
-    )
-    at = F.col("mix_block") - F.col("_first")
-    timed = timed.withColumn("_k", (at % F.col("_parts")).cast("int"))
-    timed = timed.join(keyed(slots, "phase", "source", "rest", "k", "slot"), ["_source", "_rest", "_phase", "_k"])
-    slot = F.col("_base") + F.floor(at / F.col("_parts")) * PERIOD + F.col("_slot")
+    numbered = numbered.withColumn("_block", F.floor(F.col("_number") / block_docs))
+    timed = numbered.join(keyed(slots), ["_source", "_rest", "_block"])
     return timed.select(
         *docs.columns,
         "mix_source",
-        "mix_block",
-        (F.col("_base") + F.floor(at * PERIOD / F.col("_parts"))).alias("mix_release"),
-        (F.col("_base") + F.ceil((at + 1) * PERIOD / F.col("_parts"))).alias("mix_deadline"),
-        slot.alias("mix_slot"),
-        (slot * block_docs + F.pmod("_number", F.lit(block_docs))).alias("mix_position"),
+        F.col("_block").alias("mix_block"),
+        F.col("_release").alias("mix_release"),
+        F.col("_deadline").alias("mix_deadline"),
+        F.col("_slot").alias("mix_slot"),
+        (F.col("_slot") * block_docs + F.pmod("_number", F.lit(block_docs))).alias("mix_position"),
     )
 
 
