@@ -18,11 +18,8 @@ from factloom.llm.common import stored
 BLOCK_DOCS = 100
 #: The periodic form (:func:`phases`) takes weights in whole parts of so many; :func:`mix` does not use it.
 PERIOD = 1000
-#: Sources with a weight of their own when weights come from the table; all others share one.
-SOURCES = 64
 #: Documents that are numbered together.
 BUCKET = 1000
-REST = None
 #: Scheduled blocks that leave the scheduler together.
 BATCH = 50_000
 
@@ -179,9 +176,12 @@ def block_slots(sizes: DataFrame, weights: Mapping[str | None, float] | None, al
     return ordered.mapInArrow(assign, "source string, rest boolean, block long, release long, deadline long, slot long")
 
 
-def group_of(source: Column, named: list[str]) -> Column:
-    """The source where it has a weight of its own, else null for all others."""
-    return F.when(source.isin(*named), source) if named else F.lit(REST).cast("string")
+def grouped(docs: DataFrame, weights: Mapping[str | None, float] | None) -> DataFrame:
+    """With mix_source: the source, or null where ``weights`` are given and do not name it."""
+    if weights is None:
+        return docs.withColumn("mix_source", F.col("source"))
+    named = docs.sparkSession.createDataFrame([(s,) for s in weights if s is not None], "mix_source string")
+    return docs.join(F.broadcast(named), F.col("source") == F.col("mix_source"), "left")  # as many as the mapping has
 
 
 def mix(
@@ -190,7 +190,8 @@ def mix(
     """The rows with mix_source, mix_block, mix_release, mix_deadline, mix_slot and mix_position.
 
     ``weights`` gives targets per source; the key None is for all other sources and rows without
-    one, together. Without it, the SOURCES largest sources get the power ``alpha`` of their size.
+    one, together. Without it, every source gets the power ``alpha`` of its size, and so do the rows
+    without one; no number of sources is too large, as sizes and slots are tables.
     Documents of a source are numbered in the order of a hash of their id and cut into blocks. Rows
     sorted by mix_position are the mixture; every row is in it once, also repeated ones, whose order
     among themselves is open. A text is not read. An empty table gives no rows; columns of the
@@ -198,14 +199,8 @@ def mix(
     """
     made = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"]
     docs = docs.select(*[c for c in docs.columns if c not in made])
-    if weights is None:
-        sizes = docs.where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.orderBy(F.desc("n"), "source").limit(SOURCES).collect()
-        named = [r.source for r in largest]
-    else:
-        named = [s for s in weights if s is not None]
     own = [F.coalesce("mix_source", F.lit("")).alias("_source"), F.col("mix_source").isNull().alias("_rest")]
-    rows = docs.withColumn("mix_source", group_of(F.col("source"), named)).select("*", *own, F.xxhash64("doc_id").alias("_hash"))
+    rows = grouped(docs, weights).select("*", *own, F.xxhash64("doc_id").alias("_hash"))
     sizes = rows.groupBy(F.col("_source").alias("source"), F.col("_rest").alias("rest")).agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes, "mix-sizes")
     slots = stored(block_slots(sizes, weights, alpha, block_docs), "mix-slots")

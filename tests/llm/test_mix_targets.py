@@ -78,3 +78,21 @@ def test_mix_keeps_asked_weights(spark):
         for t, x in enumerate(order, 1):
             held += x == s
             assert abs(held - w * t) < 1 + 1e-9
+
+
+def test_every_source_of_many_is_scheduled(spark):
+    rows = [(i, f"s{i % 200:03}") for i in range(1200)] + [(2000 + i, None) for i in range(6)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=2).toPandas()
+    assert len(got) == len(rows) == got.mix_position.nunique()
+    assert got.mix_source.nunique() == 200 and got.groupby("mix_source").mix_block.max().eq(2).all()
+    assert sorted(got.mix_slot.unique()) == list(range(603))
+    for k in range(3):  # equal sources take turns
+        assert got[got.mix_block == k].mix_slot.between(201 * k, 201 * k + 200).all()
+
+
+def test_a_mapping_may_name_more_sources_than_a_period_has_slots(spark):
+    weights = {f"s{i}": 1.0 + i % 3 for i in range(1500)}
+    rows = [(i, f"s{i % 1510}") for i in range(3020)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=1).toPandas()
+    assert len(got) == 3020 == got.mix_position.nunique()
+    assert got.mix_source.nunique() == 1500 and got.mix_source.isna().sum() == 20
