@@ -24,10 +24,10 @@ NEGATIVES = 6000
 #: A labelled toxic document counts for new insults until so many that it holds are found.
 COVER = 3
 LONGEST = 40
+#: Length of a string of four letters, the shortest that is learned, with a character between all letters.
+GAPPED = 7
 #: Tokens whose subsequences are laid out at once.
 CHUNK = 2000
-#: Least kernel with an insult of a word that is looked at.
-SIMILAR = 0.35
 RUN_CHARS = 1_000_000
 #: Words that a task remembers before it starts its memory anew.
 KNOWN_WORDS = 150_000
@@ -40,15 +40,46 @@ SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
-def words_of(text: str) -> set[str]:
-    """Different lower-case words of a text; letters set apart by blanks are also put together as words."""
+def words_of(text: str, heads: frozenset[str] = frozenset()) -> set[str]:
+    """Different lower-case words of a text, and those that blanks have taken apart.
+
+    Letters set apart by blanks are put together; a piece that is one of ``heads``, beginnings of
+    insults, is put together with the pieces after it.
+    """
     text = text.lower()
-    words = set(text.split())
+    pieces = text.split()
+    words = set(pieces)
     for run in SPELLED.finditer(text):
         words.add("".join(run.group().split()))
+    for i in [i for i, piece in enumerate(pieces) if piece.strip(OUTER) in heads]:
+        joined = pieces[i].strip(OUTER)
+        for piece in pieces[i + 1 :]:
+            joined += piece
+            words.add(joined)
+            if joined not in heads:
+                break
     return words
 
 
+def heads_of(insults: list[str]) -> frozenset[str]:
+    """Beginnings of two letters and more; without its first letter alone an insult is similar to itself."""
+    return frozenset(s[:k] for s in insults for k in range(2, len(s)))
+
+
+def views(word: str) -> list[str]:
+    """What of a word is compared: itself, its letters alone, and every other character.
+
+    Between the letters of an insult the other two leave out what was put there.
+    """
+    token = word.strip(OUTER)
+    kinds = [token]
+    if not token.isalpha():
+        kinds.append("".join(filter(str.isalpha, token)))
+    if len(token) >= GAPPED:
+        kinds += [token[::2], token[1::2]]
+    return list(dict.fromkeys(part for kind in kinds for part in cut(kind)))
+
+
 def cut(word: str) -> list[str]:
     """The word without outer punctuation, in overlapping parts if it is long."""
     token = word.strip(OUTER)
@@ -116,16 +147,16 @@ class Landmarks:
         at, mark = np.nonzero(table)
         return Landmarks(place, np.searchsorted(at, np.arange(len(known) + 1)), mark, table[at, mark], len(strings))
 
-    def kernel(self, tokens: list[str], least: float = 0.0, first: int = 0) -> np.ndarray:
+    def kernel(self, tokens: list[str], weights: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
         """Normalised kernel of each token with each landmark.
 
-        Rows are left at 0 where an upper bound shows that none of the ``first`` landmarks reaches ``least``.
+        Rows are left at 0 where an upper bound shows that with these landmarks' ``weights`` they do not pass ``least``.
         """
         out = np.zeros((len(tokens), self.count))
         order = np.argsort(np.fromiter(map(len, tokens), np.int64, len(tokens)), kind="stable")
         for low in range(0, len(tokens), CHUNK):
             chunk = order[low : low + CHUNK]
-            triples, weights = _triples(_codes([tokens[i] for i in chunk]))
+            triples, decays = _triples(_codes([tokens[i] for i in chunk]))
             place = np.where(triples >= 0, self.place[triples], -1)
             rows, columns = np.nonzero(place >= 0)
             place = place[rows, columns]
@@ -133,14 +164,14 @@ class Landmarks:
             ends = np.cumsum(times)
             entry = np.repeat(self.begin[place] - ends + times, times) + np.arange(ends[-1] if len(ends) else 0)
             cell = np.repeat(rows, times) * self.count + self.mark[entry]
-            shared = np.bincount(cell, np.repeat(weights[columns], times) * self.value[entry], len(chunk) * self.count)
+            shared = np.bincount(cell, np.repeat(decays[columns], times) * self.value[entry], len(chunk) * self.count)
             shared = shared.reshape(len(chunk), self.count)
             some = shared.any(axis=1)
-            if first:  # a norm is at least that of a token whose subsequences all differ
-                floor = np.sqrt(np.where(triples >= 0, weights**2, 0.0).sum(axis=1))
-                some &= shared[:, :first].max(axis=1) >= least * floor
+            if weights is not None:  # a norm is at least that of a token whose subsequences all differ
+                floor = np.sqrt(np.where(triples >= 0, decays**2, 0.0).sum(axis=1))
+                some &= shared @ weights > least * floor * (1 - 1e-9)
             some = np.flatnonzero(some)
-            norm = np.maximum(_norms(triples[some], weights), 1e-12)
+            norm = np.maximum(_norms(triples[some], decays), 1e-12)
             out[chunk[some]] = shared[some] / norm[:, None]
         return out
 
@@ -148,16 +179,14 @@ class Landmarks:
 @dataclass(frozen=True)
 class ToxicityModel:
     landmarks: Landmarks
-    insults: int  # the first landmarks
+    heads: frozenset[str]  # beginnings of the insults among the landmarks
     weights: np.ndarray  # on the kernel with the landmarks, the Nystroem map included
     bias: float
     scale: np.ndarray  # logistic map of the two highest margins of a text
 
     def margins(self, tokens: list[str]) -> np.ndarray:
-        """Margins; tokens whose kernel with every insult is under SIMILAR have that of an empty one."""
-        kernel = self.landmarks.kernel(tokens, SIMILAR, self.insults)
-        near = kernel[:, : self.insults].max(axis=1, initial=0) >= SIMILAR
-        return np.where(near, kernel @ self.weights, 0.0) + self.bias
+        """Margins of the machine; where they are neither positive nor above that of an empty token, the latter."""
+        return self.landmarks.kernel(tokens, self.weights, max(0.0, -self.bias)) @ self.weights + self.bias
 
     def score(self, top: np.ndarray) -> np.ndarray:
         """Probability from the two highest margins (columns) of each text."""
@@ -234,8 +263,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column, size: i
     toxic = words.where("label = 1").where(starts).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     toxic = [r.word for r in toxic.orderBy(F.desc("n"), "word").limit(3000).collect()]
     close = words.where("label = 0").where(starts).select("word").distinct().limit(1000)
-    negatives = sorted(set(plain) | set(others) | {r.word for r in close.collect()})
     positives = sorted(set(toxic) - set(plain))
+    clean_words = set(plain) | set(others) | {r.word for r in close.collect()}
+    negatives = sorted(clean_words | {v for w in clean_words for v in views(w)} - set(positives))
     marks = list(dict.fromkeys([*insults, *plain]))[: len(insults) + PLAIN]
     landmarks = Landmarks.of(marks)
     own = landmarks.kernel(marks)
@@ -246,11 +276,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column, size: i
     y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
     cost = np.where(y > 0, 0.5 / len(positives), 0.5 / len(negatives))
     w = _hinge(x, y, cost)
-    model = ToxicityModel(landmarks, len(insults), nystroem @ w[:-1], float(w[-1]), np.zeros(3))
+    model = ToxicityModel(landmarks, heads_of(insults), nystroem @ w[:-1], float(w[-1]), np.zeros(3))
     tops = sample.select("label", margins_of(F.col("text"), model).alias("m")).select("label", "m.*").toPandas()
     top = tops[["top1", "top2"]].to_numpy()
     scale = logistic(np.clip(top, 0, 1.5), tops["label"].to_numpy().astype(float))
-    return ToxicityModel(landmarks, len(insults), model.weights, model.bias, scale)
+    return ToxicityModel(landmarks, heads_of(insults), model.weights, model.bias, scale)
 
 
 def _chosen(found: pd.DataFrame, least: int) -> list[str]:
@@ -283,14 +313,14 @@ def _tops(model: ToxicityModel, batches: Iterator[pd.Series]) -> Iterator[np.nda
             while at + len(held) < len(batch) and (not held or size < RUN_CHARS):
                 text = batch.iat[at + len(held)]
                 size += len(text)
-                held.append(words_of(text))
+                held.append(words_of(text, model.heads))
             if len(known) > KNOWN_WORDS:
                 known, toxic = set(), {}
             new = list(set().union(*held) - known)
             known.update(new)
-            parts = [(w, part) for w in new for part in cut(w)]
+            parts = [(w, part) for w in new for part in views(w)]
             margins = model.margins([part for _, part in parts]) if parts else np.empty(0)
-            for i in np.flatnonzero(margins > model.bias):
+            for i in np.flatnonzero(margins > max(model.bias, 0.0)):  # scores see nothing below 0
                 w = parts[i][0]
                 toxic[w] = max(float(margins[i]), toxic.get(w, model.bias))
             top = np.full((len(held), 2), model.bias)
