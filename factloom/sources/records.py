@@ -158,10 +158,17 @@ _PLACE = "struct<file:string,line:int,column:int,`byte-column`:int>"
 _GCC = f"array<struct<kind:string,message:string,option:string,locations:array<struct<caret:{_PLACE},finish:{_PLACE}>>>>"
 
 
+#: From the last match on to a closed array that another one follows; brackets in strings are passed over. No quantifier
+#: gives back, so long texts need no stack.
+_NEXT_ARRAY = r'\G((?:[^"\]]++|"(?:[^"\\]|\\.)*+"|\](?!\s*\[))*+\])\s*(?=\[)'
+
+
 def gcc_diagnostics(outputs: DataFrame, keys: Sequence[str] = (), errors_only: bool = True) -> DataFrame:
     """Diagnostics of JSON arrays, one per translation unit, possibly several in one text."""
     # The compiler starts each array on a line of its own; inside a message a line break is escaped.
+    # Outputs joined without line breaks are split where an array meets the next one outside strings.
     arrays = F.split(T.strip(F.col("text")), r"(?<=\])[^\S\n]*\n\s*(?=\[)")
+    arrays = F.flatten(F.transform(arrays, lambda a: F.split(F.regexp_replace(a, _NEXT_ARRAY, "$1\x1e"), "\x1e")))
     parsed = outputs.select(*keys, F.explode(arrays).alias("_array"))
     items = parsed.select(*keys, F.explode(F.from_json("_array", _GCC)).alias("d"))
     kind = F.coalesce("d.kind", F.lit("error"))
