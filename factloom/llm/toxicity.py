@@ -225,11 +225,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column, size: int = SAMPLE) -> ToxicityModel | None:
     """Learn from labelled documents; None when both labels do not occur among them.
 
-    A toxic document is a bag of sentences of which some are toxic. Strings (words and beginnings of
+    Texts are compared word by word; sentences are not split. Strings (words and beginnings of
     words) that are found in many toxic documents and hardly in clean ones are chosen one by one,
-    each for the toxic documents not yet explained; sentences that hold one are the toxic sentences,
-    sentences of clean documents the others. Their words teach the machine; its landmarks are the
-    chosen strings and common words of clean sentences.
+    each for the toxic documents not yet explained. Words of toxic documents that begin with one, and
+    words of clean documents, teach the machine; its landmarks are the chosen strings and common
+    words of clean documents.
     """
     word = F.explode(
         F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}@]+"), F.lit(0)))
