@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe
+from factloom.llm.best_position import TOP, ranked_search
 from factloom.llm.common import LOWER, UPPER, held_out
+from factloom.llm.containment import WINDOW_WORDS, contamination
 from factloom.llm.factoring import duplicate_spans
 from factloom.llm.jaccard import jaccard_groups
 from factloom.llm.line_rules import DEPLETED_PERCENT, LINE_DOCS, LINE_PER_MILLE, MAX_REPEAT_PERCENT, MIN_WORDS, line_rules
@@ -17,6 +19,7 @@ from factloom.llm.secret_scan import BASE_KINDS, find_secrets, listed
 from factloom.llm.toxicity import toxicity, train_toxicity
 from factloom.llm.url_model import GRID, ORDER, RULES, judge_urls
 from factloom.llm.vectors import near_vectors
+from factloom.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -211,6 +214,55 @@ SELECT page_id, host, path, rule, coalesce(r.verdict, CASE WHEN step > (SELECT t
 FROM ruled r LEFT JOIN (SELECT text, step FROM scored WHERE verdict IS NULL) j ON r.verdict IS NULL AND host || path = j.text
 """
 
+def op11_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+WITH docs AS (SELECT doc_id, {_SQL_TERMS} AS w FROM documents),
+items AS (SELECT item_id, {_SQL_TERMS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+  SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), {WINDOW_WORDS}) AS k FROM items WHERE len(w) > 0))),
+places AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT doc_id, i, k, item_id FROM places JOIN windows USING (k, g)),
+hits AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+OP13_SQL = f"""
+WITH words AS (SELECT doc_id, unnest({_SQL_TERMS}) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest({_SQL_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, total GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id,
+    sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= {TOP}
+"""
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -222,9 +274,14 @@ QUERIES = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_multi_index": op9_multi_index,
     "op10_factoring": op10_factoring,
+    "op11_containment": op11_containment,
+    "op12_whitening": op12_whitening,
+    "op13_best_position": op13_best_position,
 }
 SQL = {
     "op1_line_frequency": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
     "op7_url_model": OP7_SQL,
+    "op11_containment": OP11_SQL,
+    "op13_best_position": OP13_SQL,
 }
