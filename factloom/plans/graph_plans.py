@@ -1,10 +1,12 @@
 """Queries for graphs, roll-ups, set operations, streams' batch forms and user extractors."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from factloom.functions import text as T
 from factloom.operators import graph, rollups, stages
 from factloom.plans.registry import query
+from factloom.session import cut_lineage
 from factloom.streaming import cycles
 
 
@@ -71,11 +73,62 @@ def _(t):
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
-@query("g03_cycle_core")
+# Every pair of nodes with a path, and the nodes on a cycle.
+REACH_SQL = """reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, e.dst FROM reach JOIN e ON e.src = reach.b),
+cyclic AS (SELECT a AS node FROM reach WHERE a = b)"""
+
+
+@query("g03_cycle_core", f"""
+WITH RECURSIVE {EDGE_SQL}, {REACH_SQL},
+behind AS (SELECT node FROM cyclic UNION SELECT b FROM reach JOIN cyclic ON a = node),
+before AS (SELECT node FROM cyclic UNION SELECT a FROM reach JOIN cyclic ON b = node)
+SELECT src, dst FROM e WHERE src IN (SELECT node FROM behind) AND dst IN (SELECT node FROM before)""")
 def _(t):
     return graph.cycle_core(_nation_edges(t))
 
 
+COMPONENT_SQL = """component AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
+@query("g03_components", f"WITH RECURSIVE {EDGE_SQL}, {REACH_SQL}, {COMPONENT_SQL} SELECT node, component FROM component")
+def _(t):
+    return graph.strong_components(_nation_edges(t))
+
+
+# Each part leads to the parts that follow it in the three orders where it sold dearest.
+FOLLOWER_SQL = """e AS (SELECT DISTINCT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY l_extendedprice DESC, l_orderkey, dst) AS place FROM (
+  SELECT l_orderkey, l_extendedprice, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS dst FROM lineitem)
+  WHERE dst IS NOT NULL) WHERE place <= 3)"""
+
+
+def _followers(t):
+    # an order has few lines, so its window is small; a part keeps three rows per task before the shuffle
+    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    lines = t.lineitem.select("l_orderkey", "l_extendedprice", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(within).alias("dst"))
+    dearest = Window.partitionBy("src").orderBy(F.desc("l_extendedprice"), "l_orderkey", "dst")
+    ranked = lines.where("dst IS NOT NULL").withColumn("place", F.row_number().over(dearest))
+    return ranked.where("place <= 3").select("src", "dst").distinct()
+
+
+@query("g03_follower_components", f"WITH RECURSIVE {FOLLOWER_SQL}, {REACH_SQL}, {COMPONENT_SQL} SELECT node, component FROM component")
+def _(t):
+    return graph.strong_components(_followers(t))
+
+
+@query("g03_witness_cycles", f"""
+WITH RECURSIVE {FOLLOWER_SQL}, {REACH_SQL}, {COMPONENT_SQL}, inner_edges AS (SELECT a.component, src, dst FROM e JOIN component a ON a.node = src JOIN component b ON b.node = dst AND a.component = b.component),
+walk AS (SELECT DISTINCT component, component AS node, 0 AS depth, 0 AS back FROM component
+  UNION SELECT w.component, dst, depth + 1, (dst = w.component)::INT FROM walk w JOIN inner_edges i ON i.component = w.component AND i.src = w.node WHERE back = 0 AND depth < 40)
+SELECT component, min(depth)::BIGINT AS nodes, true AS closed FROM walk WHERE back = 1 GROUP BY component""")
+def _(t):
+    edges = cut_lineage(_followers(t))
+    cycles = cut_lineage(graph.witness_cycles(edges, graph.strong_components(edges)))
+    onward = cycles.select("component", (F.col("position") - 1).alias("position"), F.col("node").alias("next"))
+    steps = cycles.join(onward, ["component", "position"], "left").select("component", F.col("node").alias("src"), F.coalesce("next", "component").alias("dst"))
+    known = steps.join(edges.withColumn("known", F.lit(True)), ["src", "dst"], "left")
+    return known.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(F.coalesce("known", F.lit(False))).alias("closed"))
+
+
 @query("g04_direct_dependents", f"WITH {DEPS_SQL} SELECT DISTINCT node FROM deps WHERE requires = 'n7'")
 def _(t):
     return graph.direct_dependents(_deps(t), "n7")
