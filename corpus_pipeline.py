@@ -40,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digest of the decoded bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded="bytes")
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded="bytes", keep=False)
     return encoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256")
     )

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.common import free_name, give_back
+
 #: The characters of the split pattern's ``\s``, spelled out: libraries differ on the control characters 0x1C-0x1F.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: A blank beside other white space; the split pattern may put both into one match.
@@ -265,14 +267,17 @@ def _runs(sizes: list[int]) -> Iterator[slice]:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text", decoded: str | None = None
+    docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text", decoded: str | None = None,
+    keep: bool = True,
 ) -> DataFrame:
     """Every row with its whole text as token ids in the array column ``ids``, which replaces a namesake.
 
     Each match of ``pattern`` is encoded by itself, without special tokens. A null text counts as
     empty and has no ids. Texts are read in runs of bounded size and the different words of a run are
     encoded once. ``path`` must be readable on every executor. ``decoded`` names a binary column for
-    what :func:`decode` makes of the ids, in the same pass.
+    what :func:`decode` makes of the ids, in the same pass. Repeated rows are encoded alike; an empty
+    table gives no rows; other columns stay. With ``keep`` a worker process holds its merge tables
+    and known words for its next task; without it, their memory is given back.
     """
     out = [ids, decoded] if decoded else [ids]
     columns = [c for c in docs.columns if c not in out]
@@ -286,14 +291,21 @@ def encode(
                 made = [encoded, pa.array(bpe.decode(encoded), pa.binary())] if decoded else [encoded]
                 rest = [batch.column(i)[part] for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*rest, *made], names=[*columns, *out])
+        if not keep:
+            del bpe
+            tokenizer.cache_clear()
+            give_back()
 
     schema = T.StructType(docs.select(*columns).schema.fields).add(ids, T.ArrayType(T.IntegerType()))
     schema = schema.add(decoded, T.BinaryType()) if decoded else schema
-    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(free_name(columns, "_text"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """Every row with the bytes of its ids in the binary column ``out``; null ids give no bytes."""
+    """Every row with the bytes of its ids in the binary column ``out``, which replaces a namesake.
+
+    Null ids give no bytes; repeated rows are decoded alike; an empty table gives no rows.
+    """
     columns = [c for c in encoded.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,5 +318,5 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(bpe.decode(own), pa.binary())], names=[*columns, out])
 
     schema = T.StructType(encoded.select(*columns).schema.fields).add(out, T.BinaryType())
-    filled = F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids")
+    filled = F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(free_name(columns, "_ids"))
     return encoded.select(*columns, filled).mapInArrow(run, schema)

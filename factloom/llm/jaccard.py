@@ -345,8 +345,20 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates, once; rows without doc_id stay."""
-    groups = jaccard_groups(docs, percent)
-    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    alone = docs.where("doc_id IS NULL")
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(alone)
+    """One row of each group of near-duplicates, that with the smallest doc_id.
+
+    Rows with one doc_id and one text are the same document and stay once. A doc_id that stands for
+    different texts is no name for them: each of its texts is a document of its own, which links as
+    any other and comes before the others of its group. Rows without doc_id stay; a null or empty
+    text links with nothing; an empty table gives no rows; other columns, whatever their names, stay
+    as they are.
+    """
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("content"))
+    several = keyed.where("id IS NOT NULL").select("id", "content").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("texts"))
+    several = stored(several.where("texts > 1").select("id", F.lit(True).alias("several")), "several-texts")
+    own = F.xxhash64("id", "content").bitwiseOR(F.lit(-(1 << 63)))
+    rows = keyed.join(several, "id", "left").select("doc", F.when(F.col("several"), own).otherwise(F.col("id")).alias("node"))
+    groups = jaccard_groups(rows.select(F.col("node").alias("doc_id"), F.col("doc.text").alias("text")), percent)
+    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct(), "kept")
+    named = rows.join(kept, "node", "left_semi").dropDuplicates(["node"])
+    return named.unionByName(rows.where("node IS NULL")).select("doc.*")

@@ -182,13 +182,16 @@ def line_rules(
 def remove_lines(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Texts without their boilerplate lines; documents that are not kept go.
 
-    Expects one row per doc_id on both sides; takes the rows of :func:`line_rules` as ``verdicts``.
+    Takes the rows of :func:`line_rules` as ``verdicts``. Rows of one doc_id are one document here:
+    they stay if one of them is kept, and lose the lines of all. A null text becomes empty; an empty
+    table gives no rows; other columns, whatever their names, stay as they are.
     """
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"), "removed_lines")
-    lines = F.split(text_of(), "\n")
+    kept = verdicts.where("kept").groupBy(F.struct("doc_id").alias("key")).agg(F.flatten(F.collect_list("removed_lines")).alias("removed"))
+    rows = docs.select(F.struct("*").alias("doc"), F.struct("doc_id").alias("key"), text_of().alias("whole"))
 
     def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col("removed_lines"), F.xxhash64(F.trim(normalised(line))))
+        return ~F.array_contains(F.col("removed"), F.xxhash64(F.trim(normalised(line))))
 
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("text", F.array_join(F.filter(lines, stays), "\n")).select(*docs.columns)
+    text = F.array_join(F.filter(F.split("whole", "\n"), stays), "\n")
+    joined = rows.join(kept, "key").withColumn("text", text)
+    return joined.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

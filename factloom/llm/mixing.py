@@ -198,9 +198,10 @@ def mix(
     table with these names are replaced.
     """
     made = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"]
-    docs = docs.select(*[c for c in docs.columns if c not in made])
+    # the row travels as one struct, so no column of it meets a name used here
+    whole = docs.select(F.struct(*[c for c in docs.columns if c not in made]).alias("doc"), "source", "doc_id")
     own = [F.coalesce("mix_source", F.lit("")).alias("_source"), F.col("mix_source").isNull().alias("_rest")]
-    rows = grouped(docs, weights).select("*", *own, F.xxhash64("doc_id").alias("_hash"))
+    rows = grouped(whole, weights).select("doc", "doc_id", "mix_source", *own, F.xxhash64("doc_id").alias("_hash"))
     sizes = rows.groupBy(F.col("_source").alias("source"), F.col("_rest").alias("rest")).agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes, "mix-sizes")
     slots = stored(block_slots(sizes, weights, alpha, block_docs), "mix-slots")
@@ -221,7 +222,7 @@ def mix(
     numbered = numbered.withColumn("_block", F.floor(F.col("_number") / block_docs))
     timed = numbered.join(keyed(slots), ["_source", "_rest", "_block"])
     return timed.select(
-        *docs.columns,
+        "doc.*",
         "mix_source",
         F.col("_block").alias("mix_block"),
         F.col("_release").alias("mix_release"),

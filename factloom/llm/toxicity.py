@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import labelled_sample, stored, text_of
+from factloom.llm.common import give_back, labelled_sample, stored, text_of
 
 #: Labelled documents that teach a model, at most: those first in the order of a hash of their ids.
 SAMPLE = 4000
@@ -330,6 +330,8 @@ def _tops(model: ToxicityModel, batches: Iterator[pd.Series]) -> Iterator[np.nda
             tops.append(top)
             at += len(held)
         yield np.concatenate(tops)
+    del known, toxic
+    give_back()
 
 
 def margins_of(text: Column, model: ToxicityModel) -> Column:
@@ -369,7 +371,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.3) -> DataFrame:
-    """The rows whose text scores below ``threshold``."""
-    score = "_toxicity"
-    scored = docs.withColumn(score, toxicity_score(F.col("text"), model))
-    return scored.where(F.col(score) < threshold).select(*docs.columns)
+    """The rows whose text scores below ``threshold``, with the columns that they have.
+
+    A null text counts as empty; repeated rows stay or go alike; an empty table gives no rows.
+    """
+    return docs.where(toxicity_score(F.col("text"), model) < threshold)
