@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import transitive_dependents
+from factloom.session import cut_lineage
 
 
 def snapshot_delta(previous: DataFrame, current: DataFrame, key: str = "path", value: str = "fingerprint") -> DataFrame:
@@ -57,6 +58,7 @@ def stale_keys(cached: DataFrame, current: DataFrame, dependencies: DataFrame |
     direct = current.join(cached.select("key", "fingerprint"), ["key", "fingerprint"], "left_anti").select("key")
     if dependencies is None:
         return direct
+    direct = cut_lineage(direct)
     downstream = transitive_dependents(dependencies, direct.select(F.col("key").alias("node")))
     return direct.unionByName(downstream.select(F.col("node").alias("key"))).distinct()
 
@@ -68,7 +70,7 @@ def incremental(
     dependencies: DataFrame | None = None,
 ) -> DataFrame:
     """Results for the current rows: reused where still valid, computed for the stale keys only."""
-    stale = stale_keys(cached, current, dependencies)
+    stale = cut_lineage(stale_keys(cached, current, dependencies))  # read twice
     fresh = compute(current.join(stale, "key", "left_semi"))
     kept = (
         cached.join(current.select("key"), "key", "left_semi")

@@ -100,31 +100,35 @@ def levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     """Longest dependency depth per node; ``level`` is null in or behind a cycle or an unknown node.
 
     Kahn's layers as counting: a node joins the next layer when its last open requirement was in the
-    layer just finished. A step looks only at the nodes that the layer's edges lead to: what arrives
-    there now and has arrived before makes up their number of requirements, or is appended to what
-    has arrived. Each edge is touched in one step, and hub nodes are counted with map-side combine.
+    layer just finished. Every edge carries how many requirements its node has, so a step looks only
+    at the edges that leave the layer: what arrives at a node now and has arrived before makes up
+    that number, or is appended to what has arrived. Each edge is touched in one step, and hub nodes
+    are counted with map-side combine.
     """
-    edges = cut_lineage(deps.select("node", "requires").distinct())
-    needed = cut_lineage(edges.groupBy("node").agg(F.count(F.lit(1)).alias("needed")))
     every = cut_lineage(nodes.select("node").distinct())
-    layer, rows = _counted(every.join(needed, "node", "left_anti"))
-    # only nodes of the table get a level; requirements of others never close
-    needed = cut_lineage(needed.join(every, "node", "left_semi"))
-    arrived = Parts(needed.limit(0).withColumnRenamed("needed", "n"), lambda df: df.groupBy("node").agg(F.sum("n").alias("n")))
+    edges = deps.select("node", "requires").distinct()
+    needed = edges.groupBy("node").agg(F.count(F.lit(1)).alias("needed"))
+    edges = cut_lineage(edges.join(needed, "node").join(every, "node", "left_semi"))
+    layer, rows = _counted(every.join(edges, "node", "left_anti"))
+    arrived = Parts(edges.select("node", F.col("needed").alias("n")).limit(0), lambda df: df.groupBy("node").agg(F.max("n").alias("n")))
     done = Parts(layer.limit(0).withColumn("level", F.lit(0)))
     depth = 0
     while rows:
         done.append(layer.withColumn("level", F.lit(depth)), rows)
         step = _light(layer.select(F.col("node").alias("requires")), rows)
-        fresh, rows = _counted(edges.join(step, "requires").groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-        touched = _light(fresh.select("node"), rows)
-        total = fresh if not arrived.parts else fresh.unionByName(arrived.table().join(touched, "node", "left_semi"))
-        total = total.groupBy("node").agg(F.sum("n").alias("n"))
-        met = needed.join(_light(total, rows), "node")
-        layer, closed = _counted(met.where("n = needed").select("node"))
-        if closed < rows:
-            arrived.append(*_counted(fresh.join(layer, "node", "left_anti")))
-        rows, depth = closed, depth + 1
+        met = edges.join(step, "requires").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
+        if arrived.parts:
+            before = arrived.table()
+            if arrived.rows > SMALL_ROWS:
+                met, rows = _counted(met)
+                before = before.join(_light(met.select("node"), rows), "node", "left_semi")
+            before = _light(before.groupBy("node").agg(F.max("n").alias("before")), arrived.rows)
+            met = met.join(before, "node", "left").select("node", (F.col("n") + F.coalesce("before", F.lit(0))).alias("n"), "needed")
+        met, rows = _counted(met)
+        layer = met.where("n = needed").select("node")
+        open_rows = met.where("n < needed").count()
+        arrived.append(met.where("n < needed").select("node", "n"), open_rows)
+        rows, depth = rows - open_rows, depth + 1
     return every.join(done.table(), "node", "left")
 
 

@@ -74,14 +74,18 @@ def plain(cut: DataFrame) -> DataFrame:
 
 
 def _carried(
-    cut: DataFrame, per_bucket: Mapping[str, Column], combine: Mapping[str, Callable[[Column], Column]], backwards: bool = False
+    cut: DataFrame, per_bucket: Mapping[str, Column], combine: Mapping[str, Callable[[Column], Column]], backwards: bool = False,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Join to every row what the buckets before (or after) its own add up to, per key."""
+    """Join to every row what the buckets before (or after) its own add up to, per key.
+
+    ``rows`` may give more columns of the rows than the sums need.
+    """
     order = F.col(BUCKET).desc() if backwards else F.col(BUCKET).asc()
     before = Window.partitionBy(KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     summary = cut.groupBy(KEY, BUCKET).agg(*[c.alias(n) for n, c in per_bucket.items()])
     carry = summary.select(KEY, BUCKET, *[combine[n](F.col(n)).over(before).alias(n) for n in per_bucket])
-    return cut.join(carry, [KEY, BUCKET], "left")
+    return (cut if rows is None else rows).join(carry, [KEY, BUCKET], "left")
 
 
 def add_row_number(cut: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
@@ -177,13 +181,14 @@ def steps_since_improvement(
     qualify, since the best never lies more than ``min_delta`` below the running maximum; the
     fold therefore sees those few rows and not a key's whole history.
     """
-    cut = bucketed(cut_lineage(df), keys, order)  # written once: bounds, rows and carries read it
+    cut = bucketed(df, keys, order)
     w = _inside(order)
     inside = cut.withColumns({"_i": F.row_number().over(w), "_own": F.max(score).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     sums = {"_before": F.count(F.lit(1)), "_carry": F.max(score)}
-    cut = _carried(inside, sums, {"_before": F.sum, "_carry": F.max}).withColumns(
+    cut = _carried(cut, sums, {"_before": F.sum, "_carry": F.max}, rows=inside).withColumns(
         {"_rn": F.col("_i") + F.coalesce("_before", F.lit(0)), "_max_before": F.greatest("_own", "_carry")}
-    ).drop("_i", "_own", "_before", "_carry")
+    )
+    cut = cut_lineage(cut.drop("_i", "_own", "_before", "_carry"))
     peaks = cut.where((F.col(score) > F.coalesce("_max_before", F.lit(float("-inf")))) & (F.col(score) > initial_best + min_delta))
 
     keyed = peaks.select(F.to_json(F.struct(KEY)).alias("_k"), "_rn", F.col(score).alias("_score"))
@@ -253,7 +258,7 @@ def moving_average(
     decay = 1.0 - alpha
     size = max(1, math.floor(60 / -math.log10(decay)))
     back = math.ceil(640 / (-math.log10(decay) * size)) + 1  # beyond, the largest double is below the smallest
-    rows = row_number(df, keys, order, "_rn").withColumns(
+    rows = row_number(cut_lineage(df), keys, order, "_rn").withColumns(
         {KEY: F.struct(*keys) if keys else F.lit(0), "_chunk": F.floor((F.col("_rn") - 1) / size), "_x": F.col(value).cast("double")}
     )
     step, x = (F.col("_rn") - 1) % size + 1, F.col("_x")

@@ -297,7 +297,8 @@ def front_layers(
     schema = layered.select("_g", *names, *cuts, "front").schema
     for wave in range(len(names) * (slices - 1) + 1):
         active = sliced.where(sum((F.col(c) for c in cuts), F.lit(0)) == wave).select("_g", *names, *cuts)
-        known = _known_before(active.select("_g", *cuts).distinct(), layered, names, cuts) if wave else layered
+        # written, because both sides of a cogroup must not come from one table
+        known = cut_lineage(_known_before(active.select("_g", *cuts).distinct(), layered, names, cuts)) if wave else layered
         placed = active.groupBy("_g", *cuts).cogroup(known.groupBy("_g", *cuts)).applyInArrow(layer, schema)
         layered = layered.unionByName(cut_lineage(placed)) if slices > 1 else placed
     result = rows.join(layered.drop(*cuts), ["_g", *names], "left").withColumn(

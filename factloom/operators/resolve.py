@@ -10,8 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.functions import text as T
+from factloom.session import cut_lineage
 
 
 def unresolved_names(
@@ -97,7 +99,7 @@ def adjacency(resolved: DataFrame) -> DataFrame:
 def reference_edges(items: DataFrame, variables: DataFrame) -> DataFrame:
     """Edges from facts to the state variables of their own domain that they mention."""
     mentions = items.select("id", "domain", F.explode(F.array_distinct("variables")).alias("symbol"))
-    targets = variables.groupBy("domain", "symbol").agg(F.max("id").alias("target"))
+    targets = cut_lineage(variables.groupBy("domain", "symbol").agg(F.max("id").alias("target")))  # a plain side can be split against
     return mentions.join(targets, ["domain", "symbol"]).where("id <> target").select("id", "target", "symbol")
 
 
@@ -129,6 +131,49 @@ def declared_links(links: DataFrame, sources: DataFrame, targets: DataFrame) ->
     return joined.withColumn("accepted", F.col("has_src").isNotNull() & F.col("has_dst").isNotNull()).drop("has_src", "has_dst")
 
 
+#: Bits of an anchor filter, as a power of two: sixteen for each anchor, at most 2 MB.
+MOST_FILTER_BITS = 24
+#: Counted candidates up to which they travel to the texts instead of the texts to them.
+SMALL_ROWS = 200_000
+
+
+def _anchor_filter(wanted: DataFrame, anchors: int) -> Column:
+    """One array of longs, of bounded size, whose bits mark the hashes of the wanted anchors."""
+    bits = min(MOST_FILTER_BITS, max(6, (16 * anchors).bit_length()))
+    low = (1 << bits) - 1
+    hashed = wanted.select(F.expr(f"xxhash64(anchor) & {low}L").alias("h"))
+    masks = hashed.groupBy(F.shiftright("h", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("mask"))
+    every = wanted.sparkSession.range(1 << (bits - 6)).join(masks, "id", "left")
+    words = F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0)).alias("mask")))), lambda w: w["mask"])
+    return cut_lineage(every.agg(F.struct(words.alias("words"), F.lit(low).cast("long").alias("low")).alias("filter"))).scalar()
+
+
+def _candidates(docs: DataFrame, wanted: DataFrame, anchors_of: Column) -> DataFrame:
+    """(doc_key, phrase_id, phrase) of the documents that hold the phrase's anchor.
+
+    Anchors of a text are filtered inside its array, so only those that may be wanted become rows,
+    and no text goes with them.
+    """
+    wanted = cut_lineage(wanted)
+    count = wanted.select("anchor").distinct().count()
+    known = docs.select(F.struct("doc_id").alias("doc_key"), anchors_of.alias("anchors")).withColumn("f", _anchor_filter(wanted, count))
+    near = F.expr(
+        "filter(transform(anchors, a -> struct(a AS anchor, xxhash64(a) & f.low AS h)),"
+        " a -> (shiftrightunsigned(get(f.words, cast(shiftright(a.h, 6) AS int)), cast(a.h & 63 AS int)) & 1L) = 1L)"
+    )
+    met = known.select("doc_key", F.explode(near).alias("a")).select("doc_key", F.col("a.anchor").alias("anchor"))
+    return met.join(wanted, "anchor").select("doc_key", "phrase_id", "phrase").distinct()
+
+
+def _containing(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates whose text contains the phrase; texts are joined back to these only."""
+    candidates = cut_lineage(candidates)
+    rows = candidates.count()
+    texts = docs.select("doc_id", "text", F.struct("doc_id").alias("doc_key"))
+    found = texts.join(F.broadcast(candidates) if rows <= SMALL_ROWS else candidates, "doc_key")
+    return found.where(F.contains("text", "phrase")).select("doc_id", "phrase_id")
+
+
 def contained_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, phrase_id) where the document text contains the phrase as a substring.
 
@@ -140,16 +185,20 @@ def contained_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     words = T.tokens(F.col("phrase"))
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchored = phrases.select("phrase_id", "phrase", longest.alias("anchor")).where("phrase <> ''")
-    by_word = docs.select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("anchor")).join(
-        anchored.where("anchor IS NOT NULL"), "anchor"
-    )
-    short = contained_names(docs, anchored.where("anchor IS NULL").select("phrase_id", "phrase"))
-    return by_word.where(F.contains("text", "phrase")).select("doc_id", "phrase_id").unionByName(short)
+    anchored = cut_lineage(phrases.select("phrase_id", "phrase", longest.alias("anchor")).where("phrase <> ''"))
+    by_word = _candidates(docs, anchored.where("anchor IS NOT NULL"), F.array_distinct(T.tokens(F.col("text"))))
+    short = _name_candidates(docs, anchored.where("anchor IS NULL").select("phrase_id", "phrase"))
+    return _containing(docs, by_word.unionByName(short).distinct())
 
 
-def contained_names(docs: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+def contained_names(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Like :func:`contained_phrases` for short names, anchored by their leading characters."""
+    return _containing(docs, _name_candidates(docs, names)).distinct()
+
+
+def _name_candidates(docs: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+    names = cut_lineage(names)
+    sizes = [r.size for r in names.select(F.least(F.length("phrase"), F.lit(gram)).alias("size")).distinct().collect()]  # at most ``gram``
     chars = F.split("text", "")
 
     def grams(size: int) -> Column:
@@ -158,16 +207,12 @@ def contained_names(docs: DataFrame, names: DataFrame, gram: int = 3) -> DataFra
         )
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), "")))
 
-    matches = []
-    for size in range(1, gram + 1):
+    fields = [*docs.select(F.struct("doc_id").alias("doc_key")).schema.fields, *names.select("phrase_id", "phrase").schema.fields]
+    out = docs.sparkSession.createDataFrame([], StructType(fields))
+    for size in sizes:
         fits = F.length("phrase") == size if size < gram else F.length("phrase") >= size
-        wanted = names.where(fits).withColumn("anchor", F.left("phrase", F.lit(size)))
-        found = docs.select("doc_id", "text", F.explode(grams(size)).alias("anchor")).join(wanted, "anchor")
-        matches.append(found.where(F.contains("text", "phrase")).select("doc_id", "phrase_id"))
-    out = matches[0]
-    for more in matches[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        out = out.unionByName(_candidates(docs, names.where(fits).withColumn("anchor", F.left("phrase", F.lit(size))), grams(size)))
+    return out
 
 
 def cross_language_edges(calls: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -198,7 +243,7 @@ def kernel_edges(calls: DataFrame, kernels: DataFrame) -> DataFrame:
 
 def def_use_edges(definitions: DataFrame, uses: DataFrame, order: str) -> DataFrame:
     """Edges from the last definition of a name to its uses."""
-    last = definitions.groupBy("name").agg(F.max_by("node", order).alias("src"))
+    last = cut_lineage(definitions.groupBy("name").agg(F.max_by("node", order).alias("src")))  # a plain side can be split against
     return uses.select("name", F.col("node").alias("dst")).join(last, ["name"]).where("src <> dst")
 
 

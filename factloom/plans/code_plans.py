@@ -169,3 +169,37 @@ def _(t):
     position = F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")
     nodes = t.lineitem.withColumn("position", position)
     return classify.first_reason(nodes, "l_orderkey", "position", classify.precision_reason(name, text, F.lit(True)))
+
+
+def _services(t):
+    """Modules whose functions hold risks of every kind, decided by the columns of a part."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    body = F.concat(
+        F.lit("import os\nimport threading\nimport numpy as np\nfrom helpers.tools import tool as aid\n\n\ndef plain(x):\n    return os.path.join(x, '"), size,
+        F.lit("')\n\n\ndef walker(xs):\n    for x in xs:\n        np.sum(x)\n        aid(x)\n    return xs\n"),
+        F.when(F.col("p_size") > 25, "\n\nasync def fetch(u):\n    await u\n").otherwise(""),
+        F.when(
+            F.col("p_type") == "SMALL",
+            "\n\ndef pool(xs):\n    import ctypes\n    with ThreadPoolExecutor() as p:\n        ctypes.CDLL('x')\n    return threading.Thread(target=p)\n",
+        ).otherwise(""),
+    )
+    return t.part.select(F.concat(F.lit("pkg/m"), key, F.lit(".py")).alias("path"), body.alias("text"), body.alias("source"))
+
+
+@query("e10_code_risks", f"""
+SELECT {PATH} AS path, 'walker' AS function, 'external_dep' AS category, 2 AS n, 13 AS first_line FROM part
+UNION ALL SELECT {PATH}, 'fetch', 'threading', 2, 18 FROM part WHERE p_size > 25
+UNION ALL SELECT {PATH}, 'pool', unnest(['hardware', 'threading', 'external_dep', 'unsafe_pattern']), unnest([1, 3, 2, 1]),
+  unnest([19, 20, 21, 21]) + CASE WHEN p_size > 25 THEN 4 ELSE 0 END FROM part WHERE p_type = 'SMALL'""")
+def _(t):
+    code = codefacts.CodeFacts(codefacts.read_code(_services(t), keep=["source"]))
+    risks = code.risks().select("path", "function", F.inline("risks").alias("category", "detail", "at"))
+    return risks.groupBy("path", "function", "category").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("at").alias("first_line"))
+
+
+@query("a15_hot_cold_functions", f"""
+SELECT {PATH} AS path, 1 AS hot, 1 + (p_size > 25)::INT + (p_type = 'SMALL')::INT AS cold FROM part""")
+def _(t):
+    code = codefacts.CodeFacts(codefacts.read_code(_services(t), keep=["source"]))
+    counts = extract.hot_cold_counts(code.risks().withColumnRenamed("risks", "hits"), ["path"])
+    return counts.select("path", F.col("hot").cast("int").alias("hot"), F.col("cold").cast("int").alias("cold"))

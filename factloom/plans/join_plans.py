@@ -82,6 +82,40 @@ def _(t):
     return delta.incremental(cached, current, measure).select("key", "n_chars", "reused")
 
 
+# One nation and the indebted customers of a segment have changed, and pending orders are new.
+CHANGED_SQL = """changed AS (SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_acctbal < 0) OR c_nationkey = 7)"""
+
+
+@query("g07_recomputed_dependents", f"""
+WITH {CHANGED_SQL}
+SELECT 'n' || n_nationkey AS key, length('r' || n_regionkey) AS n_chars, n_nationkey <> 7 AS reused FROM nation
+UNION ALL SELECT 'c' || c_custkey, length('n' || c_nationkey || c_mktsegment), c_custkey NOT IN (FROM changed) FROM customer
+UNION ALL SELECT 'o' || o_orderkey, length('c' || o_custkey || o_orderstatus), o_orderstatus <> 'P' AND o_custkey NOT IN (FROM changed) FROM orders""")
+def _(t):
+    def named(letter, column):
+        return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+    nations = t.nation.select(named("n", "n_nationkey").alias("key"), named("r", "n_regionkey").alias("fingerprint"), (F.col("n_nationkey") == 7).alias("edited"))
+    customers = t.customer.select(
+        named("c", "c_custkey").alias("key"), F.concat(named("n", "c_nationkey"), F.col("c_mktsegment")).alias("fingerprint"),
+        ((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") < 0)).alias("edited"),
+    )
+    orders = t.orders.select(
+        named("o", "o_orderkey").alias("key"), F.concat(named("c", "o_custkey"), F.col("o_orderstatus")).alias("fingerprint"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("boolean")).otherwise(F.lit(False)).alias("edited"),
+    )
+    entries = nations.unionByName(customers).unionByName(orders)
+    needs = t.customer.select(named("c", "c_custkey").alias("node"), named("n", "c_nationkey").alias("requires")).unionByName(
+        t.orders.select(named("o", "o_orderkey").alias("node"), named("c", "o_custkey").alias("requires"))
+    )
+
+    def measure(df):
+        return df.select("key", "fingerprint", F.length("fingerprint").alias("n_chars"))
+
+    before = entries.where("edited IS NOT NULL").withColumn("fingerprint", F.when(F.col("edited"), F.concat("fingerprint", F.lit("!"))).otherwise(F.col("fingerprint")))
+    return delta.incremental(measure(before), entries.select("key", "fingerprint"), measure, needs).select("key", "n_chars", "reused")
+
+
 NAMES_CTE = """used AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS name FROM lineitem WHERE l_returnflag = 'N'),
 defined AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS name FROM lineitem WHERE l_returnflag = 'R'),
 imported AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS name FROM lineitem WHERE l_returnflag = 'A'),
