@@ -37,9 +37,13 @@ def _signs(vector: Column, period: int) -> Column:
 
 
 def similar_pairs(
-    vectors: DataFrame, id_col: str, vector: str, cutoff: float, weight: str | None = None
+    vectors: DataFrame, id_col: str, vector: str, cutoff: float, weight: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """All pairs ``id_a < id_b`` with cosine at least ``cutoff``; zero vectors match nothing."""
+    """All pairs ``id_a < id_b`` with cosine at least ``cutoff``; zero vectors match nothing.
+
+    With ``limit`` only pairs leave a block that are among its ``limit`` most similar ones, ties by
+    ids; the most similar pairs of the table are all among these.
+    """
     if not 0.0 < cutoff <= 1.0:
         raise ValueError("cutoff must lie in (0, 1]")
     id_type = vectors.schema[id_col].dataType.simpleString()
@@ -95,6 +99,9 @@ def similar_pairs(
         hid, vid = home_rows["id"].to_numpy(), visit_rows["visit_id"].to_numpy()
         cosine = v @ h.T
         i, j = np.nonzero((cosine >= cutoff - TOLERANCE) & (vid[:, None] < hid[None, :]))
+        if limit is not None and len(i) > limit:
+            best = np.lexsort((hid[j], vid[i], -np.minimum(cosine[i, j], 1.0)))[:limit]
+            i, j = i[best], j[best]
         return pd.DataFrame(
             {
                 "id_a": vid[i], "id_b": hid[j], "similarity": np.minimum(cosine[i, j], 1.0),

@@ -306,7 +306,7 @@ p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.v, b.v
 SELECT id_a, id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.4 ORDER BY s DESC, id_a, id_b LIMIT 50""")
 def _(t):
     vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    pairs = similarity.similar_pairs(vectors, "vec_id", "vector", 0.4)
+    pairs = similarity.similar_pairs(vectors, "vec_id", "vector", 0.4, limit=fixed.SIMILAR_PAIR_LIMIT)
     return (
         pairs.orderBy(F.desc("similarity"), "id_a", "id_b")
         .limit(fixed.SIMILAR_PAIR_LIMIT)
