@@ -7,8 +7,11 @@ away from it, and everything after the match is ordinary column work.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,18 +86,32 @@ def fact_row(**columns: Column) -> list[Column]:
     return [columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in FACT_COLUMNS.items()]
 
 
-def find_all(text: Column, pattern: str, flags: int = re.MULTILINE) -> Column:
-    """All matches as structs of start, end, 1-based line and groups (group 0 first)."""
-    compiled = re.compile(pattern, flags)
+class Rule(NamedTuple):
+    """A pattern with a cue that any text with a match holds, and the fact columns a match gives."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,line:int,groups:array<string>>>")
+    name: str
+    pattern: str
+    cue: str
+    flags: int
+    columns: dict[str, Column]
+
+
+def _found(text: Column, rules: Sequence[Rule]) -> Column:
+    """All matches of all rules as structs of rule, start, end, 1-based line and groups (group 0 first)."""
+    compiled = [(r.name, re.compile(r.pattern, r.flags), re.compile(r.cue)) for r in rules]
+
+    @F.pandas_udf("array<struct<rule:string,start:int,end:int,line:int,groups:array<string>>>")
     def find(texts: pd.Series) -> pd.Series:
         def one(body: str | None) -> list[dict]:
-            found, line, seen = [], 1, 0
-            for m in compiled.finditer(body or ""):
-                line += body.count("\n", seen, m.start())
-                seen = m.start()
-                found.append({"start": m.start(), "end": m.end(), "line": line, "groups": [m.group(0), *m.groups()]})
+            found = []
+            for name, pattern, cue in compiled:
+                if not body or not cue.search(body):
+                    continue
+                line, seen = 1, 0
+                for m in pattern.finditer(body):
+                    line += body.count("\n", seen, m.start())
+                    seen = m.start()
+                    found.append({"rule": name, "start": m.start(), "end": m.end(), "line": line, "groups": [m.group(0), *m.groups()]})
             return found
 
         return texts.map(one)
@@ -102,11 +119,22 @@ def find_all(text: Column, pattern: str, flags: int = re.MULTILINE) -> Column:
     return find(text)
 
 
-def _matches(docs: DataFrame, pattern: str, cue: str, flags: int = re.MULTILINE) -> DataFrame:
-    """One row per match; only texts with the cue reach the helper."""
-    kept = docs.where(F.col("text").rlike(cue))
-    rows = kept.withColumn("_m", F.explode(find_all(F.col("text"), pattern, flags))).drop("text")
-    return rows.withColumns({f: F.col(f"_m.{f}") for f in ("start", "end", "line", "groups")}).drop("_m")
+def _matches(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per match of any rule; a text is read once, and only if it has one of the cues."""
+    cued = functools.reduce(operator.or_, [F.col("text").rlike(cue) for cue in dict.fromkeys(r.cue for r in rules)])
+    rows = docs.where(cued).withColumn("_m", F.explode(_found(F.col("text"), rules))).drop("text")
+    return rows.withColumns({f: F.col(f"_m.{f}") for f in ("rule", "start", "end", "line", "groups")}).drop("_m")
+
+
+def _facts(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Fact rows of all rules over (path, domain, text) documents, in one pass over the texts."""
+    matches = _matches(docs, rules)
+    columns = {"domain": F.col("domain"), "path": F.col("path"), "line": F.col("line"), "position": F.col("start")}
+    for name, kind in FACT_COLUMNS.items():
+        given = [F.when(F.col("rule") == r.name, r.columns[name].cast(kind)) for r in rules if name in r.columns]
+        if given:
+            columns[name] = F.coalesce(*given)
+    return matches.select(fact_row(**columns))
 
 
 def _group(i: int) -> Column:
@@ -124,91 +152,84 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _state_variable_rules() -> list[Rule]:
+    columns = {
+        "kind": F.lit("state_variable"), "symbol": _group(1), "description": _group(2), "type_hint": F.lit("unknown"),
+        "confidence": F.lit(PROSE_CONFIDENCE["state_variable"]),
+    }
+    return [Rule(f"state_{i}", p, cue, re.IGNORECASE, columns) for i, (p, cue) in enumerate(((LET_BE, r"(?i)\blet\s"), (WHERE_IS, r"(?i)\bwhere\s")))]
+
+
+def _boundary_rules() -> list[Rule]:
+    def rule(name: str, pattern: str, expression: Column) -> Rule:
+        columns = {
+            "kind": F.lit("boundary"), "symbol": _group(1), "description": _group(0), "expression": expression,
+            "variables": F.array(_group(1)), "confidence": F.lit(PROSE_CONFIDENCE["boundary"]),
+        }
+        return Rule(name, pattern, r"(?i)\smust\s", re.IGNORECASE, columns)
+
+    between = rule("between", BETWEEN, F.concat(_group(2), F.lit(" <= "), _group(1), F.lit(" <= "), _group(3)))
+    return [between, *[rule(f"bound_{i}", p, F.concat(_group(1), F.lit(f" {op} "), _group(2))) for i, (p, op) in enumerate(BOUNDS)]]
+
+
+def _equation_rules() -> list[Rule]:
+    columns = {
+        "kind": F.when(_group(2) != "", "equation"), "symbol": _group(1), "expression": F.concat(_group(1), F.lit(" = "), _group(2)),
+        "lhs": _group(1), "rhs": _group(2), "variables": _distinct_variables(_group(2), IDENT, _group(1)),
+        "confidence": F.lit(PROSE_CONFIDENCE["equation"]),
+    }
+    return [Rule("equation", EQUATION, "=", 0, columns)]
+
+
 def state_variables(docs: DataFrame) -> DataFrame:
     """``let x be ...`` and ``where x denotes ...`` of (path, domain, text) documents."""
-    frames = []
-    for pattern, cue in ((LET_BE, r"(?i)\blet\s"), (WHERE_IS, r"(?i)\bwhere\s")):
-        frames.append(
-            _matches(docs, pattern, cue, re.IGNORECASE).select(
-                fact_row(
-                    kind=F.lit("state_variable"), domain=F.col("domain"), symbol=_group(1), description=_group(2),
-                    type_hint=F.lit("unknown"), path=F.col("path"), line=F.col("line"), position=F.col("start"),
-                    confidence=F.lit(PROSE_CONFIDENCE["state_variable"]),
-                )
-            )
-        )
-    return _union(frames)
+    return _facts(docs, _state_variable_rules())
 
 
 def boundaries(docs: DataFrame) -> DataFrame:
     """``x must ...`` limits as boundary expressions."""
-
-    def rows(pattern: str, expression: Column) -> DataFrame:
-        return _matches(docs, pattern, r"(?i)\smust\s", re.IGNORECASE).select(
-            fact_row(
-                kind=F.lit("boundary"), domain=F.col("domain"), symbol=_group(1), description=_group(0),
-                expression=expression, variables=F.array(_group(1)), path=F.col("path"), line=F.col("line"),
-                position=F.col("start"), confidence=F.lit(PROSE_CONFIDENCE["boundary"]),
-            )
-        )
-
-    frames = [rows(BETWEEN, F.concat(_group(2), F.lit(" <= "), _group(1), F.lit(" <= "), _group(3)))]
-    frames += [rows(p, F.concat(_group(1), F.lit(f" {op} "), _group(2))) for p, op in BOUNDS]
-    return _union(frames)
+    return _facts(docs, _boundary_rules())
 
 
 def equations(docs: DataFrame) -> DataFrame:
-    """``lhs = rhs``; a decimal point does not end the right side."""
-    rows = _matches(docs, EQUATION, "=", 0).where(_group(2) != "")
-    return rows.select(
-        fact_row(
-            kind=F.lit("equation"), domain=F.col("domain"), symbol=_group(1),
-            expression=F.concat(_group(1), F.lit(" = "), _group(2)), lhs=_group(1), rhs=_group(2),
-            variables=_distinct_variables(_group(2), IDENT, _group(1)), path=F.col("path"), line=F.col("line"),
-            position=F.col("start"), confidence=F.lit(PROSE_CONFIDENCE["equation"]),
-        )
-    )
+    """``lhs = rhs``; a decimal point does not end the right side, and an empty one gives no fact."""
+    return _facts(docs, _equation_rules()).where("kind IS NOT NULL")
 
 
 def prose_facts(docs: DataFrame) -> DataFrame:
-    return _union([state_variables(docs), boundaries(docs), equations(docs)])
+    """Facts of all three kinds, in one pass over the texts."""
+    return _facts(docs, [*_state_variable_rules(), *_boundary_rules(), *_equation_rules()]).where("kind IS NOT NULL")
 
 
 def c_facts(docs: DataFrame) -> DataFrame:
-    """``#define``, ``const`` and ``assert`` of C-like sources."""
+    """``#define``, ``const`` and ``assert`` of C-like sources, in one pass over the texts."""
     value, name = _group(2), _group(1)
     numeric, quoted = value.rlike(C_NUMBER), value.rlike('^".*"$')
     number = F.regexp_replace(value, "[fFlL]+$", "").try_cast("double")
     constant = numeric | quoted
-    frames = []
-    for pattern, cue in ((C_DEFINE, r"#\s*define"), (C_CONST, r"\bconst\s")):
-        frames.append(
-            _matches(docs, pattern, cue).select(
-                fact_row(
-                    kind=F.when(constant, "state_variable").otherwise("equation"), domain=F.col("domain"), symbol=name,
-                    description=F.when(constant, F.concat(F.lit("constant '"), name, F.lit("'"))),
-                    type_hint=F.when(quoted, "string").when(numeric & F.contains(value, F.lit(".")), "real").when(numeric, "integer"),
-                    bounds=F.when(numeric & ~quoted, F.struct(number.alias("lo"), number.alias("hi"))),
-                    expression=F.when(~constant, F.concat(name, F.lit(" = "), value)),
-                    lhs=F.when(~constant, name), rhs=F.when(~constant, value),
-                    variables=F.when(~constant, _distinct_variables(value, C_IDENT, name)),
-                    path=F.col("path"), line=F.col("line"), position=F.col("start"),
-                    confidence=F.when(constant, C_CONFIDENCE).otherwise(C_CONFIDENCE - 0.15),
-                )
-            )
-        )
+    valued = {
+        "kind": F.when(constant, "state_variable").otherwise("equation"), "symbol": name,
+        "description": F.when(constant, F.concat(F.lit("constant '"), name, F.lit("'"))),
+        "type_hint": F.when(quoted, "string").when(numeric & F.contains(value, F.lit(".")), "real").when(numeric, "integer"),
+        "bounds": F.when(numeric & ~quoted, F.struct(number.alias("lo"), number.alias("hi"))),
+        "expression": F.when(~constant, F.concat(name, F.lit(" = "), value)),
+        "lhs": F.when(~constant, name), "rhs": F.when(~constant, value),
+        "variables": F.when(~constant, _distinct_variables(value, C_IDENT, name)),
+        "confidence": F.when(constant, C_CONFIDENCE).otherwise(C_CONFIDENCE - 0.15),
+    }
     variables = F.regexp_extract_all(_group(1), F.lit(C_IDENT), F.lit(0))
-    frames.append(
-        _matches(docs, C_ASSERT, r"\bassert\b").select(
-            fact_row(
-                kind=F.lit("boundary"), domain=F.col("domain"),
-                symbol=F.coalesce(F.get(variables, F.lit(0)), F.concat(F.lit("assert_"), F.col("line").cast("string"))),
-                description=F.concat(F.lit("assert("), _group(1), F.lit(")")), expression=_group(1), variables=variables,
-                path=F.col("path"), line=F.col("line"), position=F.col("start"), confidence=F.lit(C_CONFIDENCE),
-            )
-        )
+    asserted = {
+        "kind": F.lit("boundary"), "symbol": F.coalesce(F.get(variables, F.lit(0)), F.concat(F.lit("assert_"), F.col("line").cast("string"))),
+        "description": F.concat(F.lit("assert("), _group(1), F.lit(")")), "expression": _group(1), "variables": variables,
+        "confidence": F.lit(C_CONFIDENCE),
+    }
+    return _facts(
+        docs,
+        [
+            Rule("define", C_DEFINE, r"#\s*define", re.MULTILINE, valued), Rule("const", C_CONST, r"\bconst\s", re.MULTILINE, valued),
+            Rule("assert", C_ASSERT, r"\bassert\b", re.MULTILINE, asserted),
+        ],
     )
-    return _union(frames)
 
 
 def import_statements(files: DataFrame) -> DataFrame:
@@ -226,13 +247,10 @@ def import_statements(files: DataFrame) -> DataFrame:
 
 def kernel_sites(files: DataFrame) -> DataFrame:
     """Kernel definitions and launch sites as (path, site, name, line); lines count from 0."""
-    frames = [
-        _matches(files.select("path", "text"), pattern, cue).select(
-            "path", F.lit(site).alias("site"), _group(1).alias("name"), (F.col("line") - 1).alias("line"), "start"
-        )
-        for site, pattern, cue in (("definition", KERNEL, "__global__"), ("launch", LAUNCH, "<<<"))
-    ]
-    return _union(frames)
+    sites = [Rule("definition", KERNEL, "__global__", re.MULTILINE, {}), Rule("launch", LAUNCH, "<<<", re.MULTILINE, {})]
+    return _matches(files.select("path", "text"), sites).select(
+        "path", F.col("rule").alias("site"), _group(1).alias("name"), (F.col("line") - 1).alias("line"), "start"
+    )
 
 
 def foreign_bindings(nodes: DataFrame) -> DataFrame:

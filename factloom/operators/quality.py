@@ -46,7 +46,7 @@ def field_violations(fields: DataFrame, rules: DataFrame, required: DataFrame) -
     ``rules`` has (key, value_type, allowed ARRAY<STRING>) and ``required`` has (key); both are
     the schema of a block, so they hold one row per known key.
     """
-    judged = fields.join(F.broadcast(rules.withColumnRenamed("value_type", "want_type")), "key", "left")
+    judged = fields.join(rules.withColumnRenamed("value_type", "want_type"), "key", "left")
     known = F.col("want_type").isNotNull()
     problem = F.array_compact(
         F.array(
@@ -59,12 +59,14 @@ def field_violations(fields: DataFrame, rules: DataFrame, required: DataFrame) -
         )
     )
     bad_fields = judged.select("block", "key", F.explode(problem).alias("violation"))
-    needed = [r["key"] for r in required.collect()]  # the schema's required keys
-    present = fields.groupBy("block").agg(
-        *[F.max(F.when(F.col("key") == k, F.lit(True)).otherwise(F.lit(False))).alias(f"has_{i}") for i, k in enumerate(needed)]
+    needed = required.agg(F.array_sort(F.collect_set("key"))).scalar()  # the schema's required keys
+    wanted = fields.withColumn("_needed", needed)
+    present = wanted.groupBy("block").agg(
+        F.first("_needed").alias("_needed"), F.collect_set(F.when(F.array_contains("_needed", F.col("key")), F.col("key"))).alias("_present")
+    )
+    absent = present.select(
+        "block", F.explode(F.array_except("_needed", "_present")).alias("key"), F.lit("missing required key").alias("violation")
     )
-    missing = F.array_compact(F.array(*[F.when(~F.col(f"has_{i}"), F.lit(k)) for i, k in enumerate(needed)]))
-    absent = present.select("block", F.explode(missing).alias("key"), F.lit("missing required key").alias("violation"))
     return bad_fields.unionByName(absent)
 
 

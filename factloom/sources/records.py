@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,39 +90,54 @@ _ITEM = (
 
 
 def structured_facts(docs: DataFrame) -> DataFrame:
-    """Facts of JSON documents that list variables, boundaries and equations; incomplete entries are skipped."""
+    """Facts of JSON documents that list variables, boundaries and equations; incomplete entries are skipped.
+
+    A document is parsed once, and its three lists become one array of facts.
+    """
     schema = "struct<" + ",".join(f"{k}:{_ITEM}" for k in STRUCTURED_KEYS) + ">"
-    doc = docs.select("path", "domain", F.from_json("text", schema).alias("d"))
-    symbol = F.coalesce("e.symbol", "e.name")
-    confidence = F.coalesce("e.confidence", F.lit(STRUCTURED_CONFIDENCE))
-    both = F.size("e.bounds") == 2
-    variables = F.coalesce("e.variables", F.array().cast("array<string>"))
-
-    def entries(first: str, alias: str) -> DataFrame:
-        return doc.select("path", "domain", F.posexplode(F.coalesce(f"d.{first}", f"d.{alias}")).alias("pos", "e"))
-
-    common = {"domain": F.col("domain"), "path": F.col("path"), "position": F.col("pos"), "confidence": confidence}
-    state = entries("state_variables", "variables").where(symbol.isNotNull()).select(
-        extract.fact_row(
-            kind=F.lit("state_variable"), symbol=symbol, description=F.coalesce("e.description", F.lit("")),
-            type_hint=F.coalesce("e.type_hint", "e.type", F.lit("unknown")), unit=F.col("e.unit"),
-            bounds=F.when(both, F.struct(F.get("e.bounds", F.lit(0)).alias("lo"), F.get("e.bounds", F.lit(1)).alias("hi"))), **common,
-        )
+    doc = docs.select("path", "domain", parsed_once(F.from_json("text", schema)).alias("d"))
+
+    def facts(first: str, alias: str, complete: Callable[[Column], Column], columns: Callable[[Column], dict[str, Column]]) -> Column:
+        def fact(e: Column, place: Column) -> Column:
+            common = {
+                "domain": F.col("domain"), "path": F.col("path"), "position": place,
+                "confidence": F.coalesce(e["confidence"], F.lit(STRUCTURED_CONFIDENCE)),
+            }
+            return F.when(complete(e), F.struct(*extract.fact_row(**columns(e), **common)))
+
+        listed = F.array_compact(F.transform(F.coalesce(f"d.{first}", f"d.{alias}"), fact))
+        return F.coalesce(listed, F.filter(F.array(F.struct(*extract.fact_row())), lambda _: F.lit(False)))
+
+    def variables(e: Column) -> Column:
+        return F.coalesce(e["variables"], F.array().cast("array<string>"))
+
+    def bounds(e: Column) -> Column:
+        both = F.struct(F.get(e["bounds"], F.lit(0)).alias("lo"), F.get(e["bounds"], F.lit(1)).alias("hi"))
+        return F.when(F.size(e["bounds"]) == 2, both)
+
+    state = facts(
+        "state_variables", "variables", lambda e: F.coalesce(e["symbol"], e["name"]).isNotNull(),
+        lambda e: {
+            "kind": F.lit("state_variable"), "symbol": F.coalesce(e["symbol"], e["name"]), "description": F.coalesce(e["description"], F.lit("")),
+            "type_hint": F.coalesce(e["type_hint"], e["type"], F.lit("unknown")), "unit": e["unit"], "bounds": bounds(e),
+        },
     )
-    bound = entries("boundaries", "constraints").where("e.expression IS NOT NULL").select(
-        extract.fact_row(
-            kind=F.lit("boundary"), symbol=F.coalesce("e.symbol", "e.name", F.lit("boundary")),
-            description=F.coalesce("e.description", "e.expression"), expression=F.col("e.expression"), variables=variables, **common,
-        )
+    bound = facts(
+        "boundaries", "constraints", lambda e: e["expression"].isNotNull(),
+        lambda e: {
+            "kind": F.lit("boundary"), "symbol": F.coalesce(e["symbol"], e["name"], F.lit("boundary")),
+            "description": F.coalesce(e["description"], e["expression"]), "expression": e["expression"], "variables": variables(e),
+        },
     )
-    equation = entries("equations", "equations").where("e.lhs IS NOT NULL AND e.rhs IS NOT NULL").select(
-        extract.fact_row(
-            kind=F.lit("equation"), symbol=F.coalesce("e.symbol", "e.lhs"),
-            expression=F.coalesce("e.expression", F.concat("e.lhs", F.lit(" = "), "e.rhs")),
-            lhs=F.col("e.lhs"), rhs=F.col("e.rhs"), variables=variables, **common,
-        )
+    equation = facts(
+        "equations", "equations", lambda e: e["lhs"].isNotNull() & e["rhs"].isNotNull(),
+        lambda e: {
+            "kind": F.lit("equation"), "symbol": F.coalesce(e["symbol"], e["lhs"]),
+            "expression": F.coalesce(e["expression"], F.concat(e["lhs"], F.lit(" = "), e["rhs"])), "lhs": e["lhs"], "rhs": e["rhs"],
+            "variables": variables(e),
+        },
     )
-    return state.unionByName(bound).unionByName(equation)
+    return doc.select(F.inline(F.concat(state, bound, equation)))
 
 
 def parsed_once(value: Column) -> Column:
@@ -233,12 +248,15 @@ def performance_vectors(rows: DataFrame, fields: str, name: str = "vector") -> D
     )
 
 
-def run_metrics(text: Column) -> dict[str, Column]:
-    """Metrics of run output: JSON keys first, ``name = number`` as fallback."""
-    doc = embedded_json(text)
+def run_metrics(runs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the metrics of run output: JSON keys first, ``name = number`` as fallback.
+
+    The JSON of a text is found and parsed once, however many metrics are asked of it.
+    """
+    parsed = runs.select("*", parsed_once(F.struct(embedded_json(F.col(text)).alias("doc"))).alias("_json"))
 
     def from_json(key: str) -> Column:
-        return F.try_variant_get(doc, f"$.{key}", "double")
+        return F.try_variant_get("_json.doc", f"$.{key}", "double")
 
     def from_text(key: str) -> Column:
         found = F.regexp_extract(text, rf"(?i){key}\s*[=:]\s*({T.NUMBER})", 1)
@@ -246,7 +264,7 @@ def run_metrics(text: Column) -> dict[str, Column]:
 
     json_value = {k: from_json(k) for k in METRIC_KEYS}
     json_value["accuracy"] = F.coalesce(from_json("accuracy_error"), from_json("accuracy"))
-    return {k: F.coalesce(json_value[k], from_text(k)) for k in METRIC_KEYS}
+    return parsed.withColumns({k: F.coalesce(json_value[k], from_text(k)) for k in METRIC_KEYS}).drop("_json")
 
 
 _CASES = "struct<passed:boolean,cases:array<struct<name:string,passed:boolean,error:double>>>"
