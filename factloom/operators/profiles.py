@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed
 from factloom.functions import text as T
+from factloom.session import cut_lineage
 
 
 def pattern_count(text: Column, pattern: str) -> Column:
@@ -56,7 +57,8 @@ def anomalies(
     """
     spark = measures.sparkSession
     rule_rows = spark.createDataFrame(list(rules), "category string, metric string, inverted boolean")
-    wanted = measures.where(F.col("metric").isin([m for _, m, _ in rules]))
+    # written once: the baseline and the scores read these narrow rows, not the texts again
+    wanted = cut_lineage(measures.where(F.col("metric").isin([m for _, m, _ in rules])))
     stats = rule_rows.join(baseline(wanted), "metric").where(F.col("stdev") >= fixed.MIN_STDEV)
     z = (F.col("value") - F.col("mean")) / F.col("stdev")
     return (

@@ -198,13 +198,13 @@ def _(t):
 
 
 @query("j08_reference_edges", """
-WITH v AS (SELECT DISTINCT event_type AS domain, 'u' || user_id AS symbol FROM events WHERE value > 50),
+WITH v AS (SELECT event_type AS domain, 'u' || user_id AS symbol FROM events GROUP BY 1, 2 HAVING max(value) > 50),
 m AS (SELECT DISTINCT event_id AS id, event_type AS domain, unnest(['u' || user_id, 'k' || json_extract_string(props, '$.k')]) AS symbol FROM events)
 SELECT id, domain || '::' || symbol AS target, symbol FROM m JOIN v USING (domain, symbol)""")
 def _(t):
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     variables = (
-        t.events.where("value > 50").select(F.col("event_type").alias("domain"), user.alias("symbol")).distinct()
+        t.events.groupBy(F.col("event_type").alias("domain"), user.alias("symbol")).agg(F.max("value").alias("highest")).where("highest > 50")
         .withColumn("id", F.concat_ws("::", "domain", "symbol"))
     )
     items = t.events.select(
@@ -385,16 +385,16 @@ def _(t):
 
 
 DRIFT_CTE = """c AS (SELECT event_type AS p, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1 HAVING event_type <> 'view'),
-b AS (SELECT event_type AS p, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id > 20 GROUP BY 1 HAVING event_type <> 'error'),
+b AS (SELECT event_type AS p, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1 HAVING event_type <> 'error'),
 d AS (SELECT coalesce(c.p, b.p) AS parameter, coalesce(c.v, 0.0) AS cur, coalesce(b.v, 0.0) AS base FROM c FULL JOIN b ON c.p = b.p),
 r AS (SELECT *, abs(cur - base) / CASE WHEN abs(base) > 1e-9 THEN abs(base) ELSE 1.0 END AS drift FROM d)"""
 
 
 def _drift(t):
     half = F.lit("2024-01-16").cast("timestamp")
-    events = t.events.select(F.col("event_type").alias("parameter"), "ts", "user_id", "value")
+    events = t.events.select(F.col("event_type").alias("parameter"), "ts", "value")
     current = events.where((F.col("ts") >= half) & (F.col("parameter") != "view"))
-    past = events.where((F.col("ts") < half) & (F.col("user_id") > 20) & (F.col("parameter") != "error"))
+    past = events.where((F.col("ts") < half) & (F.col("parameter") != "error"))
     mean = F.avg("value").alias("value")
     return compare.parameter_drift(current.groupBy("parameter").agg(mean), past.groupBy("parameter").agg(mean))
 
@@ -469,9 +469,9 @@ def _(t):
 
 @query("j23_external_calls", """
 SELECT l_orderkey AS path, 'f' || l_linenumber AS function, 'a' || l_suppkey || '.run' AS call, 's' || s_nationkey AS module
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'A' AND s_acctbal > 0""")
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0""")
 def _(t):
-    lines = t.lineitem.where("l_returnflag = 'A'")
+    lines = t.lineitem  # suppliers in debt are modules of the house
     alias = F.concat(F.lit("a"), F.col("l_suppkey").cast("string"))
     calls = lines.select(
         F.col("l_orderkey").alias("path"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("function"),
