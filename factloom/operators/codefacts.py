@@ -478,11 +478,11 @@ class CodeFacts:
         return self.nodes().groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("max_depth"))
 
 
-def profile_entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """Entropy, total and number of types from (keys, type, n) counts."""
+def profile_entropy(counts: DataFrame, keys: list[str], n: str = "n", more: Sequence[Column] = ()) -> DataFrame:
+    """Entropy, total and number of types from (keys, type, n) counts; ``more`` adds aggregates."""
     total = F.sum(n)
     entropy = F.log2(total) - F.sum(F.col(n) * F.log2(n)) / total
-    return counts.groupBy(*keys).agg(F.round(entropy, 6).alias("entropy"), total.alias("total_nodes"), F.count(F.lit(1)).alias("unique_types"))
+    return counts.groupBy(*keys).agg(F.round(entropy, 6).alias("entropy"), total.alias("total_nodes"), F.count(F.lit(1)).alias("unique_types"), *more)
 
 
 def file_rollup(functions: DataFrame, cold_by_name: Column, key: str = "path") -> DataFrame:

@@ -153,9 +153,31 @@ def _(t):
     return codefacts.profile_entropy(counts, ["l_suppkey"])
 
 
-@query("a08_code_node_profile")
+# Node kinds of a module with their number, how many more a large and a small part have, and the
+# largest depth without and with the inner loop of a large part.
+KINDS_SQL = f"""kinds(kind, n, large, small, depth, deeper) AS (VALUES
+  ('Add', 1, 0, 0, 4, 4), ('Assert', 1, 0, 0, 1, 1), ('Assign', 2, 1, 1, 1, 4), ('Attribute', 2, 1, 0, 6, 6), ('BinOp', 2, 0, 0, 4, 4),
+  ('Call', 4, 1, 1, 6, 6), ('ClassDef', 1, 0, 0, 1, 1), ('Compare', 1, 1, 0, 2, 4), ('Constant', 4, 1, 0, 4, 5), ('Expr', 2, 0, 0, 4, 4),
+  ('For', 1, 0, 0, 2, 2), ('FunctionDef', 2, 0, 0, 1, 1), ('Gt', 0, 1, 0, 0, 5), ('If', 1, 0, 0, 3, 3), ('Import', 2, 0, 0, 1, 1),
+  ('ImportFrom', 2, 0, 0, 1, 1), ('Load', 15, 3, 1, 8, 8), ('Lt', 1, 0, 0, 3, 3), ('Module', 1, 0, 0, 0, 0), ('Mult', 1, 0, 0, 5, 5),
+  ('Name', 16, 3, 2, 7, 7), ('Pass', 1, 0, 0, 2, 2), ('Return', 2, 0, 0, 2, 2), ('Store', 3, 1, 1, 4, 6), ('While', 0, 1, 0, 0, 3),
+  ('alias', 5, 0, 0, 2, 2), ('arg', 2, 0, 0, 3, 3), ('arguments', 2, 0, 0, 2, 2)),
+counted AS (SELECT {PATH} AS path, kind, n + large * (p_size > 25)::INT + small * (p_type = 'SMALL')::INT AS n,
+  CASE WHEN p_size > 25 THEN deeper ELSE depth END AS max_depth FROM part, kinds WHERE n > 0 OR p_size > 25)"""
+
+
+@query("a08_code_node_profile", f"""
+WITH {KINDS_SQL} SELECT path, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, sum(n)::BIGINT AS total_nodes, count(*) AS unique_types,
+  max(max_depth) AS max_depth FROM counted GROUP BY path""")
+def _(t):
+    counts = _facts(t).node_profile()
+    depths = F.max("max_depth").alias("max_depth")
+    return codefacts.profile_entropy(counts, ["path"], more=[depths])
+
+
+@query("a08_node_frequencies", f"WITH {KINDS_SQL} SELECT path, kind, n::BIGINT AS n, max_depth FROM counted")
 def _(t):
-    return codefacts.profile_entropy(_facts(t).node_profile(), ["path"])
+    return _facts(t).node_profile()
 
 
 @query("a22_precision_reasons", """

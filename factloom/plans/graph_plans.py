@@ -242,7 +242,24 @@ def _(t):
     return words.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.sha2(F.array_join(merged, " "), 256).alias("merged"))
 
 
-@query("x02_score_states")
+@query("x02_score_states", """
+WITH RECURSIVE n AS (SELECT user_id AS key, value / 100 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events),
+m AS (SELECT DISTINCT key, 0::BIGINT AS step, 0.0::DOUBLE AS v, 0.0::DOUBLE AS before, 0.0::DOUBLE AS velocity, 0.0::DOUBLE AS acceleration, 0 AS stall_cycles,
+    false AS anomaly, '' AS signal, 0 AS layer, [0, 0, 0, 0, 0] AS entries, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS totals FROM n
+  UNION ALL SELECT key, step, v, before, velocity, acceleration, stall_cycles, anomaly, signal, layer,
+    list_transform(entries, lambda x, i: x + (i = layer + 1)::INT), list_transform(totals, lambda x, i: x + CASE WHEN i = layer + 1 THEN v ELSE 0.0 END) FROM (
+  SELECT *, CASE signal WHEN 'escalate' THEN least(old_layer + 1, 4) WHEN 'demote' THEN greatest(old_layer - 1, 0)
+    WHEN 'restart' THEN CASE WHEN old_layer = 4 THEN 0 ELSE old_layer END WHEN 'boost_mutation_sigma' THEN 1 ELSE old_layer END AS layer FROM (
+  SELECT *, CASE WHEN anomaly THEN 'boost_mutation_sigma' WHEN v < 0.3 THEN CASE WHEN old_layer >= 4 THEN 'restart' ELSE 'escalate' END
+    WHEN v > 0.9 THEN 'hold' WHEN v < 0.1 THEN 'escalate' WHEN totals[old_layer + 1] / greatest(entries[old_layer + 1], 1) > v THEN 'demote' ELSE 'hold' END AS signal FROM (
+  SELECT *, stall_cycles >= 2 AS anomaly FROM (
+  SELECT *, CASE WHEN step >= 3 AND abs(velocity) < 0.2 AND abs(acceleration) < 0.2 THEN old_stall + 1 ELSE 0 END AS stall_cycles FROM (
+  SELECT *, CASE WHEN step >= 3 THEN velocity - (before - older) ELSE 0.0 END AS acceleration FROM (
+  SELECT n.key, n.step, n.v, m.v AS before, m.before AS older, CASE WHEN n.step >= 2 THEN n.v - m.v ELSE 0.0 END AS velocity,
+    CASE WHEN m.anomaly THEN 0 ELSE m.stall_cycles END AS old_stall, m.layer AS old_layer, m.entries, m.totals
+  FROM m JOIN n ON n.key = m.key AND n.step = m.step + 1)))))))
+SELECT key, step, v AS score, velocity, acceleration, stall_cycles, anomaly, signal,
+  ['conservative_scan', 'exploratory_probe', 'greedy_exploit', 'balanced_adaptive', 'fallback_cascade'][layer + 1] AS state FROM m WHERE step > 0""")
 def _(t):
     scores = t.events.select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("value") / 100).alias("score"))
     return cycles.score_states_batch(scores, ["ts", "event_id"], patience=2, epsilon=0.2)
