@@ -56,6 +56,20 @@ def _(t):
     return registry.contexts(entries)
 
 
+@query("s12_all_entries", "SELECT source AS context, doc_id AS path, lang AS language FROM documents")
+def _(t):
+    from factloom.sources import registry
+
+    return registry.all_entries(t.documents.select(F.col("source").alias("context"), F.col("doc_id").alias("path"), F.col("lang").alias("language")))
+
+
+@query("s12_context_names", "SELECT DISTINCT source AS context FROM documents")
+def _(t):
+    from factloom.sources import registry
+
+    return registry.context_names(t.documents.select(F.col("source").alias("context")))
+
+
 @query("s12_entries_for_context", "SELECT doc_id AS path, lang AS language FROM documents WHERE source = 'src7'")
 def _(t):
     from factloom.sources import registry

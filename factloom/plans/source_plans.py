@@ -4,11 +4,14 @@ The tables hold no compiler logs or JSON reports, so these queries let Spark wri
 from every row of a table and read them back; the twins compute the same facts from the columns.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import diagnostics, profiles
 from factloom.plans.registry import query
+from factloom.session import work_folder
 from factloom.sources import corpus, records, sinks
 
 
@@ -186,9 +189,25 @@ SELECT 'node' AS part, '{"id":"c' || c_custkey || '","node_type":"customer"}' AS
 UNION ALL SELECT 'edge', '{"src":"c' || c_custkey || '","dst":"n' || c_nationkey || '"}' FROM customer""")
 def _(t):
     node, nation = F.concat(F.lit("c"), _s("c_custkey")), F.concat(F.lit("n"), _s("c_nationkey"))
-    nodes = t.customer.select(F.lit("node").alias("part"), F.to_json(F.struct(node.alias("id"), F.lit("customer").alias("node_type"))).alias("json"))
-    edges = t.customer.select(F.lit("edge").alias("part"), F.to_json(F.struct(node.alias("src"), nation.alias("dst"))).alias("json"))
-    return nodes.unionByName(edges)
+    target = f"{work_folder(t.spark)}/graph-{uuid.uuid4().hex}"
+    sinks.write_graph(t.customer.select(node.alias("id"), F.lit("customer").alias("node_type")), t.customer.select(node.alias("src"), nation.alias("dst")), target)
+
+    def lines(part, folder):
+        return t.spark.read.text(f"{target}/{folder}").select(F.lit(part).alias("part"), F.col("value").alias("json"))
+
+    return lines("node", "nodes").unionByName(lines("edge", "edges"))
+
+
+@query("s16_workspace_snapshot", "SELECT lang, 1 AS files, true AS marked FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def _(t):
+    root = f"{work_folder(t.spark)}/workspace-{uuid.uuid4().hex}"
+    # one file for each language, as a workspace of sources would hold them
+    by_lang = t.documents.where("lang IS NOT NULL").select("lang", F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("value"))
+    by_lang.repartition("lang").write.partitionBy("lang").text(root)
+    found = corpus.snapshot(t.spark, root).where(F.col("path").endswith(".txt"))
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")).agg(
+        F.count(F.lit(1)).cast("int").alias("files"), F.bool_and(F.col("fingerprint").rlike("^[1-9][0-9]*:[0-9]+$")).alias("marked")
+    )
 
 
 @query("s14_nested_manifest", """
@@ -198,7 +217,10 @@ def _(t):
     lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).withColumns(
         {"pos": F.struct("l_linenumber", "l_partkey", "l_suppkey"), "name": F.concat(F.lit("f"), _s("l_linenumber"))}
     )
-    manifest = sinks.nested_manifest(lines, "o_orderkey", ["o_orderstatus"], ["name", "l_partkey"], "pos")
+    nested = sinks.nested_manifest(lines, "o_orderkey", ["o_orderstatus"], ["name", "l_partkey"], "pos")
+    target = f"{work_folder(t.spark)}/manifest-{uuid.uuid4().hex}"
+    sinks.write_manifest(nested, target)
+    manifest = t.spark.read.schema(nested.schema).json(target)
     joined = F.transform("functions", lambda f: F.concat_ws(":", f["name"], f["l_partkey"].cast("string")))
     return manifest.select("o_orderkey", "o_orderstatus", F.array_join(joined, " ").alias("functions"))
 

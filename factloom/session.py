@@ -28,13 +28,12 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def work_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of its own; a cluster without a shared
     checkpoint folder is a configuration error, because executors can be lost.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
@@ -43,4 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="factloom-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder of :func:`work_folder`."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
