@@ -38,10 +38,18 @@ GPU_MODULES = ["cuda", "pycuda", "numba", "cupy", "torch", "tensorflow", "jax",
 THREADING_CALLS = ["Thread", "Process", "Pool", "Executor"]
 THREADING_CONTEXTS = ["ThreadPoolExecutor", "ProcessPoolExecutor", "Pool", "Lock", "Semaphore", "Barrier"]
 DYNAMIC_NAMES = ["globals", "locals", "vars", "eval", "exec", "__import__", "getattr"]
+#: Canonical kinds of syntax nodes, and categories of those that have none; other nodes are UNKNOWN.
+CANONICAL_KINDS = {
+    "FunctionDef": "function_declaration", "AsyncFunctionDef": "function_declaration", "ClassDef": "type_declaration",
+    "Import": "import_declaration", "ImportFrom": "import_declaration", "Module": "translation_unit",
+}
+IDENTIFIERS = ["Name", "arg", "alias", "keyword"]
+STATEMENTS = sorted(c.__name__ for c in ast.stmt.__subclasses__())
+EXPRESSIONS = sorted(c.__name__ for c in ast.expr.__subclasses__())
 TYPE_HINTS = {"bool": "boolean", "int": "integer", "float": "real", "str": "string"}
 CODE_CONFIDENCE = {"state_variable": 0.9, "boundary": 0.9, "equation": 0.8}
 
-_NODE = "struct<id:int,parent:int,last:int,depth:int,kind:string,name:string,line:int,col:int,end_line:int,end_col:int,text:string,role:string,code:string>"
+_NODE = "struct<id:int,parent:int,last:int,depth:int,kind:string,name:string,line:int,col:int,end_line:int,end_col:int,start_byte:int,end_byte:int,text:string,role:string,code:string>"
 _NAME = "struct<role:string,name:string>"
 _IMPORT = "struct<module:string,bound:string,original:string,level:int,from_import:boolean,top:boolean,line:int>"
 _CALL = "struct<function:int,node:int,name:string,root:string,leaf:string,line:int>"
@@ -64,8 +72,13 @@ def _children(node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
                 yield field, child
 
 
-def _flatten(tree: ast.AST) -> list[tuple[ast.AST, dict]]:
+def _flatten(tree: ast.AST, text: str) -> list[tuple[ast.AST, dict]]:
     """Preorder nodes with parent, depth and the id of the last descendant; an id is the place in the list."""
+    lines = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", text.encode("utf-8", "surrogatepass")))]
+
+    def byte(line: int | None, col: int | None) -> int | None:
+        return None if line is None or col is None else lines[line - 1] + col
+
     out: list[tuple[ast.AST, dict]] = []
     stack: list[tuple[ast.AST | None, int | None, int, str | None]] = [(tree, None, 0, None)]
     open_ids: list[int] = []
@@ -81,6 +94,8 @@ def _flatten(tree: ast.AST) -> list[tuple[ast.AST, dict]]:
             "name": type(node.value).__name__ if constant else getattr(node, "name", None),
             "line": getattr(node, "lineno", None), "col": getattr(node, "col_offset", None),
             "end_line": getattr(node, "end_lineno", None), "end_col": getattr(node, "end_col_offset", None),
+            "start_byte": byte(getattr(node, "lineno", None), getattr(node, "col_offset", None)),
+            "end_byte": byte(getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None)),
             "text": node.id if isinstance(node, ast.Name) else repr(node.value) if constant else None,
             "role": role, "code": ast.unparse(node) if shown else None,
         }
@@ -154,7 +169,7 @@ def _read_file(path: str, text: str) -> dict:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError) as exc:
         return {"path": path, "error": f"{type(exc).__name__}: {exc}"}
-    flat = _flatten(tree)
+    flat = _flatten(tree, text or "")
     names, imports, calls, dynamic = set(), [], [], False
     enclosing: list[tuple[int, int]] = []
     for node, row in flat:
@@ -290,7 +305,16 @@ class CodeFacts:
         self.code = code
 
     def nodes(self) -> DataFrame:
-        return self.code.select("path", F.inline("nodes"))
+        """Syntax nodes with canonical kind and category; spans in bytes, where a node has a place of its own."""
+        rows = self.code.select("path", F.inline("nodes"))
+        kinds = F.create_map(*[F.lit(x) for pair in CANONICAL_KINDS.items() for x in pair])
+        canonical, kind = F.try_element_at(kinds, F.col("kind")), F.col("kind")
+        category = (
+            F.when(canonical.endswith("_declaration"), "DECLARATION").when(canonical == "translation_unit", "MODULE")
+            .when(kind.isin(STATEMENTS), "STATEMENT").when(kind == "Constant", "LITERAL").when(kind.isin(IDENTIFIERS), "IDENTIFIER")
+            .when(kind.isin(EXPRESSIONS), "EXPRESSION").otherwise("UNKNOWN")
+        )
+        return rows.withColumns({"canonical_kind": canonical, "category": category})
 
     def names(self, role: str) -> DataFrame:
         wanted = F.filter("names", lambda n: n["role"] == role)

@@ -65,6 +65,35 @@ def _(t):
     )
 
 
+SOURCE_SQL = f"""source AS (SELECT p_partkey, {PATH} AS path, {LEAF} AS leaf, replace('from __future__ import annotations|import os|import numpy as np|from pkg.', '|', chr(10)) || {LEAF}
+  || replace(' import helper, spare|LIMIT = ', '|', chr(10)) || p_size || chr(10) || 'LABEL = ' || chr(39) || p_brand || chr(39) || replace('|# note ', '|', chr(10)) || p_partkey
+  || replace('|assert LIMIT < 51|class Item:|    pass|||def area(x: Item):|    return x * LIMIT + ', '|', chr(10)) || p_partkey || replace('|||def walk_', '|', chr(10)) || {LEAF}
+  || replace('(xs):|    for x in xs:|        if x:|            xs.append(helper(x))', '|', chr(10))
+  || CASE WHEN p_size > 25 THEN replace('|        while x > 9:|            x = xs.pop()', '|', chr(10)) ELSE '' END
+  || replace('|    np.sum(xs)|    return walk_', '|', chr(10)) || {LEAF} || '(undefined_name)' AS text FROM part)"""
+
+
+@query("e11_node_spans", f"""
+WITH {SOURCE_SQL}
+SELECT path, 'area' AS name, 'DECLARATION' AS category, 'function_declaration' AS canonical_kind, strpos(text, 'def area') - 1 AS start_byte,
+  strpos(text, chr(10) || chr(10) || chr(10) || 'def walk_') - 1 AS end_byte FROM source
+UNION ALL SELECT path, 'walk_' || leaf, 'DECLARATION', 'function_declaration', strpos(text, 'def walk_') - 1, length(text) FROM source
+UNION ALL SELECT path, 'Item', 'DECLARATION', 'type_declaration', strpos(text, 'class Item') - 1, strpos(text, 'pass') + 3 FROM source""")
+def _(t):
+    declared = _facts(t).nodes().where("category = 'DECLARATION' AND canonical_kind <> 'import_declaration'")
+    spans = [F.col(c).cast("long").alias(c) for c in ("start_byte", "end_byte")]
+    return declared.select("path", "name", "category", "canonical_kind", *spans)
+
+
+@query("e11_node_categories", f"""
+SELECT {PATH} AS path, 'DECLARATION' AS category, 7 AS n FROM part UNION ALL SELECT {PATH}, 'MODULE', 1 FROM part
+UNION ALL SELECT {PATH}, 'LITERAL', 4 + (p_size > 25)::INT FROM part
+UNION ALL SELECT {PATH}, 'STATEMENT', 10 + 2 * (p_size > 25)::INT + (p_type = 'SMALL')::INT FROM part""")
+def _(t):
+    counts = _facts(t).nodes().where("category IN ('DECLARATION', 'MODULE', 'LITERAL', 'STATEMENT')").groupBy("path", "category")
+    return counts.agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query("e12_names", f"""
 SELECT {PATH} AS path, 'defined' AS role, 'Item LABEL LIMIT area' || CASE WHEN p_type < 'SMALL' OR p_type <> 'SMALL' THEN ' walk_' || {LEAF} ELSE ' walk_' || {LEAF} || ' x' END AS names FROM part
 UNION ALL SELECT {PATH}, 'imported', 'annotations helper np os spare' FROM part
