@@ -83,7 +83,27 @@ def _(t):
     return ranked.select("p_brand", "p_partkey", (F.col("rn") - 1).alias("rank_order"))
 
 
-@query("w10_chosen_spans")
+# Offsets of matches: what lies before a match is split pieces and earlier matches. A shout is a whole word.
+SPAN_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, '{category}' AS category, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)::BIGINT
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s, length(m[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM documents)) WHERE {kept}"""
+    for category, pattern, kept in (
+        ("email", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+", "true"), ("long_number", "[0-9]{6,}", "true"),
+        ("shout", r"[\p{L}\p{N}_]+", "regexp_full_match(m[i], '[A-Z]{4,}')"),
+    )
+)
+
+
+@query("w10_chosen_spans", f"""
+WITH RECURSIVE hits AS ({SPAN_SQL}),
+o AS (SELECT doc_id, s, s + n AS e, row_number() OVER (PARTITION BY doc_id ORDER BY category, s) AS k FROM hits),
+c AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT)[] AS taken FROM o
+  UNION ALL SELECT c.doc_id, o.k, CASE WHEN len(list_filter(taken, lambda r: NOT (o.e < r.s OR o.s > r.e))) > 0 THEN taken ELSE list_append(taken, {{'s': o.s, 'e': o.e}}) END
+  FROM c JOIN o ON o.doc_id = c.doc_id AND o.k = c.k + 1),
+best AS (SELECT doc_id, max(k) AS n_hits, max(len(taken)) AS n_chosen FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_chosen, 0)::BIGINT AS n_chosen, coalesce(n_hits, 0)::BIGINT AS n_hits FROM documents LEFT JOIN best USING (doc_id)""")
 def _(t):
     from factloom.operators import extract
 
