@@ -189,11 +189,11 @@ def test_dominance(spark):
     assert {r.id for r in ranking.select_best(pick, ["x", "y"], 2, "id").collect()} == {"a", "b"}
 
 
-def test_large_groups_are_peeled(spark):
+def test_layers_of_many_cells_equal_those_of_one(spark):
     df = spark.range(60).select("id", (F.col("id") * 7 % 13).cast("double").alias("x"), (F.col("id") * 5 % 11).cast("double").alias("y"))
     one = {r.id: r.front for r in ranking.front_layers(df, ["x", "y"]).collect()}
-    peeled = {r.id: r.front for r in ranking.front_layers(df, ["x", "y"], small_group=5).collect()}
-    assert one == peeled
+    split = {r.id: r.front for r in ranking.front_layers(df, ["x", "y"], cell_rows=5).collect()}
+    assert one == split
 
 
 def test_ledger(spark):
