@@ -325,4 +325,4 @@ def _(t):
     as_json = F.concat(F.lit('log {"wall_time": '), value, F.lit(', "energy": '), user, F.lit(', "accuracy_error": 0.25}'))
     as_text = F.concat(F.lit("Wall_Time = "), value, F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("\nenergy: "), user)))
     text = F.when(F.col("event_type") == "click", as_json).otherwise(as_text)
-    return records.run_metrics(t.events.select("event_id", text.alias("text"))).drop("text")
+    return records.with_run_metrics(t.events.select("event_id", text.alias("text"))).drop("text")

@@ -248,15 +248,12 @@ def performance_vectors(rows: DataFrame, fields: str, name: str = "vector") -> D
     )
 
 
-def run_metrics(runs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the metrics of run output: JSON keys first, ``name = number`` as fallback.
-
-    The JSON of a text is found and parsed once, however many metrics are asked of it.
-    """
-    parsed = runs.select("*", parsed_once(F.struct(embedded_json(F.col(text)).alias("doc"))).alias("_json"))
+def run_metrics(text: Column, doc: Column | None = None) -> dict[str, Column]:
+    """Metrics of run output: JSON keys first, ``name = number`` as fallback; ``doc`` is the text's JSON if known."""
+    doc = embedded_json(text) if doc is None else doc
 
     def from_json(key: str) -> Column:
-        return F.try_variant_get("_json.doc", f"$.{key}", "double")
+        return F.try_variant_get(doc, f"$.{key}", "double")
 
     def from_text(key: str) -> Column:
         found = F.regexp_extract(text, rf"(?i){key}\s*[=:]\s*({T.NUMBER})", 1)
@@ -264,7 +261,13 @@ def run_metrics(runs: DataFrame, text: str = "text") -> DataFrame:
 
     json_value = {k: from_json(k) for k in METRIC_KEYS}
     json_value["accuracy"] = F.coalesce(from_json("accuracy_error"), from_json("accuracy"))
-    return parsed.withColumns({k: F.coalesce(json_value[k], from_text(k)) for k in METRIC_KEYS}).drop("_json")
+    return {k: F.coalesce(json_value[k], from_text(k)) for k in METRIC_KEYS}
+
+
+def with_run_metrics(runs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the metrics of run output; a text's JSON is found and parsed once, however many metrics are asked of it."""
+    parsed = runs.select("*", parsed_once(F.struct(embedded_json(F.col(text)).alias("doc"))).alias("_json"))
+    return parsed.withColumns(run_metrics(F.col(text), F.col("_json.doc"))).drop("_json")
 
 
 _CASES = "struct<passed:boolean,cases:array<struct<name:string,passed:boolean,error:double>>>"
