@@ -81,7 +81,11 @@ def test_degenerate_tables(spark):
 def test_far_entries(spark):
     rows = [(0, [1e30, 0.0]), (1, [-1e30, 1.0]), (2, [3.0, 2.0]), (3, [5.0, -1.0])]
     got = whiten(table(spark, rows)).collect()
-    assert len(got) == 4 * len({r.component for r in got}) and all(r.deviation is None for r in got)
+    assert len(got) == 4 * len({r.component for r in got})
+    x = [[max(-(1 << 53), min(1 << 53, math.floor(64 * c))) + 1_000_000 for c in v] for _, v in rows]
+    exact = [sum((4 * c - sum(y[d] for y in x)) ** 2 for d, c in enumerate(v)) for v in x]
+    assert all(r.deviation == (exact[r.vec_id] if exact[r.vec_id] < 1 << 63 else None) for r in got)
+    assert {r.vec_id for r in got if r.deviation is None} == {0, 1}
 
 
 @pytest.mark.parametrize("bits", [1, 7, 17, 40])
