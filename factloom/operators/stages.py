@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom.operators import codefacts, extract
+from factloom.operators.pages import text_pages
 from factloom.sources import records
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -44,7 +47,9 @@ def with_fallback(
 ) -> DataFrame:
     """Run a user function per text; on an error use the fallback and keep the error text."""
     kept = [c for c in docs.columns if c != text]
-    schema = docs.select(*kept).schema
+    added = StructType.fromDDL("items array<string>, used_fallback boolean, error string")
+    schema = StructType([*docs.select(*kept).schema.fields, *added.fields])
+    types = [f.type for f in to_arrow_schema(added)]
 
     def one(body: str) -> tuple[list[str], bool, str | None]:
         try:
@@ -52,15 +57,13 @@ def with_fallback(
         except Exception as exc:  # the row carries the error, the job goes on
             return fallback(body), True, f"{type(exc).__name__}: {exc}"
 
-    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for page in pages:
-            results = [one(body) for body in page[text]]
-            out = page[kept].copy()
-            out["items"], out["used_fallback"], out["error"] = zip(*results, strict=True) if results else ([], [], [])
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in text_pages(batches, text):
+            results = zip(*[one(body.as_py()) for body in page.column(text)], strict=True)
+            found = [pa.array(column, of) for column, of in zip(results, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[page.column(c) for c in kept], *found], names=[*kept, *added.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*kept, text).mapInPandas(run, f"{fields}, items array<string>, used_fallback boolean, error string")
+    return docs.select(*kept, text).mapInArrow(run, schema)
 
 
 def run_stages(
