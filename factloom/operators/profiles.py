@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from array import array
+from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom.functions import fixed
 from factloom.functions import text as T
+from factloom.operators.pages import text_pages
 from factloom.session import cut_lineage
 
 
@@ -112,23 +117,33 @@ def token_events(
 ) -> DataFrame:
     """Array column ``events`` of (start, end, category), ordered by start, then category order.
 
-    Spark returns matches without offsets, so this one step runs in Arrow batches.
+    Spark returns matches without offsets, so this one step runs in Arrow batches: pages of bounded text, whose
+    events are kept as flat columns.
     """
     compiled = [(name, re.compile(p, re.MULTILINE)) for name, p in patterns.items()]
-
-    @F.pandas_udf("array<struct<start:int,end:int,category:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        def one(body: str | None) -> list[dict]:
-            hits = [
-                (m.start(), rank, m.end(), name)
-                for rank, (name, pattern) in enumerate(compiled)
-                for m in pattern.finditer(body or "")
-            ]
-            return [{"start": s, "end": e, "category": c} for s, _, e, c in sorted(hits)]
-
-        return texts.map(one)
-
-    return docs.withColumn("events", find(F.col(text))).drop(text)
+    labels = pa.array([name for name, _ in compiled], pa.string())
+    kept = [c for c in docs.columns if c not in (text, "events")]
+    event = StructType.fromDDL("events array<struct<start:int,end:int,category:string>>")
+    schema = StructType([*docs.select(*kept).schema.fields, *event.fields])
+    of_event = to_arrow_schema(event).field("events").type
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in text_pages(batches, text):
+            starts, ends, ranks, offsets = array("i"), array("i"), array("i"), array("i", [0])
+            for body in page.column(text):
+                hits = [(m.start(), rank, m.end()) for rank, (_, pattern) in enumerate(compiled) for m in pattern.finditer(body.as_py() or "")]
+                for start, rank, end in sorted(hits):
+                    starts.append(start)
+                    ends.append(end)
+                    ranks.append(rank)
+                offsets.append(len(starts))
+            places = pa.array(np.array(ranks, np.int32))
+            columns = [pa.array(np.array(starts, np.int32)), pa.array(np.array(ends, np.int32)), labels.take(places)]
+            rows = pa.StructArray.from_arrays(columns, fields=list(of_event.value_type))
+            found = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), rows).cast(of_event)
+            yield pa.RecordBatch.from_arrays([*[page.column(c) for c in kept], found], names=[*kept, "events"])
+
+    return docs.select(*kept, text).mapInArrow(find, schema)
 
 
 def ngram_counts(docs: DataFrame, items: str, keys: Sequence[str] = (), window: int = fixed.NGRAM_WINDOW) -> DataFrame:
