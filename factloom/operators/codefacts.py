@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from factloom.functions import scores
 from factloom.operators.extract import RISKS, fact_row, pattern_hits
+from factloom.operators.pages import text_pages
 from factloom.operators.resolve import is_external
 
 # Operations counted as hot, branch nodes, loop nodes, modules and calls that keep a
@@ -52,12 +53,15 @@ CODE_CONFIDENCE = {"state_variable": 0.9, "boundary": 0.9, "equation": 0.8}
 _NODE = "struct<id:int,parent:int,last:int,depth:int,kind:string,name:string,line:int,col:int,end_line:int,end_col:int,start_byte:int,end_byte:int,text:string,role:string,code:string>"
 _NAME = "struct<role:string,name:string>"
 _IMPORT = "struct<module:string,bound:string,original:string,level:int,from_import:boolean,top:boolean,line:int>"
-_CALL = "struct<function:int,node:int,name:string,root:string,leaf:string,line:int>"
+_CALL = "struct<function:int,owner:string,node:int,name:string,root:string,leaf:string,line:int>"
 SCHEMA = (
     f"path string, error string, line_count int, dynamic boolean, nodes array<{_NODE}>, names array<{_NAME}>, "
     f"imports array<{_IMPORT}>, calls array<{_CALL}>"
 )
-FILES_PER_BATCH = 256
+#: Arrays of a file's row.
+PARTS = ("nodes", "names", "imports", "calls")
+#: Bytes of source in a page; its nodes take some hundred times as much.
+SOURCE_BYTES = 1 << 18
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -66,10 +70,14 @@ _SHOWN = {("Assert", "test"), ("Return", "value")}
 
 
 def _children(node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
-    for field, value in ast.iter_fields(node):
-        for child in value if isinstance(value, list) else [value]:
-            if isinstance(child, ast.AST):
-                yield field, child
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, ast.AST):
+            yield field, value
+        elif isinstance(value, list):
+            for child in value:
+                if isinstance(child, ast.AST):
+                    yield field, child
 
 
 def _flatten(tree: ast.AST, text: str) -> list[tuple[ast.AST, dict]]:
@@ -183,7 +191,7 @@ def _read_file(path: str, text: str) -> dict:
         if isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
             dotted = _dotted(node.func)
             for function, _last in enclosing:  # a nested call counts for every enclosing function
-                calls.append({"function": function, "node": row["id"], "name": ".".join(dotted), "root": dotted[0], "leaf": dotted[-1], "line": node.lineno})
+                calls.append({"function": function, "owner": flat[function][1]["name"], "node": row["id"], "name": ".".join(dotted), "root": dotted[0], "leaf": dotted[-1], "line": node.lineno})
         dynamic |= isinstance(node, ast.Name) and node.id in DYNAMIC_NAMES
         dynamic |= isinstance(node, ast.Attribute) and (node.attr == "import_module" or _dotted(node) == ["sys", "modules"])
     return {
@@ -192,23 +200,28 @@ def _read_file(path: str, text: str) -> dict:
     }
 
 
-def read_code(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def read_code(files: DataFrame, keep: Sequence[str] = (), parts: Sequence[str] = PARTS) -> DataFrame:
     """One row per (path, text) file with its nodes, names, imports and calls as arrays.
 
-    Files that do not parse carry the error. ``keep`` names columns of ``files`` that go along.
+    Files that do not parse carry the error. ``keep`` names columns of ``files`` that go along, and
+    ``parts`` the arrays that are wanted: nodes are many times the size of a file.
+    Parsing a file costs far more than moving it, and a table of many small files may come in a few
+    splits, so the files are dealt over all tasks first.
     """
+    session = files.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    dealt = files.select("path", "text", *keep).repartition(tasks, F.xxhash64("path", "text"))
     kept = files.select(*keep).schema
-    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *kept.fields])
+    unwanted = set(PARTS) - set(parts)
+    schema = StructType([*[f for f in StructType.fromDDL(SCHEMA).fields if f.name not in unwanted], *kept.fields])
     arrow_schema = to_arrow_schema(schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, FILES_PER_BATCH):
-                rows = batch.slice(start, FILES_PER_BATCH).to_pylist()
-                read = [_read_file(r["path"], r["text"]) | {k: r[k] for k in keep} for r in rows]
-                yield pa.RecordBatch.from_pylist(read, schema=arrow_schema)
+        for page in text_pages(batches, "text", SOURCE_BYTES):
+            read = [_read_file(r["path"], r["text"]) | {k: r[k] for k in keep} for r in page.to_pylist()]
+            yield pa.RecordBatch.from_pylist(read, schema=arrow_schema)
 
-    return files.select("path", "text", *keep).mapInArrow(parse, schema)
+    return dealt.mapInArrow(parse, schema)
 
 
 def _node(place: Column) -> Column:
@@ -365,11 +378,11 @@ class CodeFacts:
         )
 
     def calls(self) -> DataFrame:
-        """Calls with the name of each enclosing function (a node's id is its place in ``nodes``)."""
+        """Calls with the name of each enclosing function."""
         named = F.transform(
             "calls",
             lambda c: F.struct(
-                F.get("nodes", c["function"])["name"].alias("function"), c["name"].alias("call"), c["root"].alias("root"),
+                c["owner"].alias("function"), c["name"].alias("call"), c["root"].alias("root"),
                 c["leaf"].alias("leaf"), c["line"].alias("line"),
             ),
         )

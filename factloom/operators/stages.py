@@ -18,7 +18,7 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 def python_extractor(docs: DataFrame) -> DataFrame:
-    return codefacts.CodeFacts(codefacts.read_code(docs, ["domain"])).facts(F.col("domain"))
+    return codefacts.CodeFacts(codefacts.read_code(docs, ["domain"], parts=["nodes"])).facts(F.col("domain"))
 
 
 def json_extractor(docs: DataFrame) -> DataFrame:
