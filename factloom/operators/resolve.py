@@ -148,30 +148,34 @@ def _anchor_filter(wanted: DataFrame, anchors: int) -> Column:
     return cut_lineage(every.agg(F.struct(words.alias("words"), F.lit(low).cast("long").alias("low")).alias("filter"))).scalar()
 
 
-def _candidates(docs: DataFrame, wanted: DataFrame, anchors_of: Column) -> DataFrame:
-    """(doc_key, phrase_id, phrase) of the documents that hold the phrase's anchor.
+def _candidates(docs: DataFrame, wanted: DataFrame, arrays: Sequence[Column], on: Sequence[str] = ()) -> DataFrame:
+    """(doc_key, phrase_id, phrase) of the documents that hold the phrase's anchor and agree with it in ``on``.
 
-    Anchors of a text are filtered inside its array, so only those that may be wanted become rows,
+    Anchors of a text are filtered inside its arrays, so only those that may be wanted become rows,
     and no text goes with them.
     """
     wanted = cut_lineage(wanted)
     count = wanted.select("anchor").distinct().count()
-    known = docs.select(F.struct("doc_id").alias("doc_key"), anchors_of.alias("anchors")).withColumn("f", _anchor_filter(wanted, count))
-    near = F.expr(
-        "filter(transform(anchors, a -> struct(a AS anchor, xxhash64(a) & f.low AS h)),"
-        " a -> (shiftrightunsigned(get(f.words, cast(shiftright(a.h, 6) AS int)), cast(a.h & 63 AS int)) & 1L) = 1L)"
-    )
-    met = known.select("doc_key", F.explode(near).alias("a")).select("doc_key", F.col("a.anchor").alias("anchor"))
-    return met.join(wanted, "anchor").select("doc_key", "phrase_id", "phrase").distinct()
+    anchors = [column.alias(f"_anchors{i}") for i, column in enumerate(arrays)]
+    known = docs.select(F.struct("doc_id", *on).alias("doc_key"), *on, *anchors).withColumn("f", _anchor_filter(wanted, count))
+    near = [
+        F.expr(
+            f"filter(transform(_anchors{i}, a -> struct(a AS anchor, xxhash64(a) & f.low AS h)),"
+            " a -> (shiftrightunsigned(get(f.words, cast(shiftright(a.h, 6) AS int)), cast(a.h & 63 AS int)) & 1L) = 1L)"
+        )
+        for i in range(len(anchors))
+    ]
+    met = known.select("doc_key", *on, F.explode(F.concat(*near)).alias("a")).select("doc_key", *on, F.col("a.anchor").alias("anchor"))
+    return met.join(wanted, [*on, "anchor"]).select("doc_key", "phrase_id", "phrase").distinct()
 
 
-def _containing(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def _containing(docs: DataFrame, candidates: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """The candidates whose text contains the phrase; texts are joined back to these only."""
     candidates = cut_lineage(candidates)
     rows = candidates.count()
-    texts = docs.select("doc_id", "text", F.struct("doc_id").alias("doc_key"))
+    texts = docs.select("doc_id", *on, "text", F.struct("doc_id", *on).alias("doc_key"))
     found = texts.join(F.broadcast(candidates) if rows <= SMALL_ROWS else candidates, "doc_key")
-    return found.where(F.contains("text", "phrase")).select("doc_id", "phrase_id")
+    return found.where(F.contains("text", "phrase")).select("doc_id", *on, "phrase_id")
 
 
 def contained_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -186,33 +190,57 @@ def contained_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     anchored = cut_lineage(phrases.select("phrase_id", "phrase", longest.alias("anchor")).where("phrase <> ''"))
-    by_word = _candidates(docs, anchored.where("anchor IS NOT NULL"), F.array_distinct(T.tokens(F.col("text"))))
-    short = _name_candidates(docs, anchored.where("anchor IS NULL").select("phrase_id", "phrase"))
+    by_word = _candidates(docs, anchored.where("anchor IS NOT NULL"), [F.array_distinct(T.tokens(F.col("text")))])
+    short, _ = _name_candidates(docs, anchored.where("anchor IS NULL").select("phrase_id", "phrase"))
     return _containing(docs, by_word.unionByName(short).distinct())
 
 
-def contained_names(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Like :func:`contained_phrases` for short names, anchored by their leading characters."""
-    return _containing(docs, _name_candidates(docs, names)).distinct()
+def contained_names(docs: DataFrame, names: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Like :func:`contained_phrases` for short names, anchored by their leading characters.
+
+    Both tables have the columns ``on``, in which a document and a name must agree.
+    """
+    candidates, whole = _name_candidates(docs, names, on)
+    found = candidates.select("doc_key.*", "phrase_id") if whole else _containing(docs, candidates, on)
+    return found.distinct()
+
 
+#: Most lengths of anchors of names.
+ANCHOR_LENGTHS = 16
+LONGEST_ANCHOR = 256
+#: Characters up to which all substrings of a text are cheaper to take from the text itself.
+SHORT_TEXT = 500
 
-def _name_candidates(docs: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+
+def _name_candidates(docs: DataFrame, names: DataFrame, on: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """Candidates of names, and whether an anchor is the whole name everywhere, so that they need no test.
+
+    An anchor is the whole name while names have few lengths: names that only begin alike share no
+    anchor, and a document meets no more names than it holds. Else it has the longest of some
+    lengths that fits.
+    """
     names = cut_lineage(names)
-    sizes = [r.size for r in names.select(F.least(F.length("phrase"), F.lit(gram)).alias("size")).distinct().collect()]  # at most ``gram``
-    chars = F.split("text", "")
+    length = F.least(F.length("phrase"), F.lit(LONGEST_ANCHOR))
+    lengths = sorted(r.size for r in names.select(length.alias("size")).distinct().collect())  # at most LONGEST_ANCHOR
+    step = max(1.0, len(lengths) / ANCHOR_LENGTHS)
+    sizes = [lengths[int(i * step)] for i in range(min(len(lengths), ANCHOR_LENGTHS))]
+    if not sizes:
+        fields = [*docs.select(F.struct("doc_id", *on).alias("doc_key")).schema.fields, *names.select("phrase_id", "phrase").schema.fields]
+        return docs.sparkSession.createDataFrame([], StructType(fields)), True
+    size_of = F.coalesce(F.length("text"), F.lit(0))
+    # a substring is looked for from the front, so long texts are cut into characters first
+    docs = docs.withColumn("_chars", F.when(size_of > SHORT_TEXT, F.split("text", "")))
 
     def grams(size: int) -> Column:
-        starts = F.when(F.size(chars) >= size, F.sequence(F.lit(1), F.size(chars) - (size - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), "")))
-
-    fields = [*docs.select(F.struct("doc_id").alias("doc_key")).schema.fields, *names.select("phrase_id", "phrase").schema.fields]
-    out = docs.sparkSession.createDataFrame([], StructType(fields))
-    for size in sizes:
-        fits = F.length("phrase") == size if size < gram else F.length("phrase") >= size
-        out = out.unionByName(_candidates(docs, names.where(fits).withColumn("anchor", F.left("phrase", F.lit(size))), grams(size)))
-    return out
+        starts = F.when(size_of >= size, F.sequence(F.lit(1), size_of - (size - 1))).otherwise(F.array().cast("array<int>"))
+        sliced = F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, size), ""))
+        plain = F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(size)))
+        return F.array_distinct(F.when(size_of > SHORT_TEXT, sliced).otherwise(plain))
+
+    fitting = F.array_max(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length("phrase")))
+    anchored = names.withColumn("anchor", F.left("phrase", fitting))
+    whole = len(sizes) == len(lengths) and lengths[-1] < LONGEST_ANCHOR
+    return _candidates(docs, anchored, [grams(size) for size in sizes], on), whole
 
 
 def cross_language_edges(calls: DataFrame, bindings: DataFrame) -> DataFrame:
