@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed
 from factloom.functions import text as T
+from factloom.operators.resolve import contained_names
+from factloom.session import cut_lineage
 
 # Language hints in names, first hit wins; tokens that only name a language.
 NAME_HINTS = [
@@ -93,13 +95,19 @@ def name_tokens(name: Column) -> Column:
 
 
 def located_sources(targets: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Files of a target's project whose path contains one of the target's name tokens."""
-    wanted = targets.withColumn("_tokens", name_tokens(F.col("name")))
-    return (
-        wanted.join(files, list(keys))
-        .where(F.exists("_tokens", lambda t: F.contains(F.lower("path"), t)))
-        .drop("_tokens")
-    )
+    """Files of a target's project whose path contains one of the target's name tokens.
+
+    Names and paths are matched once per project, by equality of what a path holds with the tokens;
+    only the pairs found meet the rows that have them.
+    """
+    keys = list(keys)
+    named = targets.select(*keys, "name").distinct()
+    tokens = named.select(*keys, F.col("name").alias("phrase_id"), F.explode(name_tokens(F.col("name"))).alias("phrase"))
+    paths = files.select(*keys, F.col("path").alias("doc_id"), F.lower("path").alias("text")).distinct()
+    found = contained_names(paths, tokens, keys).withColumnsRenamed({"doc_id": "path", "phrase_id": "name"})
+    pairs = cut_lineage(found)
+    columns = [*keys, *[c for df in (targets, files) for c in df.columns if c not in keys]]
+    return targets.join(pairs, [*keys, "name"]).join(files, [*keys, "path"]).select(*columns)
 
 
 def is_cold_by_name(path: Column) -> Column:

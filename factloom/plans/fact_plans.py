@@ -28,9 +28,9 @@ fl AS (SELECT DISTINCT p_brand || '/' || p_type AS project, 'src/' || replace(p_
 SELECT DISTINCT project, name, path FROM tk JOIN fl USING (project) WHERE contains(path, tok)""")
 def _(t):
     project = F.concat_ws("/", "p_brand", "p_type").alias("project")
-    targets = t.part.where("p_size > 25").select(project, F.col("p_name").alias("label"), F.concat(F.lit("py-"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"))
+    targets = t.part.where("p_size > 25").select(project, F.col("p_name").alias("label"), F.concat(F.lit("py-"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name")).distinct()
     path = F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit(".py"))
-    files = t.part.where("p_size <= 25").select(project, path.alias("path"))
+    files = t.part.where("p_size <= 25").select(project, path.alias("path")).distinct()
     return classify.located_sources(targets, files, ["project"]).select("project", F.col("label").alias("name"), "path").distinct()
 
 
