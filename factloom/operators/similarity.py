@@ -9,7 +9,7 @@ into blocks of bounded size, and only pairs that pass the cutoff leave a task.
 from __future__ import annotations
 
 import math
-
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 from factloom.session import cut_lineage
 
 TOLERANCE = 1e-12
-BLOCK_ROWS = 2048
+#: Rows of a block; a row travels once to each block it meets, so larger blocks move less. Products are taken in
+#: strips of fewer rows, which bounds a task's memory.
+BLOCK_ROWS = 8192
+STRIP_ROWS = 512
+#: Vectors compared with each other to learn how similar the best pairs are at least.
+NEIGHBOURS = 2048
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -36,18 +41,59 @@ def _signs(vector: Column, period: int) -> Column:
     return F.aggregate(signed, F.lit(0.0), lambda s, x: s + x)
 
 
+def _block_pairs(h: np.ndarray, v: np.ndarray, hid: np.ndarray, vid: np.ndarray, cutoff: float, limit: int | None):
+    """Places (in v, in h) and cosines of the pairs with a smaller id in v; the ``limit`` best ones, ties by ids."""
+    rows, columns, cosines = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+
+    def best(i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if limit is None or len(i) <= limit:
+            return i, j, cosine
+        kept = np.lexsort((hid[j], vid[i], -cosine))[:limit]
+        return i[kept], j[kept], cosine[kept]
+
+    for start in range(0, len(v), STRIP_ROWS):
+        cosine = v[start : start + STRIP_ROWS] @ h.T
+        i, j = np.nonzero((cosine >= cutoff - TOLERANCE) & (vid[start : start + STRIP_ROWS, None] < hid[None, :]))
+        found = best(i + start, j, np.minimum(cosine[i, j], 1.0))
+        for whole, part in zip((rows, columns, cosines), found, strict=True):
+            whole.append(part)
+    return best(*[np.concatenate(parts) for parts in (rows, columns, cosines)])
+
+
+def _reached(unit: DataFrame, angles: list[Column], cutoff: float, limit: int) -> float:
+    """A cosine that the ``limit`` best pairs of the table reach, at least ``cutoff``.
+
+    Vectors with near angles to the pivots are compared with each other only; their best pairs bound the best
+    pairs of the table from below. Every vector goes into one run, so this grows with the rows.
+    """
+    def compare(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            for start in range(0, len(page), NEIGHBOURS):
+                rows = page.iloc[start : start + NEIGHBOURS]
+                v, ids = np.vstack(rows["v"].to_numpy()), rows["id"].to_numpy()
+                _, _, cosine = _block_pairs(v, v, ids, ids, cutoff, limit)
+                yield pd.DataFrame({"similarity": cosine})
+
+    placed = unit.select("id", "v", *[a.alias(f"_a{i}") for i, a in enumerate(angles)])
+    order = [f"_a{i}" for i in range(len(angles))]
+    near = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "v").mapInPandas(compare, "similarity double")
+    best = [r.similarity for r in near.orderBy(F.desc("similarity")).limit(limit).collect()]  # ``limit`` numbers
+    # products of other blocks may differ in the last places
+    return max(cutoff, best[-1] - 1e-9) if len(best) == limit else cutoff
+
+
 def similar_pairs(
     vectors: DataFrame, id_col: str, vector: str, cutoff: float, weight: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """All pairs ``id_a < id_b`` with cosine at least ``cutoff``; zero vectors match nothing.
 
     With ``limit`` only pairs leave a block that are among its ``limit`` most similar ones, ties by
-    ids; the most similar pairs of the table are all among these.
+    ids, and the cutoff is first raised to what that many pairs reach; the most similar pairs of the
+    table are all among these.
     """
     if not 0.0 < cutoff <= 1.0:
         raise ValueError("cutoff must lie in (0, 1]")
     id_type = vectors.schema[id_col].dataType.simpleString()
-    width = max(math.acos(cutoff), 0.01) + 1e-6
     norm = F.sqrt(_dot(F.col("v"), F.col("v")))
     unit = (
         vectors.select(
@@ -59,9 +105,17 @@ def similar_pairs(
         .drop("norm")
     )
 
-    def angle(period: int) -> Column:
+    def pivot(period: int) -> Column:
         cosine = _signs(F.col("v"), period) / F.sqrt(F.size("v"))
-        return F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / width)
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+    if limit is not None:
+        unit = cut_lineage(unit)  # read several times, and a norm is taken for every entry
+        cutoff = _reached(unit, [F.floor(pivot(period) * 100) for period in (0, 1, 2, 4)], cutoff, limit)
+    width = max(math.acos(cutoff), 0.01) + 1e-6
+
+    def angle(period: int) -> Column:
+        return F.floor(pivot(period) / width)
 
     steps = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
     home = unit.withColumns({"cx": angle(0), "cy": angle(1)})
@@ -97,14 +151,10 @@ def similar_pairs(
             return pd.DataFrame(columns=["id_a", "id_b", "similarity", "weight_a", "weight_b"])
         h, v = np.vstack(home_rows["v"].to_numpy()), np.vstack(visit_rows["visit_v"].to_numpy())
         hid, vid = home_rows["id"].to_numpy(), visit_rows["visit_id"].to_numpy()
-        cosine = v @ h.T
-        i, j = np.nonzero((cosine >= cutoff - TOLERANCE) & (vid[:, None] < hid[None, :]))
-        if limit is not None and len(i) > limit:
-            best = np.lexsort((hid[j], vid[i], -np.minimum(cosine[i, j], 1.0)))[:limit]
-            i, j = i[best], j[best]
+        i, j, cosine = _block_pairs(h, v, hid, vid, cutoff, limit)
         return pd.DataFrame(
             {
-                "id_a": vid[i], "id_b": hid[j], "similarity": np.minimum(cosine[i, j], 1.0),
+                "id_a": vid[i], "id_b": hid[j], "similarity": cosine,
                 "weight_a": visit_rows["visit_w"].to_numpy()[i], "weight_b": home_rows["w"].to_numpy()[j],
             }
         )
