@@ -8,14 +8,15 @@ that :class:`CodeFacts` exposes.
 from __future__ import annotations
 
 import ast
+import functools
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from factloom.functions import scores
 from factloom.operators.extract import RISKS, fact_row, pattern_hits
@@ -60,60 +61,100 @@ SCHEMA = (
 )
 #: Arrays of a file's row.
 PARTS = ("nodes", "names", "imports", "calls")
+#: Fields of their elements.
+FIELDS = {
+    part: tuple(field.split(":")[0] for field in element[len("struct<") : -1].split(","))
+    for part, element in zip(PARTS, (_NODE, _NAME, _IMPORT, _CALL), strict=True)
+}
 #: Bytes of source in a page; its nodes take some hundred times as much.
 SOURCE_BYTES = 1 << 18
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Nodes that contribute names.
+_NAMING = frozenset({*_FUNCTIONS, ast.ClassDef, ast.Assign, ast.Import, ast.ImportFrom, ast.arg, ast.Name, ast.Constant})
+_IMPORTING = frozenset({ast.Import, ast.ImportFrom})
+#: Fields that hold text or numbers in every kind of node.
+_PLAIN = {"id", "attr", "arg", "asname", "module", "level", "kind", "type_comment", "is_async", "simple", "conversion"}
 
 
 #: Expressions whose source is kept, by the kind of their parent and their place in it.
 _SHOWN = {("Assert", "test"), ("Return", "value")}
 
 
-def _children(node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
-    for field in node._fields:
-        value = getattr(node, field, None)
-        if isinstance(value, ast.AST):
-            yield field, value
-        elif isinstance(value, list):
-            for child in value:
-                if isinstance(child, ast.AST):
-                    yield field, child
-
-
-def _flatten(tree: ast.AST, text: str) -> list[tuple[ast.AST, dict]]:
-    """Preorder nodes with parent, depth and the id of the last descendant; an id is the place in the list."""
-    lines = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", text.encode("utf-8", "surrogatepass")))]
+@functools.cache
+def _inner_fields(kind: type) -> tuple[str, ...]:
+    """Fields that may hold nodes, the last one first."""
+    return tuple(field for field in reversed(kind._fields) if field not in _PLAIN)
 
-    def byte(line: int | None, col: int | None) -> int | None:
-        return None if line is None or col is None else lines[line - 1] + col
 
-    out: list[tuple[ast.AST, dict]] = []
-    stack: list[tuple[ast.AST | None, int | None, int, str | None]] = [(tree, None, 0, None)]
-    open_ids: list[int] = []
+def _flatten(tree: ast.AST) -> list[tuple[ast.AST, int | None, int, str | None]]:
+    """Nodes in preorder with parent, depth and role; an id is the place in the list."""
+    out: list[tuple[ast.AST, int | None, int, str | None]] = []
+    stack: list[tuple[ast.AST, int | None, int, str | None]] = [(tree, None, 0, None)]
     while stack:
-        node, parent, depth, role = stack.pop()
-        if node is None:  # a subtree is complete
-            out[open_ids.pop()][1]["last"] = len(out) - 1
-            continue
-        constant = isinstance(node, ast.Constant)
-        shown = parent is not None and (out[parent][1]["kind"], role) in _SHOWN
-        row = {
-            "id": len(out), "parent": parent, "last": len(out), "depth": depth, "kind": type(node).__name__,
-            "name": type(node.value).__name__ if constant else getattr(node, "name", None),
-            "line": getattr(node, "lineno", None), "col": getattr(node, "col_offset", None),
-            "end_line": getattr(node, "end_lineno", None), "end_col": getattr(node, "end_col_offset", None),
-            "start_byte": byte(getattr(node, "lineno", None), getattr(node, "col_offset", None)),
-            "end_byte": byte(getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None)),
-            "text": node.id if isinstance(node, ast.Name) else repr(node.value) if constant else None,
-            "role": role, "code": ast.unparse(node) if shown else None,
-        }
-        open_ids.append(row["id"])
-        out.append((node, row))
-        stack.append((None, None, 0, None))
-        stack.extend((child, row["id"], depth + 1, field) for field, child in reversed(list(_children(node))))
+        entry = stack.pop()
+        at, node, below = len(out), entry[0], entry[2] + 1
+        out.append(entry)
+        for field in _inner_fields(type(node)):
+            value = getattr(node, field, None)
+            if type(value) is list:
+                stack.extend([(child, at, below, field) for child in reversed(value) if isinstance(child, ast.AST)])
+            elif isinstance(value, ast.AST):
+                stack.append((value, at, below, field))
     return out
 
 
+def _last(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> list[int]:
+    """Id of each node's last descendant, or its own."""
+    last = list(range(len(flat)))
+    for at in range(len(flat) - 1, 0, -1):
+        parent = flat[at][1]
+        if last[at] > last[parent]:
+            last[parent] = last[at]
+    return last
+
+
+def _bytes(lines: list[int], line: list[int | None], col: list[int | None]) -> list[int | None]:
+    return [None if n is None or c is None else lines[n - 1] + c for n, c in zip(line, col, strict=True)]
+
+
+def _code(node: ast.AST, parent: int | None, role: str | None, nodes: list[ast.AST]) -> str | None:
+    return ast.unparse(node) if parent is not None and (type(nodes[parent]).__name__, role) in _SHOWN else None
+
+
+def _node_columns(
+    flat: list[tuple[ast.AST, int | None, int, str | None]], last: list[int], text: str, fields: Sequence[str]
+) -> dict[str, list]:
+    """The wanted fields of a file's nodes, one list each."""
+    nodes = [entry[0] for entry in flat]
+
+    @functools.cache
+    def place(attribute: str) -> list[int | None]:
+        return [getattr(node, attribute, None) for node in nodes]
+
+    @functools.cache
+    def line_starts() -> list[int]:
+        return [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", text.encode("utf-8", "surrogatepass")))]
+
+    made = {
+        "id": lambda: list(range(len(nodes))),
+        "parent": lambda: [entry[1] for entry in flat],
+        "last": lambda: last,
+        "depth": lambda: [entry[2] for entry in flat],
+        "kind": lambda: [type(node).__name__ for node in nodes],
+        "name": lambda: [type(node.value).__name__ if type(node) is ast.Constant else getattr(node, "name", None) for node in nodes],
+        "line": lambda: place("lineno"),
+        "col": lambda: place("col_offset"),
+        "end_line": lambda: place("end_lineno"),
+        "end_col": lambda: place("end_col_offset"),
+        "start_byte": lambda: _bytes(line_starts(), place("lineno"), place("col_offset")),
+        "end_byte": lambda: _bytes(line_starts(), place("end_lineno"), place("end_col_offset")),
+        "text": lambda: [node.id if type(node) is ast.Name else repr(node.value) if type(node) is ast.Constant else None for node in nodes],
+        "role": lambda: [entry[3] for entry in flat],
+        "code": lambda: [_code(node, parent, role, nodes) for node, parent, _, role in flat],
+    }
+    return {field: made[field]() for field in fields}
+
+
 def _dotted(node: ast.AST) -> list[str]:
     parts: list[str] = []
     while isinstance(node, ast.Attribute):
@@ -172,54 +213,112 @@ def _imports(node: ast.AST, top: bool) -> Iterator[dict]:
                    "from_import": is_from, "top": top, "line": node.lineno}
 
 
-def _read_file(path: str, text: str) -> dict:
-    try:
-        tree = ast.parse(text or "")
-    except (SyntaxError, ValueError, RecursionError) as exc:
-        return {"path": path, "error": f"{type(exc).__name__}: {exc}"}
-    flat = _flatten(tree, text or "")
-    names, imports, calls, dynamic = set(), [], [], False
-    enclosing: list[tuple[int, int]] = []
-    for node, row in flat:
-        top = row["depth"] == 1
-        while enclosing and row["id"] > enclosing[-1][1]:
+def _names_of(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> dict[str, list]:
+    names: set[tuple[str, str]] = set()
+    for node, _, depth, _ in flat:
+        if type(node) in _NAMING:
+            names.update(_names(node, depth == 1))
+    ordered = sorted(names)
+    return {"role": [role for role, _ in ordered], "name": [name for _, name in ordered]}
+
+
+def _imports_of(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> dict[str, list]:
+    rows = [row for node, _, depth, _ in flat if type(node) in _IMPORTING for row in _imports(node, depth == 1)]
+    return {field: [row[field] for row in rows] for field in FIELDS["imports"]}
+
+
+def _calls_of(flat: list[tuple[ast.AST, int | None, int, str | None]], last: list[int]) -> dict[str, list]:
+    """Calls by name; a nested call counts for every enclosing function."""
+    calls, enclosing = [], []
+    for at, (node, _, _, _) in enumerate(flat):
+        while enclosing and at > last[enclosing[-1]]:
             enclosing.pop()
-        if isinstance(node, _FUNCTIONS):
-            enclosing.append((row["id"], row["last"]))
-        names.update(_names(node, top))
-        imports.extend(_imports(node, top))
-        if isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
+        kind = type(node)
+        if kind in _FUNCTIONS:
+            enclosing.append(at)
+        elif kind is ast.Call and enclosing and isinstance(node.func, (ast.Name, ast.Attribute)):
             dotted = _dotted(node.func)
-            for function, _last in enclosing:  # a nested call counts for every enclosing function
-                calls.append({"function": function, "owner": flat[function][1]["name"], "node": row["id"], "name": ".".join(dotted), "root": dotted[0], "leaf": dotted[-1], "line": node.lineno})
-        dynamic |= isinstance(node, ast.Name) and node.id in DYNAMIC_NAMES
-        dynamic |= isinstance(node, ast.Attribute) and (node.attr == "import_module" or _dotted(node) == ["sys", "modules"])
-    return {
-        "path": path, "line_count": len(text.splitlines()), "dynamic": dynamic, "nodes": [r for _, r in flat],
-        "names": [{"role": r, "name": n} for r, n in sorted(names)], "imports": imports, "calls": calls,
-    }
+            row = {"node": at, "name": ".".join(dotted), "root": dotted[0], "leaf": dotted[-1], "line": node.lineno}
+            calls += [row | {"function": function, "owner": flat[function][0].name} for function in enclosing]
+    return {field: [call[field] for call in calls] for field in FIELDS["calls"]}
 
 
-def read_code(files: DataFrame, keep: Sequence[str] = (), parts: Sequence[str] = PARTS) -> DataFrame:
+def _is_dynamic(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> bool:
+    for node, _, _, _ in flat:
+        kind = type(node)
+        if kind is ast.Name:
+            if node.id in DYNAMIC_NAMES:
+                return True
+        elif kind is ast.Attribute and (node.attr == "import_module" or _dotted(node) == ["sys", "modules"]):
+            return True
+    return False
+
+
+def _read_file(text: str | None, wanted: Mapping[str, Sequence[str]]) -> dict:
+    """Error, or number of lines, dynamic lookups and the wanted parts, each as one list per field."""
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError) as exc:
+        return {"error": f"{type(exc).__name__}: {exc}"}
+    flat = _flatten(tree)
+    last = _last(flat)
+    made = {
+        "nodes": lambda: _node_columns(flat, last, text or "", wanted["nodes"]),
+        "names": lambda: _names_of(flat), "imports": lambda: _imports_of(flat), "calls": lambda: _calls_of(flat, last),
+    }
+    return {"line_count": len(text.splitlines()), "dynamic": _is_dynamic(flat)} | {part: made[part]() for part in wanted}
+
+
+def _lists(files: list[dict], part: str, kind: pa.ListType) -> pa.Array:
+    """Array column of a part; null where a file did not parse."""
+    columns: dict[str, list] = {field.name: [] for field in kind.value_type}
+    ends, size = [0], 0
+    for file in files:
+        for name, values in columns.items():
+            values += file[part][name] if part in file else ()
+        size = len(next(iter(columns.values())))
+        ends.append(size)
+    fields = list(kind.value_type)
+    values = pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in fields], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind, mask=pa.array([part not in f for f in files]))
+
+
+def read_code(
+    files: DataFrame, keep: Sequence[str] = (), parts: Sequence[str] = PARTS, node_fields: Sequence[str] = FIELDS["nodes"]
+) -> DataFrame:
     """One row per (path, text) file with its nodes, names, imports and calls as arrays.
 
     Files that do not parse carry the error. ``keep`` names columns of ``files`` that go along, and
-    ``parts`` the arrays that are wanted: nodes are many times the size of a file.
-    Parsing a file costs far more than moving it, and a table of many small files may come in a few
-    splits, so the files are dealt over all tasks first.
+    ``parts`` the arrays that are wanted: nodes are many times the size of a file, so ``node_fields``
+    names what is wanted of them. Python builds columns, as a row for each node costs more than
+    the parser. Parsing a file costs far more than moving it, and a table of many small files may
+    come in a few splits, so the files are dealt over all tasks first.
     """
     session = files.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     dealt = files.select("path", "text", *keep).repartition(tasks, F.xxhash64("path", "text"))
-    kept = files.select(*keep).schema
-    unwanted = set(PARTS) - set(parts)
-    schema = StructType([*[f for f in StructType.fromDDL(SCHEMA).fields if f.name not in unwanted], *kept.fields])
+    wanted = {part: [f for f in FIELDS[part] if part != "nodes" or f in node_fields] for part in PARTS if part in parts}
+
+    def narrowed(field: StructField) -> StructField:
+        chosen = [f for f in field.dataType.elementType if f.name in wanted[field.name]]
+        return StructField(field.name, ArrayType(StructType(chosen)))
+
+    whole = [f for f in StructType.fromDDL(SCHEMA) if f.name not in PARTS or f.name in wanted]
+    schema = StructType([*(narrowed(f) if f.name in wanted else f for f in whole), *files.select(*keep).schema])
     arrow_schema = to_arrow_schema(schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in text_pages(batches, "text", SOURCE_BYTES):
-            read = [_read_file(r["path"], r["text"]) | {k: r[k] for k in keep} for r in page.to_pylist()]
-            yield pa.RecordBatch.from_pylist(read, schema=arrow_schema)
+            read = [_read_file(text, wanted) for text in page.column("text").to_pylist()]
+            columns = []
+            for field in arrow_schema:
+                if field.name in wanted:
+                    columns.append(_lists(read, field.name, field.type))
+                elif field.name in ("error", "line_count", "dynamic"):
+                    columns.append(pa.array([file.get(field.name) for file in read], field.type))
+                else:
+                    columns.append(page.column(field.name).cast(field.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
     return dealt.mapInArrow(parse, schema)
 
