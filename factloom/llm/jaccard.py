@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import discard, stored, text_of
@@ -20,7 +20,9 @@ RUN_BYTES = 1_000_000
 #: A block of the product has at most about so many documents and n-grams a side.
 BLOCK_DOCS = 4096
 BLOCK_GRAMS = 2_000_000
-#: Times that documents without enough shared grams are dropped.
+#: Part of a document's grams that two linked prefixes share, first of short ones and then of longer ones.
+SHORT, LONG = 40, 4
+#: Times that documents without enough shared grams in short prefixes are dropped.
 PASSES = 2
 #: Documents of a column that is added pair by pair.
 FEW = 32
@@ -136,9 +138,9 @@ def unpacked_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield start, run
 
 
-def shared_floor(n: Column | int):
+def shared_floor(n: Column | int, part: int):
     """Least number of prefix grams that two linked documents share, for the smaller one's size."""
-    return max(1, n // 40) if isinstance(n, int) else F.greatest(F.lit(1), F.floor(n / 40))
+    return max(1, n // part) if isinstance(n, int) else F.greatest(F.lit(1), F.floor(n / part))
 
 
 def required(n: int, percent: int) -> int:
@@ -154,9 +156,9 @@ def list_array(parts: list[np.ndarray]) -> pa.ListArray:
 def gram_profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, key1, key2, prefix) per row.
 
-    The keys name the set of grams. The prefix holds its lowest hashes: of two linked sets x and y,
-    at most |x| - percent * |x| / 100 grams of x are missing in y, so with so many and k more, the
-    prefixes of both hold their k lowest common grams.
+    The keys name the set of grams. The prefix holds its lowest hashes in order: of two linked sets
+    x and y, at most |x| - percent * |x| / 100 grams of x are missing in y, so with so many and k
+    more, the prefixes of both hold their k lowest common grams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,7 @@ def gram_profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     pa.array([int(mixed(s * m + m).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
                     for m in (_GOLD, _PRIME)
                 ]
-                prefix = [s[: n - required(n, percent) + shared_floor(n)] for s, n in zip(sets, sizes, strict=True)]
+                prefix = [s[: n - required(n, percent) + shared_floor(n, LONG)] for s, n in zip(sets, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[at : at + len(texts)], pa.array(sizes, pa.int64()), *keys, list_array(prefix)],
                     names=["doc_id", "n_shingles", "key1", "key2", "prefix"],
@@ -183,30 +185,45 @@ def gram_profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def candidate_blocks(profiles: DataFrame, percent: int) -> DataFrame:
     """(leader, doc_id): blocks of different gram sets, such that linked ones meet in a block.
 
-    Linked sets share a gram of their prefixes, and a block is led by the smallest document of such
-    a gram. Before that, documents go that share fewer grams of their prefix with anything than any
-    link needs: nearly all, also those that only have a common passage.
+    Linked sets share grams of their prefixes, and a block is led by the smallest document of such
+    a gram. Before that, documents go that share fewer grams of a short prefix with anything than any
+    link needs: nearly all. What is left, mostly for a common passage, is asked for its long prefix,
+    of which a link shares far more than a passage does. A document also leaves the blocks that hold
+    the fewest of its grams: if two linked ones share k, each may give up less than half of k.
     """
-    firsts = profiles.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    held = profiles.where("n_shingles > 0")
+    firsts = held.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     firsts = stored(firsts.where("doc_id IS NOT NULL").select("doc_id", "n_shingles"), "gram-sets")
-    grams = profiles.where("n_shingles > 0").select("doc_id", F.explode("prefix").alias("gram"))
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    short = (F.col("n_shingles") - least + shared_floor(F.col("n_shingles"), SHORT)).cast("int")
+    grams = held.select("doc_id", F.explode(F.slice("prefix", F.lit(1), short)).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     shared = stored(shared, "shared-grams")
     rows = stored(grams.join(shared, "gram"), "shared-rows")
-    floor = shared_floor(F.ceil(F.col("n_shingles") * percent / 100))
+    floor = shared_floor(least, SHORT)
     alive = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(firsts, "doc_id").where(F.col("n") >= floor)
     # Copies made grams look shared; among different sets fewer are, and each pass drops documents that gave grams to others.
     for _ in range(PASSES):
         alive = stored(alive.select("doc_id"), "near-sets")
         rows = stored(rows.select("gram", "doc_id").join(alive, "doc_id").distinct(), "near-rows")
-        led = rows.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        led = stored(led.select("gram", "leader"), "leaders")
-        near, rows = rows, stored(rows.join(led, "gram"), "led-rows")
+        common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        common = stored(common.select("gram"), "common-grams")
+        near, rows = rows, stored(rows.join(common, "gram"), "common-rows")
         discard(near)
         alive = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(firsts, "doc_id").where(F.col("n") >= floor)
-        rows = rows.select("gram", "doc_id", "leader")
-    alive = stored(alive.select("doc_id"), "near-sets")
-    return rows.join(alive, "doc_id").select("leader", "doc_id").distinct()
+    # A doc_id of several sets is judged by the smallest, and by the grams of all.
+    alive = stored(alive.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles")), "near-sets")
+    rows = stored(held.join(alive.select("doc_id"), "doc_id").select("doc_id", F.explode("prefix").alias("gram")), "long-rows")
+    led = rows.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
+    led = stored(led.select("gram", "leader"), "leaders")
+    shares = rows.join(led, "gram").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    shares = stored(shares, "shares")
+    discard(rows)
+    needed = shared_floor(least, LONG)
+    by_doc = Window.partitionBy("doc_id")
+    fewest = by_doc.orderBy("n", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = shares.withColumns({"all": F.sum("n").over(by_doc), "given": F.sum("n").over(fewest)}).join(alive, "doc_id")
+    return placed.where((F.col("all") >= needed) & (F.col("given") > F.floor((needed - 1) / 2))).select("leader", "doc_id")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
