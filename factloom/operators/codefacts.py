@@ -10,7 +10,8 @@ from __future__ import annotations
 import ast
 import functools
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from factloom.functions import scores
-from factloom.operators.extract import RISKS, fact_row, pattern_hits
+from factloom.operators.extract import RISK_CUES, RISKS, fact_row, pattern_hits
 from factloom.operators.pages import text_pages
 from factloom.operators.resolve import is_external
 
@@ -40,6 +41,7 @@ GPU_MODULES = ["cuda", "pycuda", "numba", "cupy", "torch", "tensorflow", "jax",
 THREADING_CALLS = ["Thread", "Process", "Pool", "Executor"]
 THREADING_CONTEXTS = ["ThreadPoolExecutor", "ProcessPoolExecutor", "Pool", "Lock", "Semaphore", "Barrier"]
 DYNAMIC_NAMES = ["globals", "locals", "vars", "eval", "exec", "__import__", "getattr"]
+_DYNAMIC_WORDS = [*DYNAMIC_NAMES, "import_module", "modules"]
 #: Canonical kinds of syntax nodes, and categories of those that have none; other nodes are UNKNOWN.
 CANONICAL_KINDS = {
     "FunctionDef": "function_declaration", "AsyncFunctionDef": "function_declaration", "ClassDef": "type_declaration",
@@ -68,21 +70,30 @@ FIELDS = {
 }
 #: Bytes of source in a page; its nodes take some hundred times as much.
 SOURCE_BYTES = 1 << 18
+#: Fields of nodes that :meth:`CodeFacts.facts` reads.
+FACT_FIELDS = ("id", "parent", "last", "depth", "kind", "name", "line", "text", "role", "code")
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 #: Nodes that contribute names.
 _NAMING = frozenset({*_FUNCTIONS, ast.ClassDef, ast.Assign, ast.Import, ast.ImportFrom, ast.arg, ast.Name, ast.Constant})
 _IMPORTING = frozenset({ast.Import, ast.ImportFrom})
+_CALLING = frozenset({*_FUNCTIONS, ast.Call})
+_KINDS = [c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, ast.AST)]
+#: Nodes with a name or the type of a constant for one, and nodes with a place of their own.
+_NAMED = frozenset([ast.Constant, *(c for c in _KINDS if "name" in c._fields)])
+_PLACED = frozenset(c for c in _KINDS if c._attributes)
 #: Fields that hold text or numbers in every kind of node.
 _PLAIN = {"id", "attr", "arg", "asname", "module", "level", "kind", "type_comment", "is_async", "simple", "conversion"}
-
-
+_WORD = re.compile(r"[A-Za-z_]\w*")
+_LINE_END = re.compile(rb"\r\n|\r|\n")
 #: Expressions whose source is kept, by the kind of their parent and their place in it.
-_SHOWN = {("Assert", "test"), ("Return", "value")}
+_SHOWN = {(ast.Assert, "test"), (ast.Return, "value")}
 
 
 @functools.cache
 def _inner_fields(kind: type) -> tuple[str, ...]:
     """Fields that may hold nodes, the last one first."""
+    if kind in (ast.Constant, ast.alias):
+        return ()
     return tuple(field for field in reversed(kind._fields) if field not in _PLAIN)
 
 
@@ -90,69 +101,102 @@ def _flatten(tree: ast.AST) -> list[tuple[ast.AST, int | None, int, str | None]]
     """Nodes in preorder with parent, depth and role; an id is the place in the list."""
     out: list[tuple[ast.AST, int | None, int, str | None]] = []
     stack: list[tuple[ast.AST, int | None, int, str | None]] = [(tree, None, 0, None)]
+    pop, push, add, at = stack.pop, stack.append, out.append, -1
     while stack:
-        entry = stack.pop()
-        at, node, below = len(out), entry[0], entry[2] + 1
-        out.append(entry)
-        for field in _inner_fields(type(node)):
+        entry = pop()
+        add(entry)
+        at += 1
+        node = entry[0]
+        kind = type(node)
+        if kind is ast.Name:  # its only node is its context
+            add((node.ctx, at, entry[2] + 1, "ctx"))
+            at += 1
+            continue
+        for field in _inner_fields(kind):
             value = getattr(node, field, None)
+            if not value:
+                continue
             if type(value) is list:
-                stack.extend([(child, at, below, field) for child in reversed(value) if isinstance(child, ast.AST)])
+                below = entry[2] + 1
+                for child in reversed(value):
+                    if isinstance(child, ast.AST):
+                        push((child, at, below, field))
             elif isinstance(value, ast.AST):
-                stack.append((value, at, below, field))
+                push((value, at, entry[2] + 1, field))
     return out
 
 
-def _last(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> list[int]:
-    """Id of each node's last descendant, or its own."""
-    last = list(range(len(flat)))
-    for at in range(len(flat) - 1, 0, -1):
-        parent = flat[at][1]
-        if last[at] > last[parent]:
-            last[parent] = last[at]
-    return last
-
-
-def _bytes(lines: list[int], line: list[int | None], col: list[int | None]) -> list[int | None]:
-    return [None if n is None or c is None else lines[n - 1] + c for n, c in zip(line, col, strict=True)]
-
-
-def _code(node: ast.AST, parent: int | None, role: str | None, nodes: list[ast.AST]) -> str | None:
-    return ast.unparse(node) if parent is not None and (type(nodes[parent]).__name__, role) in _SHOWN else None
-
-
-def _node_columns(
-    flat: list[tuple[ast.AST, int | None, int, str | None]], last: list[int], text: str, fields: Sequence[str]
-) -> dict[str, list]:
-    """The wanted fields of a file's nodes, one list each."""
-    nodes = [entry[0] for entry in flat]
-
-    @functools.cache
-    def place(attribute: str) -> list[int | None]:
-        return [getattr(node, attribute, None) for node in nodes]
-
-    @functools.cache
-    def line_starts() -> list[int]:
-        return [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", text.encode("utf-8", "surrogatepass")))]
-
-    made = {
-        "id": lambda: list(range(len(nodes))),
-        "parent": lambda: [entry[1] for entry in flat],
-        "last": lambda: last,
-        "depth": lambda: [entry[2] for entry in flat],
-        "kind": lambda: [type(node).__name__ for node in nodes],
-        "name": lambda: [type(node.value).__name__ if type(node) is ast.Constant else getattr(node, "name", None) for node in nodes],
-        "line": lambda: place("lineno"),
-        "col": lambda: place("col_offset"),
-        "end_line": lambda: place("end_lineno"),
-        "end_col": lambda: place("end_col_offset"),
-        "start_byte": lambda: _bytes(line_starts(), place("lineno"), place("col_offset")),
-        "end_byte": lambda: _bytes(line_starts(), place("end_lineno"), place("end_col_offset")),
-        "text": lambda: [node.id if type(node) is ast.Name else repr(node.value) if type(node) is ast.Constant else None for node in nodes],
-        "role": lambda: [entry[3] for entry in flat],
-        "code": lambda: [_code(node, parent, role, nodes) for node, parent, _, role in flat],
-    }
-    return {field: made[field]() for field in fields}
+class _Parsed:
+    """A file's nodes in preorder, their kinds, and what several columns are made of."""
+
+    def __init__(self, text: str, tree: ast.AST):
+        self.text = text
+        self.flat = _flatten(tree)
+        self.kinds = [type(entry[0]) for entry in self.flat]
+
+    @functools.cached_property
+    def last(self) -> list[int]:
+        """Id of each node's last descendant, or its own."""
+        last = list(range(len(self.flat)))
+        for at in range(len(last) - 1, 0, -1):
+            parent = self.flat[at][1]
+            if last[at] > last[parent]:
+                last[parent] = last[at]
+        return last
+
+    @functools.cached_property
+    def line_starts(self) -> list[int]:
+        return [0, *(m.end() for m in _LINE_END.finditer(self.text.encode("utf-8", "surrogatepass")))]
+
+    def place(self, attribute: str) -> list[int | None]:
+        return [getattr(entry[0], attribute) if kind in _PLACED else None for entry, kind in zip(self.flat, self.kinds, strict=True)]
+
+    def bytes(self, line: str, col: str) -> list[int | None]:
+        starts = self.line_starts
+        return [None if n is None or c is None else starts[n - 1] + c for n, c in zip(self.place(line), self.place(col), strict=True)]
+
+    def names(self) -> list[str | None]:
+        return [
+            (type(entry[0].value).__name__ if kind is ast.Constant else entry[0].name) if kind in _NAMED else None
+            for entry, kind in zip(self.flat, self.kinds, strict=True)
+        ]
+
+    def values(self) -> list[str | None]:
+        return [
+            entry[0].id if kind is ast.Name else repr(entry[0].value) if kind is ast.Constant else None
+            for entry, kind in zip(self.flat, self.kinds, strict=True)
+        ]
+
+    def code(self) -> list[str | None]:
+        kinds = self.kinds
+        return [
+            _code(node) if (role == "value" or role == "test") and (kinds[parent], role) in _SHOWN else None
+            for node, parent, _, role in self.flat
+        ]
+
+
+def _code(node: ast.AST) -> str:
+    return node.id if type(node) is ast.Name else ast.unparse(node)
+
+
+#: Fields of a file's nodes, one list each.
+_COLUMNS: dict[str, Callable[[_Parsed], list]] = {
+    "id": lambda file: list(range(len(file.flat))),
+    "parent": lambda file: [entry[1] for entry in file.flat],
+    "last": lambda file: file.last,
+    "depth": lambda file: [entry[2] for entry in file.flat],
+    "kind": lambda file: [kind.__name__ for kind in file.kinds],
+    "name": _Parsed.names,
+    "line": lambda file: file.place("lineno"),
+    "col": lambda file: file.place("col_offset"),
+    "end_line": lambda file: file.place("end_lineno"),
+    "end_col": lambda file: file.place("end_col_offset"),
+    "start_byte": lambda file: file.bytes("lineno", "col_offset"),
+    "end_byte": lambda file: file.bytes("end_lineno", "end_col_offset"),
+    "text": _Parsed.values,
+    "role": lambda file: [entry[3] for entry in file.flat],
+    "code": _Parsed.code,
+}
 
 
 def _dotted(node: ast.AST) -> list[str]:
@@ -174,12 +218,14 @@ def _annotations(node: ast.AST) -> Iterator[str]:
                 note = ast.parse(note.value, mode="eval")
             except SyntaxError:
                 continue
-        if note is not None:
+        if type(note) is ast.Name:
+            yield note.id
+        elif note is not None:
             yield from (n.id for n in ast.walk(note) if isinstance(n, ast.Name))
 
 
 def _names(node: ast.AST, top: bool) -> Iterator[tuple[str, str]]:
-    """(role, name) pairs one node contributes."""
+    """(role, name) pairs that a declaration, an assignment or an import contributes."""
     if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
         yield "local", node.name
         if top:
@@ -194,58 +240,75 @@ def _names(node: ast.AST, top: bool) -> Iterator[tuple[str, str]]:
         yield from (("imported", a.asname or a.name.split(".")[-1]) for a in node.names)
     elif isinstance(node, ast.ImportFrom) and top:
         yield from (("imported", a.asname or a.name) for a in node.names)
-    elif isinstance(node, ast.arg):
-        yield "local", node.arg
-    elif isinstance(node, ast.Name):
-        yield "mentioned", node.id
-        yield ("used" if isinstance(node.ctx, ast.Load) else "local"), node.id
-    elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-        yield from (("in_string", w) for w in re.findall(r"[A-Za-z_]\w*", node.value))
-
-
-def _imports(node: ast.AST, top: bool) -> Iterator[dict]:
-    if isinstance(node, (ast.Import, ast.ImportFrom)):
-        is_from = isinstance(node, ast.ImportFrom)
-        for alias in node.names:
-            module = node.module if is_from else alias.name
-            bound = alias.asname or (alias.name if is_from else alias.name.split(".")[0])
-            yield {"module": module, "bound": bound, "original": alias.name, "level": node.level if is_from else 0,
-                   "from_import": is_from, "top": top, "line": node.lineno}
-
-
-def _names_of(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> dict[str, list]:
-    names: set[tuple[str, str]] = set()
-    for node, _, depth, _ in flat:
-        if type(node) in _NAMING:
-            names.update(_names(node, depth == 1))
-    ordered = sorted(names)
-    return {"role": [role for role, _ in ordered], "name": [name for _, name in ordered]}
-
-
-def _imports_of(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> dict[str, list]:
-    rows = [row for node, _, depth, _ in flat if type(node) in _IMPORTING for row in _imports(node, depth == 1)]
-    return {field: [row[field] for row in rows] for field in FIELDS["imports"]}
 
 
-def _calls_of(flat: list[tuple[ast.AST, int | None, int, str | None]], last: list[int]) -> dict[str, list]:
+def _names_of(file: _Parsed) -> dict[str, list]:
+    """Names by role, in order."""
+    names: dict[str, set[str]] = defaultdict(set)
+    mentioned, used, local, in_string = names["mentioned"], names["used"], names["local"], names["in_string"]
+    for entry, kind in zip(file.flat, file.kinds, strict=True):
+        if kind not in _NAMING:
+            continue
+        node = entry[0]
+        if kind is ast.Name:
+            mentioned.add(node.id)
+            (used if type(node.ctx) is ast.Load else local).add(node.id)
+        elif kind is ast.arg:
+            local.add(node.arg)
+        elif kind is ast.Constant:
+            if type(node.value) is str:
+                in_string.update(_WORD.findall(node.value))
+        else:
+            for role, name in _names(node, entry[2] == 1):
+                names[role].add(name)
+    ordered = [(role, sorted(names[role])) for role in sorted(names)]
+    return {"role": [role for role, own in ordered for _ in own], "name": [name for _, own in ordered for name in own]}
+
+
+def _imports_of(file: _Parsed) -> dict[str, list]:
+    columns: dict[str, list] = {field: [] for field in FIELDS["imports"]}
+    for at, kind in enumerate(file.kinds):
+        if kind in _IMPORTING:
+            node, _, depth, _ = file.flat[at]
+            is_from, aliases = kind is ast.ImportFrom, node.names
+            columns["module"] += [node.module if is_from else a.name for a in aliases]
+            columns["bound"] += [a.asname or (a.name if is_from else a.name.split(".")[0]) for a in aliases]
+            columns["original"] += [a.name for a in aliases]
+            same = {"level": node.level if is_from else 0, "from_import": is_from, "top": depth == 1, "line": node.lineno}
+            for field, value in same.items():
+                columns[field] += [value] * len(aliases)
+    return columns
+
+
+def _calls_of(file: _Parsed) -> dict[str, list]:
     """Calls by name; a nested call counts for every enclosing function."""
-    calls, enclosing = [], []
-    for at, (node, _, _, _) in enumerate(flat):
+    columns: dict[str, list] = {field: [] for field in FIELDS["calls"]}
+    flat, last = file.flat, file.last
+    enclosing: list[int] = []
+    for at, kind in enumerate(file.kinds):
+        if kind not in _CALLING:
+            continue
+        node = flat[at][0]
         while enclosing and at > last[enclosing[-1]]:
             enclosing.pop()
-        kind = type(node)
-        if kind in _FUNCTIONS:
+        if kind is not ast.Call:
             enclosing.append(at)
-        elif kind is ast.Call and enclosing and isinstance(node.func, (ast.Name, ast.Attribute)):
+        elif enclosing and isinstance(node.func, (ast.Name, ast.Attribute)):
             dotted = _dotted(node.func)
-            row = {"node": at, "name": ".".join(dotted), "root": dotted[0], "leaf": dotted[-1], "line": node.lineno}
-            calls += [row | {"function": function, "owner": flat[function][0].name} for function in enclosing]
-    return {field: [call[field] for call in calls] for field in FIELDS["calls"]}
-
-
-def _is_dynamic(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> bool:
-    for node, _, _, _ in flat:
-        kind = type(node)
+            same = {"node": at, "name": ".".join(dotted), "root": dotted[0], "leaf": dotted[-1], "line": node.lineno}
+            for field, value in same.items():
+                columns[field] += [value] * len(enclosing)
+            columns["function"] += enclosing
+            columns["owner"] += [flat[function][0].name for function in enclosing]
+    return columns
+
+
+def _is_dynamic(file: _Parsed) -> bool:
+    text = file.text
+    if text.isascii() and not any([word in text for word in _DYNAMIC_WORDS]):
+        return False  # names of such a text are as written
+    for entry, kind in zip(file.flat, file.kinds, strict=True):
+        node = entry[0]
         if kind is ast.Name:
             if node.id in DYNAMIC_NAMES:
                 return True
@@ -254,19 +317,20 @@ def _is_dynamic(flat: list[tuple[ast.AST, int | None, int, str | None]]) -> bool
     return False
 
 
+_MAKERS: dict[str, Callable[[_Parsed], dict[str, list]]] = {"names": _names_of, "imports": _imports_of, "calls": _calls_of}
+
+
 def _read_file(text: str | None, wanted: Mapping[str, Sequence[str]]) -> dict:
     """Error, or number of lines, dynamic lookups and the wanted parts, each as one list per field."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError) as exc:
         return {"error": f"{type(exc).__name__}: {exc}"}
-    flat = _flatten(tree)
-    last = _last(flat)
-    made = {
-        "nodes": lambda: _node_columns(flat, last, text or "", wanted["nodes"]),
-        "names": lambda: _names_of(flat), "imports": lambda: _imports_of(flat), "calls": lambda: _calls_of(flat, last),
-    }
-    return {"line_count": len(text.splitlines()), "dynamic": _is_dynamic(flat)} | {part: made[part]() for part in wanted}
+    file = _Parsed(text or "", tree)
+    made = {"line_count": len(text.splitlines()), "dynamic": _is_dynamic(file)}
+    for part, fields in wanted.items():
+        made[part] = {field: _COLUMNS[field](file) for field in fields} if part == "nodes" else _MAKERS[part](file)
+    return made
 
 
 def _lists(files: list[dict], part: str, kind: pa.ListType) -> pa.Array:
@@ -549,22 +613,32 @@ class CodeFacts:
             return text.rlike("|".join(parts))
 
         named = F.filter("imports", lambda i: i["module"].isNotNull())
-        away = F.filter(named, lambda i: outside(i["module"]))
-        aliased = F.filter(away, lambda i: i["from_import"] | (i["bound"] != root(i["module"])))
+        aliased = F.filter("away", lambda i: i["from_import"] | (i["bound"] != root(i["module"])))
+        # an alias may stand for a module that another import made external
         reached = F.concat(
-            F.transform(away, lambda i: root(i["module"])), F.transform(aliased, lambda i: i["bound"]),
-            F.transform(F.filter(away, lambda i: i["from_import"]), lambda i: i["original"]),
+            F.transform("away", lambda i: root(i["module"])), F.transform(aliased, lambda i: i["bound"]),
+            F.transform(F.filter("away", lambda i: i["from_import"]), lambda i: i["original"]),
+        )
+        contexts = F.filter(
+            "nodes",
+            lambda n: (n["kind"] == "Call") & (n["role"] == "context_expr") & (_node(_node(n["parent"])["parent"])["kind"] == "With"),
+        )
+        # what counts is taken from the nodes once per file, and not once per function
+        known = self.code.where("error IS NULL").select(
+            "path", "imports", "calls", F.filter(named, lambda i: outside(i["module"])).alias("away"), contexts.alias("contexts"),
+            F.filter("nodes", lambda n: n["kind"].isin("Await", "AsyncFunctionDef")).alias("waits"),
+            F.filter("nodes", lambda n: n["kind"].isin("FunctionDef", "AsyncFunctionDef")).alias("functions"),
+            F.split(source, "\n").alias("lines"),
         )
-        # an alias may stand for a module that another import made external
-        known = self.code.where("error IS NULL").withColumn("reached", F.array_distinct(reached))
         functions = known.select(
-            "path", "nodes", "imports", "calls", "reached", F.col(source).alias("source"),
-            F.explode(F.filter("nodes", lambda n: n["kind"].isin("FunctionDef", "AsyncFunctionDef"))).alias("f"),
+            "path", "imports", "calls", F.array_distinct(reached).alias("reached"), "contexts", "waits", "lines", F.explode("functions").alias("f")
         )
-        inside = F.slice("nodes", F.col("f.id") + 1, F.col("f.last") - F.col("f.id") + 1)
         own_calls = F.filter("calls", lambda c: c["function"] == F.col("f.id"))
-        lines = F.slice(F.split("source", "\n"), F.col("f.line"), F.col("f.end_line") - F.col("f.line") + 1)
-        parts = functions.withColumns({"inside": inside, "own": own_calls, "body": F.array_join(lines, "\n")})
+        lines = F.slice("lines", F.col("f.line"), F.col("f.end_line") - F.col("f.line") + 1)
+        parts = functions.withColumns({"own": own_calls, "body": F.array_join(lines, "\n")})
+
+        def inside(nodes: str) -> Column:
+            return F.filter(nodes, lambda n: n["id"].between(F.col("f.id"), F.col("f.last")))
 
         def imported(category: str, modules: Sequence[str]) -> Column:
             here = F.filter(
@@ -573,11 +647,6 @@ class CodeFacts:
             return F.transform(here, lambda i: risk(category, F.concat(F.lit("module "), root(i["module"])), i["line"]))
 
         modules = [imported(*pair) for pair in kinds.items()]
-        contexts = F.filter(
-            "inside",
-            lambda n: (n["kind"] == "Call") & (n["role"] == "context_expr") & (_node(_node(n["parent"])["parent"])["kind"] == "With"),
-        )
-
         def call_at(node: Column) -> Column:
             return F.get(F.filter("own", lambda c: c["node"] == node["id"]), F.lit(0))["name"]
 
@@ -589,17 +658,17 @@ class CodeFacts:
                 lambda c: risk("external_dep", F.concat(F.lit("call "), c["name"]), c["line"]),
             ),
             F.transform(
-                F.filter(contexts, lambda n: F.coalesce(any_of(call_at(n), THREADING_CONTEXTS), F.lit(False))),
+                F.filter(inside("contexts"), lambda n: F.coalesce(any_of(call_at(n), THREADING_CONTEXTS), F.lit(False))),
                 lambda n: risk("threading", F.concat(F.lit("context "), call_at(n)), n["line"]),
             ),
-            F.transform(F.filter("inside", lambda n: n["kind"] == "Await"), lambda n: risk("threading", F.lit("await"), n["line"])),
+            F.transform(F.filter(inside("waits"), lambda n: n["kind"] == "Await"), lambda n: risk("threading", F.lit("await"), n["line"])),
             F.transform(
-                F.filter("inside", lambda n: n["kind"] == "AsyncFunctionDef"),
+                F.filter(inside("waits"), lambda n: n["kind"] == "AsyncFunctionDef"),
                 lambda n: risk("threading", F.concat(F.lit("coroutine "), n["name"]), n["line"]),
             ),
         )
         scanned = pattern_hits(
-            parts.select("path", F.col("f.name").alias("function"), F.col("f.line").alias("line"), found.alias("found"), "body"), RISKS["python"], "body"
+            parts.select("path", F.col("f.name").alias("function"), F.col("f.line").alias("line"), found.alias("found"), "body"), RISKS["python"], "body", RISK_CUES
         )
         unsafe = F.transform("hits", lambda h: risk("unsafe_pattern", h["detail"], F.col("line") + h["line"] - 1))
         return scanned.select("path", "function", "line", F.concat("found", unsafe).alias("risks"))

@@ -56,6 +56,13 @@ UNSAFE = (
     r"|ffi\.dlopen|mmap\.mmap|POINTER\(|byref\(|addressof\(|cast\(|\.cuda\(\)|\.to\(['\"]cuda|cuda\.synchronize"
     r"|numba\.jit|numba\.cuda|@jit|@cuda\.jit)"
 )
+# Lower-case words of which any match holds one.
+RISK_CUES = {
+    "unsafe_pattern": [
+        "__asm__", "__attribute__", "volatile", "register", "ctypes.", "ffi.", "mmap.mmap", "pointer(", "byref(", "addressof(", "cast(",
+        "cuda", "numba.", "@jit",
+    ],
+}
 RUST_MEMORY = (
     r"(unsafe\s*\{|unsafe\s+fn|unsafe\s+impl|\*mut\s|\*const\s|ManuallyDrop|MaybeUninit|NonNull|std::alloc::|alloc::"
     r"|dealloc|Layout::from_size_align|std::mem::transmute|std::mem::forget|mem::transmute|mem::forget|std::ptr::"
@@ -302,15 +309,24 @@ def foreign_bindings(nodes: DataFrame) -> DataFrame:
     return last.unionByName(first.join(last, "key", "left_anti")).select(F.col("key").alias("name"), "b.*")
 
 
-def pattern_hits(docs: DataFrame, patterns: Mapping[str, str], text: str = "text") -> DataFrame:
-    """Array column ``hits`` of (category, start, end, line, detail) per text."""
-    compiled = [(name, re.compile(p)) for name, p in patterns.items()]
+def pattern_hits(
+    docs: DataFrame, patterns: Mapping[str, str], text: str = "text", cues: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """Array column ``hits`` of (category, start, end, line, detail) per text.
+
+    ``cues`` names lower-case words for a pattern of which any of its matches holds one, in either
+    case; an ASCII text without any is not searched. Other texts have letters with several folds.
+    """
+    compiled = [(name, re.compile(p), (cues or {}).get(name)) for name, p in patterns.items()]
 
     @F.pandas_udf("array<struct<category:string,start:int,end:int,line:int,detail:string>>")
     def find(texts: pd.Series) -> pd.Series:
         def one(body: str | None) -> list[dict]:
             found = []
-            for name, pattern in compiled:
+            lower = body.lower() if body and cues and body.isascii() else None
+            for name, pattern, words in compiled:
+                if words and lower is not None and not any([word in lower for word in words]):
+                    continue
                 line, seen = 1, 0
                 for m in pattern.finditer(body or ""):
                     line += body.count("\n", seen, m.start())

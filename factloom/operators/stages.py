@@ -18,7 +18,8 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 def python_extractor(docs: DataFrame) -> DataFrame:
-    return codefacts.CodeFacts(codefacts.read_code(docs, ["domain"], parts=["nodes"])).facts(F.col("domain"))
+    code = codefacts.read_code(docs, ["domain"], parts=["nodes"], node_fields=codefacts.FACT_FIELDS)
+    return codefacts.CodeFacts(code).facts(F.col("domain"))
 
 
 def json_extractor(docs: DataFrame) -> DataFrame:
