@@ -12,6 +12,7 @@ import functools
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,10 +74,16 @@ SOURCE_BYTES = 1 << 18
 #: Fields of nodes that :meth:`CodeFacts.facts` reads.
 FACT_FIELDS = ("id", "parent", "last", "depth", "kind", "name", "line", "text", "role", "code")
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-#: Nodes that contribute names.
-_NAMING = frozenset({*_FUNCTIONS, ast.ClassDef, ast.Assign, ast.Import, ast.ImportFrom, ast.arg, ast.Name, ast.Constant})
+#: Nodes that contribute names, by role.
+_NAMING_BY_ROLE = {
+    "annotation": {*_FUNCTIONS}, "defined": {*_FUNCTIONS, ast.ClassDef, ast.Assign}, "imported": {ast.Import, ast.ImportFrom},
+    "in_string": {ast.Constant}, "local": {*_FUNCTIONS, ast.ClassDef, ast.arg, ast.Name}, "mentioned": {ast.Name},
+    "used": {*_FUNCTIONS, ast.Name},
+}
+_NAMING = frozenset().union(*_NAMING_BY_ROLE.values())
 _IMPORTING = frozenset({ast.Import, ast.ImportFrom})
 _CALLING = frozenset({*_FUNCTIONS, ast.Call})
+_LOOKING = frozenset({ast.Name, ast.Attribute})
 _KINDS = [c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, ast.AST)]
 #: Nodes with a name or the type of a constant for one, and nodes with a place of their own.
 _NAMED = frozenset([ast.Constant, *(c for c in _KINDS if "name" in c._fields)])
@@ -84,7 +91,9 @@ _PLACED = frozenset(c for c in _KINDS if c._attributes)
 #: Fields that hold text or numbers in every kind of node.
 _PLAIN = {"id", "attr", "arg", "asname", "module", "level", "kind", "type_comment", "is_async", "simple", "conversion"}
 _WORD = re.compile(r"[A-Za-z_]\w*")
-_LINE_END = re.compile(rb"\r\n|\r|\n")
+#: Kinds of nodes that blocks of statements are made of, and the fields that hold such blocks.
+_IN_BLOCKS = (ast.mod, ast.stmt, ast.excepthandler, ast.match_case)
+_BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
 #: Expressions whose source is kept, by the kind of their parent and their place in it.
 _SHOWN = {(ast.Assert, "test"), (ast.Return, "value")}
 
@@ -126,12 +135,54 @@ def _flatten(tree: ast.AST) -> list[tuple[ast.AST, int | None, int, str | None]]
     return out
 
 
+@functools.cache
+def _ways(kinds: frozenset[type]) -> dict[type, tuple[str, ...]]:
+    """Nodes to look at for nodes of ``kinds``, with the fields to enter: expressions hold no statements."""
+    ways = {}
+    only_blocks = all(issubclass(kind, _IN_BLOCKS) for kind in kinds)
+    contexts = any(issubclass(kind, ast.expr_context) for kind in kinds)
+    for kind in _KINDS:
+        fields = () if kind is ast.Name and not contexts else _inner_fields(kind)
+        if only_blocks:
+            fields = tuple(field for field in fields if field in _BLOCKS) if issubclass(kind, _IN_BLOCKS) else ()
+        if fields or kind in kinds:
+            ways[kind] = fields
+    return ways
+
+
+def _flatten_some(tree: ast.AST, kinds: frozenset[type]) -> list[tuple[ast.AST, int | None, int, str | None]]:
+    """Like :func:`_flatten` with nodes of ``kinds`` only; a parent is the next listed node above."""
+    ways = _ways(kinds)
+    out: list[tuple[ast.AST, int | None, int, str | None]] = []
+    stack: list[tuple[ast.AST, int | None, int, str | None]] = [(tree, None, 0, None)]
+    pop, push, add = stack.pop, stack.append, out.append
+    while stack:
+        entry = pop()
+        node, at, below, _ = entry
+        kind = type(node)
+        if kind in kinds:
+            at = len(out)
+            add(entry)
+        below += 1
+        for field in ways[kind]:
+            value = getattr(node, field, None)
+            if type(value) is list:
+                for child in reversed(value):
+                    if type(child) in ways:
+                        push((child, at, below, field))
+            elif type(value) in ways:
+                push((value, at, below, field))
+    return out
+
+
 class _Parsed:
-    """A file's nodes in preorder, their kinds, and what several columns are made of."""
+    """A file's nodes in preorder, all or those of some kinds, their kinds, and what several columns are made of."""
 
-    def __init__(self, text: str, tree: ast.AST):
+    def __init__(self, text: str, tree: ast.AST, some: frozenset[type] | None = None):
         self.text = text
-        self.flat = _flatten(tree)
+        self.tree = tree
+        self.some = some
+        self.flat = _flatten(tree) if some is None else _flatten_some(tree, some)
         self.kinds = [type(entry[0]) for entry in self.flat]
 
     @functools.cached_property
@@ -140,13 +191,13 @@ class _Parsed:
         last = list(range(len(self.flat)))
         for at in range(len(last) - 1, 0, -1):
             parent = self.flat[at][1]
-            if last[at] > last[parent]:
+            if parent is not None and last[at] > last[parent]:
                 last[parent] = last[at]
         return last
 
     @functools.cached_property
     def line_starts(self) -> list[int]:
-        return [0, *(m.end() for m in _LINE_END.finditer(self.text.encode("utf-8", "surrogatepass")))]
+        return [0, *accumulate(map(len, self.text.encode("utf-8", "surrogatepass").splitlines(keepends=True)))]
 
     def place(self, attribute: str) -> list[int | None]:
         return [getattr(entry[0], attribute) if kind in _PLACED else None for entry, kind in zip(self.flat, self.kinds, strict=True)]
@@ -242,8 +293,8 @@ def _names(node: ast.AST, top: bool) -> Iterator[tuple[str, str]]:
         yield from (("imported", a.asname or a.name) for a in node.names)
 
 
-def _names_of(file: _Parsed) -> dict[str, list]:
-    """Names by role, in order."""
+def _names_of(file: _Parsed, roles: Sequence[str] | None = None) -> dict[str, list]:
+    """Names by role, in order, of all roles or of some."""
     names: dict[str, set[str]] = defaultdict(set)
     mentioned, used, local, in_string = names["mentioned"], names["used"], names["local"], names["in_string"]
     for entry, kind in zip(file.flat, file.kinds, strict=True):
@@ -261,7 +312,7 @@ def _names_of(file: _Parsed) -> dict[str, list]:
         else:
             for role, name in _names(node, entry[2] == 1):
                 names[role].add(name)
-    ordered = [(role, sorted(names[role])) for role in sorted(names)]
+    ordered = [(role, sorted(names[role])) for role in sorted(names if roles is None else names.keys() & set(roles))]
     return {"role": [role for role, own in ordered for _ in own], "name": [name for _, own in ordered for name in own]}
 
 
@@ -307,8 +358,9 @@ def _is_dynamic(file: _Parsed) -> bool:
     text = file.text
     if text.isascii() and not any([word in text for word in _DYNAMIC_WORDS]):
         return False  # names of such a text are as written
-    for entry, kind in zip(file.flat, file.kinds, strict=True):
-        node = entry[0]
+    flat = file.flat if file.some is None else _flatten_some(file.tree, _LOOKING)
+    for node, _, _, _ in flat:
+        kind = type(node)
         if kind is ast.Name:
             if node.id in DYNAMIC_NAMES:
                 return True
@@ -317,19 +369,36 @@ def _is_dynamic(file: _Parsed) -> bool:
     return False
 
 
-_MAKERS: dict[str, Callable[[_Parsed], dict[str, list]]] = {"names": _names_of, "imports": _imports_of, "calls": _calls_of}
+_MAKERS: dict[str, Callable[[_Parsed], dict[str, list]]] = {"imports": _imports_of, "calls": _calls_of}
+
 
+def _kinds_to_read(wanted: Mapping[str, Sequence[str]], node_kinds: Sequence[str] | None, roles: Sequence[str] | None) -> frozenset[type] | None:
+    """Kinds of nodes that the wanted parts are made of, or None for all."""
+    if node_kinds is None and not wanted.keys().isdisjoint({"nodes", "calls"}) or "code" in wanted.get("nodes", ()):
+        return None  # ids are places among all nodes, and source is kept by the parent itself
+    kinds = {getattr(ast, kind) for kind in node_kinds or ()}
+    if "names" in wanted:
+        kinds = kinds.union(*(of for role, of in _NAMING_BY_ROLE.items() if roles is None or role in roles))
+    for part, of in (("imports", _IMPORTING), ("calls", _CALLING)):
+        kinds |= of if part in wanted else set()
+    return frozenset(kinds)
 
-def _read_file(text: str | None, wanted: Mapping[str, Sequence[str]]) -> dict:
+
+def _read_file(
+    text: str | None, wanted: Mapping[str, Sequence[str]], some: frozenset[type] | None = None, roles: Sequence[str] | None = None
+) -> dict:
     """Error, or number of lines, dynamic lookups and the wanted parts, each as one list per field."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError) as exc:
         return {"error": f"{type(exc).__name__}: {exc}"}
-    file = _Parsed(text or "", tree)
+    file = _Parsed(text or "", tree, some)
     made = {"line_count": len(text.splitlines()), "dynamic": _is_dynamic(file)}
     for part, fields in wanted.items():
-        made[part] = {field: _COLUMNS[field](file) for field in fields} if part == "nodes" else _MAKERS[part](file)
+        if part == "nodes":
+            made[part] = {field: _COLUMNS[field](file) for field in fields}
+        else:
+            made[part] = _names_of(file, roles) if part == "names" else _MAKERS[part](file)
     return made
 
 
@@ -347,21 +416,36 @@ def _lists(files: list[dict], part: str, kind: pa.ListType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind, mask=pa.array([part not in f for f in files]))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all tasks by their keys, for work that costs far more than moving them."""
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, F.xxhash64(*keys))
+
+
 def read_code(
-    files: DataFrame, keep: Sequence[str] = (), parts: Sequence[str] = PARTS, node_fields: Sequence[str] = FIELDS["nodes"]
+    files: DataFrame,
+    keep: Sequence[str] = (),
+    parts: Sequence[str] = PARTS,
+    node_fields: Sequence[str] = FIELDS["nodes"],
+    node_kinds: Sequence[str] | None = None,
+    roles: Sequence[str] | None = None,
+    deal: bool = True,
 ) -> DataFrame:
     """One row per (path, text) file with its nodes, names, imports and calls as arrays.
 
     Files that do not parse carry the error. ``keep`` names columns of ``files`` that go along, and
     ``parts`` the arrays that are wanted: nodes are many times the size of a file, so ``node_fields``
-    names what is wanted of them. Python builds columns, as a row for each node costs more than
+    names what is wanted of them. Of ``node_kinds`` all nodes are there, other kinds may be left out;
+    an id is then a place among the nodes that are there, and a parent the next of them above. ``roles`` names the
+    roles of names. Python builds columns, as a row for each node costs more than
     the parser. Parsing a file costs far more than moving it, and a table of many small files may
-    come in a few splits, so the files are dealt over all tasks first.
+    come in a few splits, so the files are dealt over all tasks first, unless ``deal`` says that they are.
     """
-    session = files.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    dealt = files.select("path", "text", *keep).repartition(tasks, F.xxhash64("path", "text"))
+    files = files.select("path", "text", *keep)
+    spread = dealt(files, "path", "text") if deal else files
     wanted = {part: [f for f in FIELDS[part] if part != "nodes" or f in node_fields] for part in PARTS if part in parts}
+    some = _kinds_to_read(wanted, node_kinds, roles)
 
     def narrowed(field: StructField) -> StructField:
         chosen = [f for f in field.dataType.elementType if f.name in wanted[field.name]]
@@ -373,7 +457,7 @@ def read_code(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in text_pages(batches, "text", SOURCE_BYTES):
-            read = [_read_file(text, wanted) for text in page.column("text").to_pylist()]
+            read = [_read_file(text, wanted, some, roles) for text in page.column("text").to_pylist()]
             columns = []
             for field in arrow_schema:
                 if field.name in wanted:
@@ -384,7 +468,7 @@ def read_code(
                     columns.append(page.column(field.name).cast(field.type))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
-    return dealt.mapInArrow(parse, schema)
+    return spread.mapInArrow(parse, schema)
 
 
 def _node(place: Column) -> Column:
