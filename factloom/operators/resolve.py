@@ -16,6 +16,15 @@ from factloom.functions import text as T
 from factloom.session import cut_lineage
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the files: it is never broadcast.
+
+    Spark guesses the size of rows that come out of arrays or out of Python from the size of the scan below,
+    which can be hundreds of times too small.
+    """
+    return side.hint("merge")
+
+
 def unresolved_names(
     used: DataFrame, defined: DataFrame, imported: DataFrame, builtins: DataFrame, known: DataFrame | None = None
 ) -> DataFrame:
@@ -23,8 +32,8 @@ def unresolved_names(
     missing = (
         used.select("path", "name")
         .distinct()
-        .join(defined.select("path", "name"), ["path", "name"], "left_anti")
-        .join(imported.select("path", "name"), ["path", "name"], "left_anti")
+        .join(_shuffled(defined.select("path", "name")), ["path", "name"], "left_anti")
+        .join(_shuffled(imported.select("path", "name")), ["path", "name"], "left_anti")
         .join(builtins.select("name"), "name", "left_anti")
     )
     return missing if known is None else missing.join(known.select("name").distinct(), "name", "left_semi")
