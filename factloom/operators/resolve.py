@@ -57,8 +57,8 @@ def dead_imports(imports: DataFrame, uses: DataFrame, dynamic_files: DataFrame)
     """
     return (
         imports.where(~F.col("structural"))
-        .join(uses.select("path", "name"), ["path", "name"], "left_anti")
-        .join(dynamic_files.select("path"), "path", "left_anti")
+        .join(_shuffled(uses.select("path", "name")), ["path", "name"], "left_anti")
+        .join(_shuffled(dynamic_files.select("path")), "path", "left_anti")
         .select("path", "name")
         .distinct()
     )

@@ -42,3 +42,12 @@ def test_undefined_names(spark, facts):
     # without a path a file's names meet no definition
     want = [(name, path) for path in ("a.py", "b.py") for name in ("missing", "x")] + [(name, None) for name in ("LIMIT", "missing", "np", "x")]
     assert _rows_without_broadcast(found.select("name", "path")) == sorted(want, key=str)
+
+
+def test_dead_imports(spark, facts):
+    imports = facts.imports().where("top").select("path", F.col("bound").alias("name"), "structural")
+    uses = facts.names("mentioned").unionByName(facts.names("in_string"))
+    dynamic = spark.range(2).select(F.when(F.col("id") == 0, "a.py").alias("path"))
+    # the word os is in a string; without a path a file's imports meet no use, and no dynamic file
+    assert _rows_without_broadcast(resolve.dead_imports(imports, uses, dynamic)) == [(None, "np"), (None, "os")]
+    assert _rows_without_broadcast(resolve.dead_imports(imports, facts.names("mentioned"), dynamic)) == [("b.py", "os"), (None, "np"), (None, "os")]
