@@ -287,9 +287,9 @@ def def_use_edges(definitions: DataFrame, uses: DataFrame, order: str) -> DataFr
 def external_calls(calls: DataFrame, aliases: DataFrame, external: DataFrame) -> DataFrame:
     """Calls (path, function, root, call) into external modules, through the aliases of their file."""
     return (
-        calls.join(aliases.select("path", F.col("alias").alias("root"), "module"), ["path", "root"], "left")
+        calls.join(_shuffled(aliases.select("path", F.col("alias").alias("root"), "module")), ["path", "root"], "left")
         .withColumn("module", F.coalesce("module", "root"))
-        .join(external.select("path", "module").distinct(), ["path", "module"], "left_semi")
+        .join(_shuffled(external.select("path", "module").distinct()), ["path", "module"], "left_semi")
         .select("path", "function", "call", "module")
     )
 

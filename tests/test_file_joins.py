@@ -51,3 +51,12 @@ def test_dead_imports(spark, facts):
     # the word os is in a string; without a path a file's imports meet no use, and no dynamic file
     assert _rows_without_broadcast(resolve.dead_imports(imports, uses, dynamic)) == [(None, "np"), (None, "os")]
     assert _rows_without_broadcast(resolve.dead_imports(imports, facts.names("mentioned"), dynamic)) == [("b.py", "os"), (None, "np"), (None, "os")]
+
+
+def test_external_calls(facts):
+    aliases = facts.aliases()
+    external = aliases.where(resolve.is_external(F.col("module"))).select("path", "module")
+    found = resolve.external_calls(facts.calls(), aliases, external)
+    # a file that comes twice has its call and its alias twice
+    call = ("area", "np.sum", "numpy")
+    assert _rows_without_broadcast(found.select("path", "function", "call", "module")) == [("a.py", *call)] + 4 * [("b.py", *call)]
