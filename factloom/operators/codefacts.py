@@ -596,7 +596,8 @@ class CodeFacts:
         return self.imports().select("path", F.concat(dots, F.coalesce("module", F.lit(""))).alias("module")).distinct()
 
     def dynamic_files(self) -> DataFrame:
-        return self.code.where("dynamic").select("path")
+        """Files with dynamic lookups; their guessed size must not send them to the driver, see :mod:`resolve`."""
+        return self.code.where("dynamic").select("path").hint("merge")
 
     def symbols(self) -> DataFrame:
         """Declared functions and types per file, sorted and unique."""

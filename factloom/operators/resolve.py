@@ -53,12 +53,13 @@ def dead_imports(imports: DataFrame, uses: DataFrame, dynamic_files: DataFrame)
     """Imported names without a use in their file.
 
     ``imports`` has (path, name, structural); structural imports (future, star) stay, ``uses``
-    includes names inside strings, and files with dynamic lookups are left alone.
+    includes names inside strings, and files with dynamic lookups are left alone. Few paths may hold many
+    imports, so how these files are joined is left to their table.
     """
     return (
         imports.where(~F.col("structural"))
         .join(_shuffled(uses.select("path", "name")), ["path", "name"], "left_anti")
-        .join(_shuffled(dynamic_files.select("path")), "path", "left_anti")
+        .join(dynamic_files.select("path"), "path", "left_anti")
         .select("path", "name")
         .distinct()
     )
